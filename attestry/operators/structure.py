@@ -228,9 +228,8 @@ def expand_reference_hops(seeds: DataFrame, edges: DataFrame, rounds: int = 3) -
     visited = seeds.select("doc_uid", "section_no").distinct().withColumn("hop", F.lit(0))
     frontier = visited
     for hop in range(1, rounds + 1):
-        step = frontier.join(edges, (frontier.doc_uid == edges.doc_uid) & (frontier.section_no == edges.from_section)).select(
-            frontier.doc_uid, edges.to_section.alias("section_no")
-        )
+        at = frontier.select("doc_uid", F.col("section_no").alias("from_section"))
+        step = at.join(edges, ["doc_uid", "from_section"]).select("doc_uid", F.col("to_section").alias("section_no"))
         frontier = cut_lineage(
             step.distinct().join(visited, ["doc_uid", "section_no"], "left_anti").withColumn("hop", F.lit(hop))
         )
