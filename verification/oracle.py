@@ -1,6 +1,6 @@
 """SQL counterparts of the registered queries."""
 
-from verification.sql import s_structure, s_text  # noqa: F401
+from verification.sql import s_retrieval, s_structure, s_text  # noqa: F401
 from verification.sql.base import ORACLE
 
 __all__ = ["ORACLE"]
