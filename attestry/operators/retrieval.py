@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from attestry.functions import text as tx
+from attestry.functions.session import cut_lineage
 from attestry.functions.text import contains_any
 from attestry.lexicons import DEFAULT_DICTIONARY, CHECK_POLICY, QuestionLexicon, TermDictionary
 from attestry.operators import normalize as nz
-from attestry.operators.matching import contains_join
+from attestry.operators.matching import contains_join, rarest_keys
 
 HIT_COLUMNS = ["query_id", "rank", "chunk_id", "doc_uid", "score", "rerank_score", "retrieval_source", "matched_sources"]
 
@@ -28,83 +31,78 @@ def chunk_word_sets(chunks: DataFrame, dictionary: TermDictionary = DEFAULT_DICT
 
 def build_postings(chunks: DataFrame, dictionary: TermDictionary = DEFAULT_DICTIONARY) -> DataFrame:
     """(term, chunk_id, doc_uid, knowledge_base_id)."""
-    return chunk_word_sets(chunks, dictionary).select(F.explode("terms").alias("term"), "chunk_id", "doc_uid", "knowledge_base_id")
+    sets = chunk_word_sets(chunks, dictionary)
+    return sets.select(F.explode("terms").alias("term"), "chunk_id", "doc_uid", "knowledge_base_id")
 
 
 # -------------------------------------------------------------------- full-text AND
-def _filters_hold(variants: DataFrame) -> Column:
-    """A query's own document or knowledge-base filter, when it has one."""
+SCOPES = ("doc_uid", "knowledge_base_id")
+
+
+def _filters_hold(rows: DataFrame) -> Column:
+    """A query's own document or knowledge-base filter, where it has one."""
     held = F.lit(True)
-    for name in ("doc_uid", "knowledge_base_id"):
-        if f"f_{name}" in variants.columns:
+    for name in SCOPES:
+        if f"f_{name}" in rows.columns:
             held = held & (F.col(f"f_{name}").isNull() | (F.col(f"f_{name}") == F.col(name)))
     return held
 
 
-def _with_filters(queries: DataFrame) -> DataFrame:
-    for name in ("doc_uid", "knowledge_base_id"):
-        if name in queries.columns:
+def _with_filters(queries: DataFrame, scope: Sequence[str]) -> DataFrame:
+    for name in SCOPES:
+        if name in queries.columns and name not in scope:
             queries = queries.withColumnRenamed(name, f"f_{name}")
     return queries
 
 
-def fulltext_match(variants: DataFrame, word_sets: DataFrame) -> DataFrame:
+def fulltext_match(variants: DataFrame, word_sets: DataFrame, scope: Sequence[str] = ()) -> DataFrame:
     """(query_id, variant_no, chunk_id, doc_uid, chunk_index): chunks with every query term.
 
     ``variants`` is (query_id, variant_no, text, …filters).  Each variant enters through its
     rarest term only and the other terms are checked against the chunk's own term set, so
     common terms never form join groups and no per-pair counting shuffle is needed.
+    ``scope`` names filters every variant has; they become join keys.
     """
-    variants = _with_filters(variants)
+    scope = list(scope)
+    variants = _with_filters(variants, scope)
     filters = [c for c in variants.columns if c.startswith("f_")]
-    wanted = variants.select("query_id", "variant_no", *filters, tx.words_of("text").alias("need")).where(F.size("need") > 0)
-    by_term = wanted.select("query_id", "variant_no", *filters, "need", F.explode("need").alias("term"))
-    postings = word_sets.select(F.explode("terms").alias("term"))
+    wanted = variants.select("query_id", "variant_no", *scope, *filters, tx.words_of("text").alias("need")).where(F.size("need") > 0)
+    by_term = wanted.select("query_id", "variant_no", *scope, *filters, "need", F.explode("need").alias("term"))
     counted = (
-        postings.join(by_term.select("term").distinct(), "term").groupBy("term").agg(F.count(F.lit(1)).alias("chunk_count"))
-    )
-    variant = Window.partitionBy("query_id", "variant_no")
-    drivers = (
-        by_term.join(counted, "term", "left")
-        .withColumn("missing", F.max(F.col("chunk_count").isNull()).over(variant))
-        .where(~F.col("missing"))
-        .withColumn("r", F.row_number().over(variant.orderBy("chunk_count", "term")))
-        .where("r = 1")
-        .drop("r", "missing", "chunk_count")
-    )
-    exploded = word_sets.select("chunk_id", "doc_uid", "knowledge_base_id", "chunk_index", "terms", F.explode("terms").alias("term"))
-    return (
-        exploded.join(drivers, "term")
-        .where(F.size(F.array_except("need", "terms")) == 0)
-        .where(_filters_hold(drivers))
-        .select("query_id", "variant_no", "chunk_id", "doc_uid", "chunk_index")
+        word_sets.select(*scope, F.explode("terms").alias("term"))
+        .join(by_term.select(*scope, "term").distinct(), [*scope, "term"])
+        .groupBy(*scope, "term")
+        .agg(F.count(F.lit(1)).alias("found"))
     )
+    drivers = rarest_keys(by_term, counted, ["query_id", "variant_no"], scope, "term")
+    columns = ["chunk_id", "doc_uid", "knowledge_base_id", "chunk_index"]
+    exploded = word_sets.select(*columns, "terms", F.explode("terms").alias("term"))
+    joined = exploded.join(drivers, [*scope, "term"]).where(F.size(F.array_except("need", "terms")) == 0)
+    return joined.where(_filters_hold(joined)).select("query_id", "variant_no", "chunk_id", "doc_uid", "chunk_index")
 
 
-def substring_fallback(variants: DataFrame, matched: DataFrame, chunks: DataFrame) -> DataFrame:
+def substring_fallback(variants: DataFrame, matched: DataFrame, chunks: DataFrame, scope: Sequence[str] = ()) -> DataFrame:
     """Case-insensitive containment, only for variants without a full-text match."""
+    scope = list(scope)
     open_variants = variants.join(matched.select("query_id", "variant_no").distinct(), ["query_id", "variant_no"], "left_anti")
-    filters = [c for c in ("doc_uid", "knowledge_base_id") if c in variants.columns]
-    needles = open_variants.select(
-        "query_id",
-        "variant_no",
-        *[F.col(c).alias(f"f_{c}") for c in filters],
-        F.lower("text").alias("needle"),
-        F.concat_ws("\u0001", F.col("query_id").cast("string"), F.col("variant_no").cast("string")).alias("needle_id"),
+    needles = cut_lineage(
+        _with_filters(open_variants, scope)
+        .withColumn("needle", F.lower("text"))
+        .withColumn("needle_id", F.concat_ws("\u0001", F.col("query_id").cast("string"), F.col("variant_no").cast("string")))
+        .drop("text")
     )
-    texts = chunks.select("chunk_id", "doc_uid", "knowledge_base_id", "chunk_index", "updated_at", F.lower("content").alias("hay"))
     hits = contains_join(
-        needles.select("needle_id", "needle"),
-        texts,
+        needles.select(*scope, "needle_id", "needle"),
+        chunks.select("chunk_id", *SCOPES, "chunk_index", "updated_at", F.lower("content").alias("hay")),
         needle="needle",
         hay="hay",
         needle_key="needle_id",
-        hay_keys=["chunk_id", "doc_uid", "knowledge_base_id", "chunk_index", "updated_at"],
-    )
-    joined = hits.join(needles.drop("needle"), "needle_id")
-    return joined.where(_filters_hold(joined)).select(
-        "query_id", "variant_no", "chunk_id", "doc_uid", "chunk_index", "updated_at"
+        hay_keys=["chunk_id"],
+        payload=[*SCOPES, "chunk_index", "updated_at"],
+        on=scope,
     )
+    joined = hits.join(needles.drop("needle", *scope), "needle_id")
+    return joined.where(_filters_hold(joined)).select("query_id", "variant_no", "chunk_id", "doc_uid", "chunk_index", "updated_at")
 
 
 def fulltext_search(
@@ -118,8 +116,9 @@ def fulltext_search(
 
 
 def fulltext_hits(queries, chunks, word_sets, k: int = 10, dictionary: TermDictionary = DEFAULT_DICTIONARY) -> DataFrame:
-    variants = nz.expand_queries(queries, dictionary, limit=6)
-    matched = fulltext_match(variants, word_sets)
+    # Variants and matches are each read several times below.
+    variants = cut_lineage(nz.expand_queries(queries, dictionary, limit=6))
+    matched = cut_lineage(fulltext_match(variants, word_sets))
     fallback = substring_fallback(variants, matched, chunks)
     both = matched.withColumn("newest", F.lit(None).cast("timestamp")).unionByName(
         fallback.withColumnRenamed("updated_at", "newest")
@@ -362,7 +361,7 @@ def score_sections(
         .where("term <> ''")
     )
     needles = terms.groupBy(*scope, "term").agg(F.collect_list("question_id").alias("question_ids"))
-    needles = needles.withColumn("needle_id", F.sha2(F.concat_ws("\u0001", *scope, "term"), 256))
+    needles = cut_lineage(needles.withColumn("needle_id", F.sha2(F.concat_ws("\u0001", *scope, "term"), 256)))
     squeezed = tx.remove_spaces(F.lower(F.concat_ws(" ", "section_title", "content")))
     target = sections.select("doc_uid", "knowledge_base_id", "section_no", squeezed.alias("hay"))
     found = contains_join(
@@ -422,9 +421,10 @@ def supplement_chunks(
         F.array_contains("terms", lexicon.subject).alias("needs_subject"),
         F.posexplode("chunk_terms").alias("term_no", "text"),
     ).withColumn("variant_no", F.col("term_no") + 1)
+    terms = cut_lineage(terms)
     variants = terms.select("query_id", "variant_no", "text", "doc_uid")
-    matched = fulltext_match(variants, chunk_word_sets(chunks, dictionary))
-    fallback = substring_fallback(variants, matched, chunks).drop("updated_at")
+    matched = cut_lineage(fulltext_match(variants, chunk_word_sets(chunks, dictionary), scope=["doc_uid"]))
+    fallback = substring_fallback(variants, matched, chunks, scope=["doc_uid"]).drop("updated_at")
     first = Window.partitionBy("query_id", "variant_no").orderBy("chunk_index")
     looked_at = matched.unionByName(fallback).withColumn("pos", F.row_number().over(first)).where(F.col("pos") <= per_term)
     rows = looked_at.join(terms.drop("doc_uid", "term_no"), ["query_id", "variant_no"]).join(

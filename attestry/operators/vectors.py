@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from attestry.functions import text as tx
 
@@ -50,8 +51,27 @@ def embed_hash(chunks: DataFrame, dimension: int = DIMENSION, text: str = "conte
     return chunks.select(*keep, hash_vector(F.col(text), dimension).alias("embedding"))
 
 
-def squared_distance(a: Column, b: Column) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda acc, d: acc + d)
+def _matrix(vectors: pd.Series) -> np.ndarray:
+    return np.array(vectors.tolist(), dtype=float)
+
+
+@F.pandas_udf(T.DoubleType())
+def pair_distance(a: pd.Series, b: pd.Series) -> pd.Series:
+    """Squared distance of two vector columns at six places, a batch at a time."""
+    gap = _matrix(a) - _matrix(b)
+    return pd.Series(np.round(np.einsum("ij,ij->i", gap, gap), 6))
+
+
+def distances_to(points: list[list[float]]):
+    """Function column of a vector's distances to a fixed, small list of points."""
+    table = np.array(points, dtype=float)
+
+    @F.pandas_udf(T.ArrayType(T.DoubleType()))
+    def measure(vectors: pd.Series) -> pd.Series:
+        gaps = _matrix(vectors)[:, None, :] - table[None, :, :]
+        return pd.Series(list(np.sqrt(np.einsum("ijk,ijk->ij", gaps, gaps))))
+
+    return measure
 
 
 def _ranked(pairs: DataFrame, k: int) -> DataFrame:
@@ -146,54 +166,65 @@ def vector_search_cells(queries: DataFrame, vectors: DataFrame, k: int = 10, piv
     inequality cells that lie farther cannot hold a neighbour; the rest are joined on the
     cell.  Filters, where present, keep every cell because they void the bound.
     """
-    chosen = vectors.select("embedding").orderBy(F.xxhash64("chunk_id"), "chunk_id").limit(pivots)
-    pivot_list = chosen.agg(F.collect_list(F.transform("embedding", lambda x: x.cast("double"))).alias("p")).scalar()
+    # Two bounded reads on the driver: at most ``pivots`` vectors and one range per cell.
+    chosen = vectors.select("embedding").orderBy(F.xxhash64("chunk_id"), "chunk_id").limit(pivots).collect()
+    measure = distances_to([[float(x) for x in row["embedding"]] for row in chosen])
     filters = [c for c in ("doc_uid", "knowledge_base_id") if c in queries.columns]
 
-    def with_distances(df: DataFrame) -> DataFrame:
-        # The pivot list is one value of at most ``pivots`` vectors.
-        return df.withColumn("pivot_list", pivot_list).withColumn(
-            "to_pivots", F.transform("pivot_list", lambda p: F.sqrt(squared_distance(p, F.col("embedding"))))
-        ).drop("pivot_list")
-
-    nearest = F.array_min("to_pivots")
-    placed = with_distances(vectors).select(
-        "chunk_id", "doc_uid", *[c for c in ("knowledge_base_id",) if c in vectors.columns], "embedding",
-        (F.array_position("to_pivots", nearest) - 1).cast("int").alias("cell"), nearest.alias("radius"),
-    )
-    cells = placed.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.min("radius").alias("low"), F.max("radius").alias("high"))
-    cell_list = cells.agg(F.collect_list(F.struct("cell", "n", "low", "high")).alias("c")).scalar()
-    ranged = with_distances(
-        queries.select("query_id", *[F.col(c).alias(f"f_{c}") for c in filters], "embedding")
-    ).withColumn("cells", cell_list)
-    bounds = F.transform(
-        "cells",
-        lambda c: F.struct(
-            (F.get("to_pivots", c["cell"]) + c["high"]).alias("upper"),
-            F.greatest(F.get("to_pivots", c["cell"]) - c["high"], c["low"] - F.get("to_pivots", c["cell"]), F.lit(0.0)).alias("lower"),
-            c["n"].alias("n"),
-            c["cell"].alias("cell"),
+    home = tx.bind(
+        F.col("to_pivots"),
+        lambda d: tx.bind(
+            F.array_min(d), lambda low: F.struct((F.array_position(d, low) - 1).cast("int").alias("cell"), low.alias("radius"))
         ),
     )
-    reach = F.aggregate(
-        F.array_sort("bounds"),
-        F.struct(F.lit(0).cast("bigint").alias("seen"), F.lit(0.0).alias("bound")),
-        lambda acc, b: F.when(acc["seen"] >= k, acc).otherwise(F.struct((acc["seen"] + b["n"]).alias("seen"), b["upper"].alias("bound"))),
-    )["bound"]
+    placed = vectors.withColumn("to_pivots", measure("embedding")).select(
+        "chunk_id", "doc_uid", *[c for c in ("knowledge_base_id",) if c in vectors.columns], "embedding", home.alias("home")
+    ).select("*", "home.cell", "home.radius").drop("home")
+    ranges = placed.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.min("radius").alias("low"), F.max("radius").alias("high")).collect()
+    cells = F.array(
+        *[F.struct(*[F.lit(v).alias(n) for n, v in zip(("cell", "n", "low", "high"), (r["cell"], r["n"], r["low"], r["high"]))]) for r in ranges]
+    )
     free = F.lit(False)
     for c in filters:
         free = free | F.col(f"f_{c}").isNotNull()
-    probes = (
-        ranged.withColumn("bounds", bounds)
-        .withColumn("reach", reach + 1e-6)
-        .select("query_id", *[f"f_{c}" for c in filters], F.col("embedding").alias("point"), "reach", F.explode("bounds").alias("b"))
-        .where(free | (F.col("b.lower") <= F.col("reach")))
-        .select("query_id", *[f"f_{c}" for c in filters], "point", F.col("b.cell").alias("cell"))
+
+    def bounds(d: Column) -> Column:
+        return F.transform(
+            cells,
+            lambda c: tx.bind(
+                F.get(d, c["cell"]),
+                lambda to: F.struct(
+                    (to + c["high"]).alias("upper"),
+                    F.greatest(to - c["high"], c["low"] - to, F.lit(0.0)).alias("lower"),
+                    c["n"].cast("bigint").alias("n"),
+                    c["cell"].alias("cell"),
+                ),
+            ),
+        )
+
+    def reach(b: Column) -> Column:
+        """Upper bound of the k-th distance: nearest ranges until they hold k vectors."""
+        start = F.struct(F.lit(0).cast("bigint").alias("seen"), F.lit(0.0).alias("bound"))
+        step = lambda acc, x: F.when(acc["seen"] >= k, acc).otherwise(
+            F.struct((acc["seen"] + x["n"]).alias("seen"), x["upper"].alias("bound"))
+        )
+        return F.aggregate(F.array_sort(b), start, step)["bound"] + 1e-6
+
+    open_cells = tx.bind(
+        F.col("to_pivots"),
+        lambda d: tx.bind(
+            bounds(d),
+            lambda b: tx.bind(reach(b), lambda r: F.transform(F.filter(b, lambda x: free | (x["lower"] <= r)), lambda x: x["cell"])),
+        ),
+    )
+    wanted = queries.select("query_id", *[F.col(c).alias(f"f_{c}") for c in filters], "embedding", measure("embedding").alias("to_pivots"))
+    probes = wanted.select(
+        "query_id", *[f"f_{c}" for c in filters], F.col("embedding").alias("point"), F.explode(open_cells).alias("cell")
     )
     pairs = placed.join(probes, "cell")
     for c in filters:
         pairs = pairs.where(F.col(f"f_{c}").isNull() | (F.col(f"f_{c}") == F.col(c)))
-    pairs = pairs.select("query_id", "chunk_id", "doc_uid", F.round(squared_distance(F.col("embedding"), F.col("point")), 6).alias("distance"))
+    pairs = pairs.select("query_id", "chunk_id", "doc_uid", pair_distance("embedding", "point").alias("distance"))
     return _ranked(pairs, k)
 
 
@@ -243,8 +274,9 @@ def vector_search_approx(
     right = bucketed(firsts.select("chunk_id", "doc_uid", "embedding"))
     pairs = (
         right.join(left, "bucket")
-        .select("query_id", "chunk_id", "doc_uid", F.round(squared_distance(F.col("embedding"), F.col("point")), 6).alias("distance"))
-        .distinct()
+        .groupBy("query_id", "chunk_id")
+        .agg(F.first("doc_uid").alias("doc_uid"), F.first("embedding").alias("embedding"), F.first("point").alias("point"))
+        .select("query_id", "chunk_id", "doc_uid", pair_distance("embedding", "point").alias("distance"))
     )
     return _ranked(pairs, k)
 
