@@ -63,7 +63,7 @@ def part(name: str, sql: str) -> None:
 
 
 def oracle(name: str, sql: str) -> None:
-    ORACLE[name] = with_parts(sql)
+    ORACLE[name] = sql
 
 
 def with_parts(sql: str) -> str:
