@@ -22,13 +22,13 @@ def _below(path: Column, root: str) -> Column:
     return F.coalesce(F.nullif(F.regexp_extract(rest, "^([^/]+)/", 1), F.lit("")), F.lit("default"))
 
 
-def scan_documents(spark: SparkSession, root: str) -> DataFrame:
+def scan_documents(spark: SparkSession, root: str, types: str = "md,MD,json,JSON") -> DataFrame:
     """(knowledge_base_id, path, file_type, size_bytes) of Markdown and JSON files below a root.
 
     File contents are not read: only the metadata columns of the file source are used.
     """
     files = (
-        spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.{md,MD,json,JSON}").load(root)
+        spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", f"*.{{{types}}}").load(root)
     )
     return files.select(
         _below(F.col("path"), root).alias("knowledge_base_id"),
@@ -139,7 +139,11 @@ def load_rules(spark: SparkSession, folder: str) -> DataFrame:
 
 def _parse_config(text: str, path: str):
     if path.endswith(".json"):
-        return json.loads(text)
+        try:
+            content = json.loads(text)
+            return content if isinstance(content, list) else [content]
+        except json.JSONDecodeError:
+            return [json.loads(line) for line in text.splitlines() if line.strip()]
     try:
         import yaml
     except ImportError as exc:
@@ -153,7 +157,7 @@ def load_term_dictionary(spark: SparkSession, path: str) -> TermDictionary:
         rows = spark.read.option("wholetext", True).text(path).limit(1).collect()
     except Exception:  # a missing path is an empty dictionary
         return TermDictionary()
-    return TermDictionary.from_json(rows[0].value.lstrip("﻿")) if rows else TermDictionary()
+    return TermDictionary.from_json(rows[0].value.lstrip("\ufeff")) if rows else TermDictionary()
 
 
 def dictionary_rows(spark: SparkSession, dictionary: TermDictionary) -> DataFrame:

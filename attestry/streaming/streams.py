@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from attestry.functions.session import cut_lineage
 from attestry.operators.ingest import detect_changes, replace_derived_rows, upsert_documents
 from attestry.operators.structure import build_chunks
 from attestry.plans.check import run_check
@@ -44,25 +45,26 @@ def ingest_batch(batch: DataFrame, folder: str, version: int) -> None:
     incoming = documents_from_text(newest).join(newest.select(F.col("path").alias("source_path"), "modified"), "source_path")
     incoming = incoming.withColumn("created_at", F.col("modified")).withColumn("updated_at", F.col("modified")).drop("modified")
     stored = _read_version(spark, folder, "docs", before)
-    if stored is None:
-        docs, fresh, chunks = incoming, incoming, build_chunks(incoming)
-    else:
-        change = detect_changes(incoming, stored).where(F.col("change").isin("new", "changed", "moved"))
-        fresh = incoming.join(change.select("source_path"), "source_path", "left_semi")
-        docs = upsert_documents(stored, fresh.select(*stored.columns))
-        old = _read_version(spark, folder, "chunks", before)
-        chunks = replace_derived_rows(old, fresh, build_chunks(fresh).select(*old.columns))
+    old = _read_version(spark, folder, "chunks", before)
+    stored = incoming.limit(0) if stored is None else stored
+    change = detect_changes(incoming, stored).where(F.col("change").isin("new", "changed", "moved"))
+    fresh = incoming.join(change.select("source_path"), "source_path", "left_semi")
+    docs = cut_lineage(upsert_documents(stored, fresh.select(*stored.columns)))
+    # Two files may share a doc_uid; only the one that was kept is cut into chunks.
+    kept = docs.join(fresh.select("doc_uid", "source_path"), ["doc_uid", "source_path"], "left_semi")
+    made = build_chunks(kept)
+    chunks = made if old is None else replace_derived_rows(old, kept, made.select(*old.columns))
     docs.write.mode("overwrite").parquet(f"{folder}/docs/version={version}")
     chunks.write.mode("overwrite").parquet(f"{folder}/chunks/version={version}")
     spark.createDataFrame([(version,)], "version int").write.mode("append").parquet(f"{folder}/versions")
 
 
-def stream_ingest(spark: SparkSession, landing: str, folder: str, checkpoint: str) -> StreamingQuery:
-    """Pick up new files below a landing folder and keep the tables up to date.
+def landing_files(spark: SparkSession, landing: str) -> DataFrame:
+    """Stream of (path, modified, value) for files below a landing folder.
 
     A new version of a file lands under a new name ``stem@N.ext``.
     """
-    files = (
+    return (
         spark.readStream.format("text")
         .option("wholetext", True)
         .option("recursiveFileLookup", True)
@@ -71,6 +73,10 @@ def stream_ingest(spark: SparkSession, landing: str, folder: str, checkpoint: st
         .load(landing)
         .select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_modification_time").alias("modified"), "value")
     )
+
+
+def stream_ingest(files: DataFrame, folder: str, checkpoint: str) -> StreamingQuery:
+    """Take in a stream of (path, modified, value) files and keep the tables up to date."""
     return (
         files.writeStream.foreachBatch(lambda batch, version: ingest_batch(batch, folder, int(version)))
         .option("checkpointLocation", checkpoint)
@@ -95,12 +101,15 @@ def review_status(events: DataFrame) -> DataFrame:
     return events.groupBy("claim_id").agg(F.max_by("review_action", key).alias("review_status"), F.max(key).alias("last"))
 
 
-def stream_table(aggregated: DataFrame, name: str, checkpoint: str | None = None) -> StreamingQuery:
-    """Run an aggregation over a stream to completion into an in-memory table, for inspection."""
-    writer = aggregated.writeStream.outputMode("complete").format("memory").queryName(name)
-    if checkpoint:
-        writer = writer.option("checkpointLocation", checkpoint)
-    return writer.trigger(availableNow=True).start()
+def stream_to_folder(aggregated: DataFrame, folder: str, checkpoint: str) -> StreamingQuery:
+    """Run an aggregation over a stream and keep its current state as a table in a folder."""
+    return (
+        aggregated.writeStream.outputMode("complete")
+        .foreachBatch(lambda state, _: state.write.mode("overwrite").parquet(folder))
+        .option("checkpointLocation", checkpoint)
+        .trigger(availableNow=True)
+        .start()
+    )
 
 
 def stream_check(
