@@ -101,7 +101,8 @@ CASE_SCHEMA = (
 
 def cases_from_lines(lines: DataFrame, schema: str = CASE_SCHEMA) -> DataFrame:
     """Cases from a ``value`` column of JSON lines; blank, malformed and non-object lines drop."""
-    whole = F.startswith(tx.strip("value"), F.lit("{")) & F.try_parse_json("value").isNotNull()
+    # The parser stops after the first value, so a line must also end with its brace.
+    whole = tx.strip("value").rlike(r"(?s)^\{.*\}$") & F.try_parse_json("value").isNotNull()
     return lines.where(whole).select(F.from_json("value", schema).alias("c")).select("c.*")
 
 
