@@ -65,9 +65,9 @@ def rerank_with(hits: DataFrame, queries: DataFrame, chunks: DataFrame, reranker
             results = []
         return pd.DataFrame(
             {
-                "query_id": [group["query_id"].iloc[0]] * len(results),
-                "item_index": [int(i) for i, _ in results],
-                "relevance_score": [float(s) for _, s in results],
+                "query_id": pd.Series([group["query_id"].iloc[0]] * len(results), dtype=object),
+                "item_index": pd.Series([int(i) for i, _ in results], dtype="int32"),
+                "relevance_score": pd.Series([float(s) for _, s in results], dtype="float64"),
             }
         )
 

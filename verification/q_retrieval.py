@@ -45,8 +45,10 @@ def fulltext_search(i: Inputs):
 
 @register("embed_hash")
 def embed_hash(i: Inputs):
-    rows = vc.embed_hash(i.corpus.chunks).select("chunk_id", F.posexplode("embedding").alias("slot", "value"))
-    return rows.where("value <> 0")
+    """Slots as whole numbers: a slot times 17 times the text length is a sum of integers."""
+    chunks = i.corpus.chunks.select("chunk_id", F.col("token_count").alias("n"), vc.hash_vector(F.col("content")).alias("embedding"))
+    rows = chunks.select("chunk_id", "n", F.posexplode("embedding").alias("slot", "value"))
+    return rows.where("value <> 0").select("chunk_id", "slot", F.round(F.col("value") * 17 * F.col("n")).cast("bigint").alias("weight"))
 
 
 @register("vector_search")
@@ -218,7 +220,9 @@ def check_vector_dimension(i: Inputs):
     )
     checked = vc.check_vector_dimension(stored, i.corpus.chunks.select("chunk_id", "content"))
     total = F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x)
-    return checked.select("chunk_id", "recomputed", F.size("embedding").alias("dimension"), total.alias("total"))
+    lengths = i.corpus.chunks.select("chunk_id", "token_count")
+    weight = F.round(total * 17 * F.col("token_count")).cast("bigint")
+    return checked.join(lengths, "chunk_id").select("chunk_id", "recomputed", F.size("embedding").alias("dimension"), weight.alias("weight"))
 
 
 @register("index_consistency")

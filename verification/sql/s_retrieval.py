@@ -55,7 +55,7 @@ def embedding(source: str) -> str:
 
 
 part("chunk_slots", embedding("SELECT chunk_id AS key, content AS t FROM chunks"))
-oracle("embed_hash", "SELECT key AS chunk_id, slot::BIGINT AS slot, round(value, 6) AS value FROM chunk_slots WHERE value <> 0")
+oracle("embed_hash", "SELECT s.key AS chunk_id, s.slot::BIGINT AS slot, round(s.value * 17 * c.token_count)::BIGINT AS weight FROM chunk_slots s JOIN chunks c ON c.chunk_id = s.key WHERE s.value <> 0")
 
 
 def dense(source: str) -> str:
@@ -217,7 +217,8 @@ oracle(
 oracle("rebuild_vectors", "SELECT count(DISTINCT doc_uid) AS document_count, count(*) AS chunk_count FROM chunks")
 oracle(
     "check_vector_dimension",
-    """SELECT key AS chunk_id, ('0x' || key[1:4])::INT % 3 = 0 AS recomputed, 64::BIGINT AS dimension, round(sum(value), 6) AS total FROM chunk_slots GROUP BY key""",
+    """SELECT s.key AS chunk_id, ('0x' || s.key[1:4])::INT % 3 = 0 AS recomputed, 64::BIGINT AS dimension, round(sum(s.value) * 17 * any_value(c.token_count))::BIGINT AS weight
+    FROM chunk_slots s JOIN chunks c ON c.chunk_id = s.key GROUP BY s.key""",
 )
 oracle(
     "index_consistency",
