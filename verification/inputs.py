@@ -101,12 +101,13 @@ class Inputs:
         self.sf_dir = sf_dir.rstrip("/")
 
     def table(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+        df = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+        return spread(df, "doc_id") if name == "documents" else df
 
     @cached_property
     def docs(self) -> DataFrame:
         """Documents in Markdown form."""
-        d = spread(self.table("documents"), "doc_id")
+        d = self.table("documents")
         i = F.col("doc_id")
         return d.select(
             F.format_string("d%09d", i).alias("doc_uid"),
