@@ -114,7 +114,8 @@ def overlap_terms(text: Column) -> Column:
 
 
 def tokenize_overlap(rows: DataFrame, key: str, text: str) -> DataFrame:
-    return rows.select(key, F.explode(overlap_terms(F.col(text))).alias("term"))
+    # Two steps: exploding a plain column stays in generated code.
+    return rows.select(key, overlap_terms(F.col(text)).alias("terms")).select(key, F.explode("terms").alias("term"))
 
 
 # ------------------------------------------------------------------ claim queries

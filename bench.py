@@ -26,7 +26,7 @@ def main() -> None:
 
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = int(os.environ.get("BENCH_CPUS", "8"))
-    budget = float(os.environ.get("BENCH_SECONDS", "420"))
+    budget = float(os.environ.get("BENCH_SECONDS", "120"))
     spark = (
         SparkSession.builder.master(f"local[{cpus}]")
         .appName("bench")

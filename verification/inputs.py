@@ -102,7 +102,9 @@ class Inputs:
 
     def table(self, name: str) -> DataFrame:
         df = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
-        return spread(df, "doc_id") if name == "documents" else df
+        # Text tables come as one small file each here; their work is spread over the cores.
+        keys = {"documents": ["doc_id"], "conversations": ["conv_id", "turn"]}.get(name)
+        return spread(df, *keys) if keys else df
 
     @cached_property
     def docs(self) -> DataFrame:
