@@ -22,7 +22,7 @@ WHITESPACE = (
 )
 LINE_END = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"
 SPACE_RUN = r"[\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+"
-WORD = r"[\p{L}\p{N}]+"
+BETWEEN_WORDS = r"[^\p{L}\p{N}]+"
 
 
 def _accent_table() -> tuple[str, str]:
@@ -78,8 +78,11 @@ def fold_case(text) -> Column:
 
 
 def words_of(text) -> Column:
-    """Distinct index terms of a text: folded runs of letters and digits."""
-    return F.array_distinct(F.regexp_extract_all(fold_case(text), F.lit(WORD), F.lit(0)))
+    """Distinct index terms of a text: folded runs of letters and digits.
+
+    Cut between the words: extracting all matches copies the text once per match.
+    """
+    return F.array_distinct(F.filter(F.split(fold_case(text), BETWEEN_WORDS), lambda w: w != ""))
 
 
 def contains_any(text: Column, words: Iterable[str]) -> Column:

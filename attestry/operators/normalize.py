@@ -104,9 +104,10 @@ def overlap_terms(text: Column) -> Column:
     """ASCII words, pieces between punctuation (two characters or more) and CJK bigrams."""
 
     def of(low: Column) -> Column:
-        ascii_words = F.regexp_extract_all(low, F.lit("[a-z0-9_]{2,}"), F.lit(0))
+        # Cut at what lies between: extracting all matches copies the text once per match.
+        ascii_words = F.filter(F.split(low, "[^a-z0-9_]+"), lambda w: F.length(w) >= 2)
         pieces = F.filter(F.split(low, _OVERLAP_SPLIT), lambda p: F.length(p) >= 2)
-        runs = F.regexp_extract_all(low, F.lit("[\\u4e00-\\u9fff]{2,}"), F.lit(0))
+        runs = F.filter(F.split(low, "[^\\u4e00-\\u9fff]+"), lambda r: F.length(r) >= 2)
         bigrams = F.flatten(F.transform(runs, lambda r: tx.char_grams(r, 2)))
         return F.array_distinct(F.concat(ascii_words, pieces, bigrams))
 
