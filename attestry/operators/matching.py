@@ -55,7 +55,8 @@ def contains_join(
 
     wanted = needles.select(*on, needle_key, F.explode(needle_grams).alias("gram"))
     # The n-grams are a column of their own so that exploding them stays in generated code.
-    spread = texts.select(*ids, hay_grams.alias("grams")).select(*ids, F.explode("grams").alias("gram"))
+    # The outer form keeps the optimizer from computing them again in a size filter.
+    spread = texts.select(*ids, hay_grams.alias("grams")).select(*ids, F.explode_outer("grams").alias("gram")).where("gram IS NOT NULL")
     counted = (
         spread.select(*on, "gram")
         .join(wanted.select(*on, "gram").distinct(), [*on, "gram"])

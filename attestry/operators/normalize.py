@@ -115,8 +115,9 @@ def overlap_terms(text: Column) -> Column:
 
 
 def tokenize_overlap(rows: DataFrame, key: str, text: str) -> DataFrame:
-    # Two steps: exploding a plain column stays in generated code.
-    return rows.select(key, overlap_terms(F.col(text)).alias("terms")).select(key, F.explode("terms").alias("term"))
+    # The outer form keeps the optimizer from copying the expression into a size filter.
+    terms = rows.select(key, overlap_terms(F.col(text)).alias("terms"))
+    return terms.select(key, F.explode_outer("terms").alias("term")).where("term IS NOT NULL")
 
 
 # ------------------------------------------------------------------ claim queries

@@ -31,9 +31,10 @@ def chunk_id(doc_uid: Column, chunk_index: Column) -> Column:
 
 def parse_sections(docs: DataFrame) -> DataFrame:
     """One row per section; a narrow transformation of the documents."""
+    # The outer form keeps the optimizer from copying the parse into a size filter.
     rows = docs.select(
-        "doc_uid", "knowledge_base_id", F.explode(md.sections_of(F.col("content"), F.col("doc_title"))).alias("s")
-    )
+        "doc_uid", "knowledge_base_id", F.explode_outer(md.sections_of(F.col("content"), F.col("doc_title"))).alias("s")
+    ).where("s IS NOT NULL")
     no = F.col("s.section_no")
     return rows.select(
         "doc_uid",
@@ -134,8 +135,8 @@ def build_chunks(docs: DataFrame, size: int = md.CHUNK_SIZE, overlap: int = md.C
         ),
     )
     rows = docs.select(
-        "doc_uid", "knowledge_base_id", "doc_title", "updated_at", F.posexplode(F.flatten(per_section)).alias("chunk_index", "c")
-    )
+        "doc_uid", "knowledge_base_id", "doc_title", "updated_at", F.posexplode_outer(F.flatten(per_section)).alias("chunk_index", "c")
+    ).where("chunk_index IS NOT NULL")
     text = F.col("c.content")
     return rows.select(
         chunk_id(F.col("doc_uid"), F.col("chunk_index")).alias("chunk_id"),
