@@ -7,9 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from attestry.llm.decontaminate import op10_suffix_decontamination
+from attestry.llm.jaccard import op4_token_combination_join
+from attestry.llm.quality import op2_decision_list
 from attestry.llm.sql import ORACLE
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_decision_list": op2_decision_list,
+    "op4_token_combination_join": op4_token_combination_join,
     "op10_suffix_decontamination": op10_suffix_decontamination,
 }
 
