@@ -1,3 +1,23 @@
 """DuckDB SQL of the queries that SQL can express."""
 
-ORACLE: dict[str, str] = {}
+_WORDS = r"'[^\x20\x09-\x0D]+'"
+_HOST = r"CASE WHEN instr(url, '://') > 0 THEN translate(regexp_extract(substr(url, instr(url, '://') + 3), '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') ELSE '' END"
+
+ORACLE: dict[str, str] = {
+    "op8_delta_rollup": f"""
+WITH d AS (SELECT doc_id, source, lang, coalesce(text, '') AS text, doc_id > min(doc_id) OVER (PARTITION BY coalesce(text, '')) AS copy FROM documents),
+c AS (SELECT source, lang, CASE WHEN lang = 'fr' THEN 'chars4-1' ELSE 'words-1' END AS tokenizer,
+             CASE WHEN lang = 'fr' THEN CAST(ceil(length(text) / 4.0) AS BIGINT) ELSE len(regexp_extract_all(text, {_WORDS})) END AS n
+      FROM d WHERE NOT coalesce(copy, FALSE))
+SELECT source, lang, tokenizer, count(*) AS n_docs, CAST(sum(n) AS BIGINT) AS n_tokens FROM c GROUP BY ALL""",
+    "op9_snapshot_collapse": """
+WITH t AS (SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+                  row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS place
+           FROM conversations WHERE conv_id IS NOT NULL),
+c AS (SELECT conv_id, count(*) AS n_turns, list(role || chr(1) || text ORDER BY place) AS turns,
+             string_agg('<|' || role || '|>' || chr(10) || text || chr(10), '' ORDER BY place) AS rendered FROM t GROUP BY conv_id),
+u AS (SELECT min(conv_id) AS conv_id, count(*) AS n_logged, turns, any_value(n_turns) AS n_turns, any_value(rendered) AS rendered FROM c GROUP BY turns),
+p AS (SELECT DISTINCT k, md5(array_to_string(turns[1:k], chr(2))) AS h FROM (SELECT turns, unnest(range(1, n_turns)) AS k FROM u))
+SELECT conv_id, n_turns, n_logged, rendered FROM u
+WHERE NOT EXISTS (SELECT 1 FROM p WHERE p.k = u.n_turns AND p.h = md5(array_to_string(u.turns, chr(2))))""",
+}
