@@ -306,8 +306,9 @@ def similarity_classes(documents: DataFrame, id_col: str = "doc_id", text_col: s
     stars = index.select(F.col("hub_node").alias("hub"), "node").distinct()
     stars = store.stored(stars.unionByName(stars.select("hub", F.col("hub").alias("node")).distinct()), "stars")
     members = stars.select("node").distinct()
-    nodes = summary_nodes.join(members, "node").groupBy("node").agg(F.min(F.struct("id", "text_key")).alias("copy"), F.max("n").alias("n"), F.max("sketch").alias("sketch"))
-    nodes = store.stored(nodes, "nodes")
+    # Copies are summed up before the join, so a set that many documents have is one row in it.
+    nodes = summary_nodes.groupBy("node").agg(F.min(F.struct("id", "text_key")).alias("copy"), F.max("n").alias("n"), F.max("sketch").alias("sketch"))
+    nodes = store.stored(nodes.join(members, "node"), "nodes")
 
     def sided(pairs: DataFrame, table: DataFrame, key: str, *columns: str) -> DataFrame:
         for s in ("a", "b"):

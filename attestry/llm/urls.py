@@ -103,8 +103,10 @@ def calibrate(scored: DataFrame) -> float:
     below = Window.orderBy("step").rowsBetween(Window.unboundedPreceding, -1)
     every = Window.orderBy("step").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     right = (F.sum("a").over(every) - F.coalesce(F.sum("a").over(below), F.lit(0))) / F.sum("a").over(every) + F.coalesce(F.sum("r").over(below), F.lit(0)) / F.sum("r").over(every)
-    best = bins.withColumn("right", right).where("right is not null").orderBy(F.desc("right"), F.abs("step"), "step").first()
-    return best.step / 100 if best else 0.0
+    # Any cut above the bin below splits alike; the one nearest to 0 is taken.
+    cut = F.greatest(F.least(F.lit(0), "step"), F.coalesce(F.lag("step").over(Window.orderBy("step")) + 1, F.lit(-(1 << 40))))
+    best = bins.withColumns({"right": right, "cut": cut}).where("right is not null").orderBy(F.desc("right"), F.abs("cut"), "cut").first()
+    return best.cut / 100 if best else 0.0
 
 
 def filter_urls(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES, order: int = ORDER, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
