@@ -7,10 +7,6 @@ import tempfile
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# A side is broadcast only when the optimizer's own size estimate is below this.
-BROADCAST_BYTES = 64 * 1024 * 1024
-
-
 def checkpoint_folder(spark: SparkSession) -> str:
     """The cluster's shared checkpoint folder; a temporary one only where none is set."""
     folder = spark.conf.get("spark.checkpoint.dir", None)

@@ -13,9 +13,10 @@ from pyspark.sql import types as T
 from attestry.functions import text as tx
 
 DIMENSION = 64
-# Up to this many queries travel to the tasks whole; a larger table is joined by cell.
-QUERY_BLOCK = 16_384
-PIVOTS = 64
+# Queries travel to the tasks in blocks of at most this many bytes, whatever their number.
+QUERY_BYTES = 64 << 20
+# Vectors that the cells of the approximate index are trained on, at most.
+TRAIN_ROWS = 20_000
 
 
 def hash_vector(text: Column, dimension: int = DIMENSION) -> Column:
@@ -55,25 +56,6 @@ def _matrix(vectors: pd.Series) -> np.ndarray:
     return np.array(vectors.tolist(), dtype=float)
 
 
-@F.pandas_udf(T.DoubleType())
-def pair_distance(a: pd.Series, b: pd.Series) -> pd.Series:
-    """Squared distance of two vector columns at six places, a batch at a time."""
-    gap = _matrix(a) - _matrix(b)
-    return pd.Series(np.round(np.einsum("ij,ij->i", gap, gap), 6))
-
-
-def distances_to(points: list[list[float]]):
-    """Function column of a vector's distances to a fixed, small list of points."""
-    table = np.array(points, dtype=float)
-
-    @F.pandas_udf(T.ArrayType(T.DoubleType()))
-    def measure(vectors: pd.Series) -> pd.Series:
-        gaps = _matrix(vectors)[:, None, :] - table[None, :, :]
-        return pd.Series(list(np.sqrt(np.einsum("ijk,ijk->ij", gaps, gaps))))
-
-    return measure
-
-
 def _ranked(pairs: DataFrame, k: int) -> DataFrame:
     """Top k per query by (distance, chunk_id); the limit is applied before the shuffle."""
     order = Window.partitionBy("query_id").orderBy("distance", "chunk_id")
@@ -93,192 +75,157 @@ def _ranked(pairs: DataFrame, k: int) -> DataFrame:
     )
 
 
+FILTERS = ("doc_uid", "knowledge_base_id")
+
+
 def vector_search(queries: DataFrame, vectors: DataFrame, k: int = 10) -> DataFrame:
     """Exact k nearest chunks per query by squared distance; score is 1 - distance.
 
-    ``queries`` is (query_id, embedding) with optional doc_uid / knowledge_base_id filters.
-    A query table within ``QUERY_BLOCK`` rows is sent to the tasks and each batch of vectors
-    is reduced to its k best per query before anything is shuffled.  A larger one goes
-    through cells (``vector_search_cells``), which is exact too.
+    ``queries`` is (query_id, embedding) with optional doc_uid / knowledge_base_id filters, which hold
+    before anything is measured.  Queries are sent to the tasks in blocks; every task keeps a running
+    top k per query over all its batches, so no more than k rows a query and task are shuffled.
     """
-    columns = ["query_id", "embedding", *[c for c in ("doc_uid", "knowledge_base_id") if c in queries.columns]]
-    head = queries.select(*columns).limit(QUERY_BLOCK + 1).toPandas()
-    if len(head) > QUERY_BLOCK:
-        return vector_search_cells(queries, vectors, k)
-    return _ranked(_block_search(head, queries, vectors, k), k)
-
-
-def _block_search(head: pd.DataFrame, queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
-    id_type = queries.schema["query_id"].dataType.simpleString()
-    payload = vectors.sparkSession.sparkContext.broadcast(
-        {
-            "ids": head["query_id"].to_numpy(),
-            "matrix": np.array([np.asarray(e, dtype=float) for e in head["embedding"]]) if len(head) else np.zeros((0, 1)),
-            "filters": {c: head[c].to_numpy(dtype=object) for c in ("doc_uid", "knowledge_base_id") if c in head},
-        }
-    )
-
-    def best(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        q = payload.value
-        for batch in batches:
-            if not len(batch) or not len(q["ids"]):
-                continue
-            points = np.stack([np.asarray(e, dtype=float) for e in batch["embedding"]])
-            ids = batch["chunk_id"].to_numpy()
-            by_id = np.empty(len(ids), dtype=np.int64)
-            by_id[np.argsort(ids, kind="stable")] = np.arange(len(ids))
-            rows, cols, dists = [], [], []
-            for n, point in enumerate(q["matrix"]):
-                gap = points - point
-                d = np.round(np.einsum("ij,ij->i", gap, gap), 6)
-                for name, wanted in q["filters"].items():
-                    if wanted[n] is not None and wanted[n] == wanted[n]:
-                        d = np.where(batch[name].to_numpy() == wanted[n], d, np.inf)
-                kth = np.partition(d, min(k, len(d)) - 1)[min(k, len(d)) - 1]
-                near = np.flatnonzero((d <= kth) & np.isfinite(d))
-                near = near[np.lexsort((by_id[near], d[near]))[:k]]
-                rows.append(near)
-                cols.append(np.full(len(near), n))
-                dists.append(d[near])
-            at = np.concatenate(rows)
-            yield pd.DataFrame(
-                {
-                    "query_id": q["ids"][np.concatenate(cols)],
-                    "chunk_id": ids[at],
-                    "doc_uid": batch["doc_uid"].to_numpy()[at],
-                    "distance": np.concatenate(dists),
-                }
-            )
-
-    needed = ["chunk_id", "doc_uid", *[c for c in ("knowledge_base_id",) if c in queries.columns], "embedding"]
-    chunk_type = vectors.schema["chunk_id"].dataType.simpleString()
-    doc_type = vectors.schema["doc_uid"].dataType.simpleString()
-    return vectors.select(*needed).mapInPandas(
-        best, f"query_id {id_type}, chunk_id {chunk_type}, doc_uid {doc_type}, distance double"
-    )
+    return _ranked(_reduced(queries, vectors, k), k)
 
 
-def vector_search_cells(queries: DataFrame, vectors: DataFrame, k: int = 10, pivots: int = PIVOTS) -> DataFrame:
-    """Exact nearest neighbours for query tables of any size.
+def _query_blocks(queries: DataFrame) -> Iterator[dict]:
+    """The queries in blocks of ``QUERY_BYTES``; one empty block where there are none."""
+    filters = [c for c in FILTERS if c in queries.columns]
+    rows: list = []
 
-    Vectors are assigned to the nearest of a fixed number of pivots.  For each query the
-    cells' distance ranges bound its k-th neighbour from above, and by the triangle
-    inequality cells that lie farther cannot hold a neighbour; the rest are joined on the
-    cell.  Filters, where present, keep every cell because they void the bound.
-    """
-    # Two bounded reads on the driver: at most ``pivots`` vectors and one range per cell.
-    chosen = vectors.select("embedding").orderBy(F.xxhash64("chunk_id"), "chunk_id").limit(pivots).collect()
-    measure = distances_to([[float(x) for x in row["embedding"]] for row in chosen])
-    filters = [c for c in ("doc_uid", "knowledge_base_id") if c in queries.columns]
-
-    home = tx.bind(
-        F.col("to_pivots"),
-        lambda d: tx.bind(
-            F.array_min(d), lambda low: F.struct((F.array_position(d, low) - 1).cast("int").alias("cell"), low.alias("radius"))
-        ),
-    )
-    placed = vectors.withColumn("to_pivots", measure("embedding")).select(
-        "chunk_id", "doc_uid", *[c for c in ("knowledge_base_id",) if c in vectors.columns], "embedding", home.alias("home")
-    ).select("*", "home.cell", "home.radius").drop("home")
-    ranges = placed.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.min("radius").alias("low"), F.max("radius").alias("high")).collect()
-    cells = F.array(
-        *[F.struct(*[F.lit(v).alias(n) for n, v in zip(("cell", "n", "low", "high"), (r["cell"], r["n"], r["low"], r["high"]))]) for r in ranges]
-    )
-    free = F.lit(False)
-    for c in filters:
-        free = free | F.col(f"f_{c}").isNotNull()
-
-    def bounds(d: Column) -> Column:
-        return F.transform(
-            cells,
-            lambda c: tx.bind(
-                F.get(d, c["cell"]),
-                lambda to: F.struct(
-                    (to + c["high"]).alias("upper"),
-                    F.greatest(to - c["high"], c["low"] - to, F.lit(0.0)).alias("lower"),
-                    c["n"].cast("bigint").alias("n"),
-                    c["cell"].alias("cell"),
-                ),
-            ),
-        )
+    def block() -> dict:
+        return {
+            "ids": np.array([r["query_id"] for r in rows], dtype=object),
+            "matrix": np.array([r["embedding"] for r in rows], dtype=float) if rows else np.zeros((0, 1)),
+            "filters": {c: [r[c] for r in rows] for c in filters},
+        }
 
-    def reach(b: Column) -> Column:
-        """Upper bound of the k-th distance: nearest ranges until they hold k vectors."""
-        start = F.struct(F.lit(0).cast("bigint").alias("seen"), F.lit(0.0).alias("bound"))
-        step = lambda acc, x: F.when(acc["seen"] >= k, acc).otherwise(
-            F.struct((acc["seen"] + x["n"]).alias("seen"), x["upper"].alias("bound"))
-        )
-        return F.aggregate(F.array_sort(b), start, step)["bound"] + 1e-6
-
-    open_cells = tx.bind(
-        F.col("to_pivots"),
-        lambda d: tx.bind(
-            bounds(d),
-            lambda b: tx.bind(reach(b), lambda r: F.transform(F.filter(b, lambda x: free | (x["lower"] <= r)), lambda x: x["cell"])),
-        ),
-    )
-    wanted = queries.select("query_id", *[F.col(c).alias(f"f_{c}") for c in filters], "embedding", measure("embedding").alias("to_pivots"))
-    probes = wanted.select(
-        "query_id", *[f"f_{c}" for c in filters], F.col("embedding").alias("point"), F.explode(open_cells).alias("cell")
-    )
-    pairs = placed.join(probes, "cell")
-    for c in filters:
-        pairs = pairs.where(F.col(f"f_{c}").isNull() | (F.col(f"f_{c}") == F.col(c)))
-    pairs = pairs.select("query_id", "chunk_id", "doc_uid", pair_distance("embedding", "point").alias("distance"))
-    return _ranked(pairs, k)
-
-
-def vector_search_approx(
-    queries: DataFrame,
-    vectors: DataFrame,
-    k: int = 10,
-    *,
-    tables: int = 8,
-    projections: int = 4,
-    width: float = 0.5,
-    dimension: int = DIMENSION,
-    seed: int = 42,
-) -> DataFrame:
-    """Approximate neighbours by random-projection buckets, then exact ranking.
-
-    Of vectors that are equal only the first k by id can appear in an answer, so a large
-    group of copies is cut to k rows before bucketing without changing the result.
+    size = 0
+    for row in queries.select("query_id", "embedding", *filters).toLocalIterator():
+        rows.append(row)
+        size += 64 + 8 * len(row["embedding"])
+        if size > QUERY_BYTES:
+            yield block()
+            rows, size = [], 0
+    yield block()
+
+
+class _Nearest:
+    """Running top k per query over the batches of a task."""
+
+    def __init__(self, block: dict, k: int, centroids: np.ndarray | None, open_cells: np.ndarray | None) -> None:
+        self.block, self.k, self.centroids, self.open_cells = block, k, centroids, open_cells
+        self.q = block["matrix"]
+        self.bound = np.full(len(self.q), np.inf)
+        self.parts: list[pd.DataFrame] = []
+        self.held = 0
+        self.known = {c: {v: n for n, v in enumerate(dict.fromkeys(x for x in values if x is not None))} for c, values in block["filters"].items()}
+        self.wanted = {c: np.array([-1 if v is None else self.known[c][v] for v in values]) for c, values in block["filters"].items()}
+
+    def add(self, batch: pd.DataFrame) -> None:
+        points = np.array([np.asarray(e, dtype=float) for e in batch["embedding"]])
+        square = np.einsum("ij,ij->i", points, points)
+        codes = {c: batch[c].map(known).fillna(-2).to_numpy() for c, known in self.known.items()}
+        cell = _cells(points, self.centroids) if self.centroids is not None else None
+        step = max(1, (1 << 22) // max(1, len(points)))
+        for low in range(0, len(self.q), step):
+            q = self.q[low : low + step]
+            gap = square[:, None] + np.einsum("ij,ij->i", q, q)[None, :] - 2 * (points @ q.T)
+            for c, wanted in self.wanted.items():
+                w = wanted[low : low + step]
+                gap[(w[None, :] >= 0) & (codes[c][:, None] != w[None, :])] = np.inf
+            if cell is not None:
+                gap[~self.open_cells[low : low + step][:, cell].T] = np.inf
+            kth = np.partition(gap, min(self.k, len(gap)) - 1, axis=0)[min(self.k, len(gap)) - 1]
+            limit = np.minimum(kth, self.bound[low : low + step]) + 1e-5  # the product is good to far less
+            row, col = np.nonzero((gap <= limit) & np.isfinite(gap))
+            away = points[row] - q[col]
+            self.parts.append(
+                pd.DataFrame({"q": col + low, "distance": np.round(np.einsum("ij,ij->i", away, away), 6), "chunk_id": batch["chunk_id"].to_numpy()[row], "doc_uid": batch["doc_uid"].to_numpy()[row]})
+            )
+            self.held += len(row)
+        if self.held > 4 * self.k * len(self.q) + 100_000:
+            self.cut()
+
+    def cut(self) -> pd.DataFrame:
+        rows = pd.concat(self.parts) if self.parts else pd.DataFrame({"q": [], "distance": [], "chunk_id": [], "doc_uid": []})
+        rows = rows.sort_values(["q", "distance", "chunk_id"], kind="stable")
+        rows = rows[rows.groupby("q").cumcount() < self.k]
+        self.parts, self.held = [rows], len(rows)
+        full = rows.groupby("q")["distance"].agg(["size", "max"])
+        full = full[full["size"] == self.k]
+        self.bound[full.index.to_numpy(dtype=int)] = full["max"].to_numpy()
+        return rows
+
+
+def _cells(points: np.ndarray, centroids: np.ndarray) -> np.ndarray:
+    return np.argmin(np.einsum("ij,ij->i", centroids, centroids)[None, :] - 2 * (points @ centroids.T), axis=1)
+
+
+def _reduced(queries: DataFrame, vectors: DataFrame, k: int, centroids: np.ndarray | None = None, probes: int = 0) -> DataFrame:
+    """Each task's k best per query, block after block of queries; with centroids, of open cells only."""
+    kind = {c: vectors.schema[c].dataType.simpleString() for c in ("chunk_id", "doc_uid")}
+    schema = f"query_id {queries.schema['query_id'].dataType.simpleString()}, chunk_id {kind['chunk_id']}, doc_uid {kind['doc_uid']}, distance double"
+    needed = list(dict.fromkeys(["chunk_id", "doc_uid", *[c for c in FILTERS if c in queries.columns], "embedding"]))
+    table = vectors.select(*needed).where(F.col("embedding").isNotNull())
+    out = None
+    for block in _query_blocks(queries.where(F.col("embedding").isNotNull())):
+        cells = None
+        if centroids is not None and len(block["ids"]):
+            away = np.einsum("ij,ij->i", centroids, centroids)[None, :] - 2 * (block["matrix"] @ centroids.T)
+            cells = np.zeros(away.shape, bool)
+            np.put_along_axis(cells, np.argsort(away, axis=1)[:, :probes], True, axis=1)
+        payload = vectors.sparkSession.sparkContext.broadcast((block, centroids if cells is not None else None, cells))
+
+        def best(batches: Iterator[pd.DataFrame], payload=payload) -> Iterator[pd.DataFrame]:
+            block, centroids, cells = payload.value
+            near = _Nearest(block, k, centroids, cells)
+            for batch in batches:
+                if len(batch) and len(near.q):
+                    near.add(batch)
+            rows = near.cut()
+            if len(rows):
+                yield pd.DataFrame({"query_id": block["ids"][rows["q"].to_numpy(dtype=int)], "chunk_id": rows["chunk_id"].to_numpy(), "doc_uid": rows["doc_uid"].to_numpy(), "distance": rows["distance"].to_numpy(dtype=float)})
+
+        part = table.mapInPandas(best, schema)
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def train_cells(vectors: DataFrame, cells: int, rows: int = TRAIN_ROWS, rounds: int = 12) -> np.ndarray:
+    """k-means centroids from at most ``rows`` vectors, chosen by a hash of their id."""
+    sample = vectors.where(F.col("embedding").isNotNull()).select("chunk_id", "embedding").orderBy(F.xxhash64("chunk_id"), "chunk_id").limit(rows).collect()
+    points = np.array([r["embedding"] for r in sample], dtype=float)
+    if not len(points):
+        return np.zeros((1, 1))
+    centroids = points[np.unique(np.linspace(0, len(points) - 1, min(cells, len(points))).astype(int))]
+    for _ in range(rounds):
+        near = _cells(points, centroids)
+        count = np.bincount(near, minlength=len(centroids))
+        total = np.zeros_like(centroids)
+        np.add.at(total, near, points)
+        centroids = np.where(count[:, None] > 0, total / np.maximum(count, 1)[:, None], centroids)
+    return centroids
+
+
+def vector_search_cells(queries: DataFrame, vectors: DataFrame, k: int = 10, cells: int = 64) -> DataFrame:
+    """The search through cells with all of them open: exact, and the measure of the approximate one."""
+    centroids = train_cells(vectors, cells)
+    return _ranked(_reduced(queries, vectors, k, centroids, len(centroids)), k)
+
+
+def vector_search_approx(queries: DataFrame, vectors: DataFrame, k: int = 10, *, cells: int = 32, share: float = 0.65) -> DataFrame:
+    """Approximate neighbours: only vectors in the ``share`` of k-means cells nearest to a query are measured.
+
+    Every vector is in the index.  Filters hold before the measuring.  A query that finds fewer than k rows
+    in its cells is answered by the exact search, so all have k rows where there are as many.
     """
-    rng = np.random.default_rng(seed)
-    planes = rng.normal(size=(tables, projections, dimension))
-    offsets = rng.uniform(0, width, size=(tables, projections))
-
-    def bucketed(df: DataFrame) -> DataFrame:
-        def key(t: int) -> Column:
-            parts = [
-                F.floor(
-                    (
-                        F.aggregate(
-                            F.zip_with("embedding", F.lit([float(x) for x in planes[t, p]]), lambda a, b: a * b),
-                            F.lit(0.0),
-                            lambda acc, x: acc + x,
-                        )
-                        + float(offsets[t, p])
-                    )
-                    / width
-                ).cast("string")
-                for p in range(projections)
-            ]
-            return F.concat_ws(":", F.lit(str(t)), *parts)
-
-        return df.withColumn("bucket", F.explode(F.array(*[key(t) for t in range(tables)])))
-
-    same = Window.partitionBy(F.xxhash64("embedding"), "embedding").orderBy("chunk_id")
-    firsts = vectors.withColumn("copy_no", F.row_number().over(same)).where(F.col("copy_no") <= k)
-    left = bucketed(queries.select("query_id", "embedding")).withColumnRenamed("embedding", "point")
-    right = bucketed(firsts.select("chunk_id", "doc_uid", "embedding"))
-    pairs = (
-        right.join(left, "bucket")
-        .groupBy("query_id", "chunk_id")
-        .agg(F.first("doc_uid").alias("doc_uid"), F.first("embedding").alias("embedding"), F.first("point").alias("point"))
-        .select("query_id", "chunk_id", "doc_uid", pair_distance("embedding", "point").alias("distance"))
-    )
-    return _ranked(pairs, k)
+    centroids = train_cells(vectors, cells)
+    found = _reduced(queries, vectors, k, centroids, max(1, int(np.ceil(share * len(centroids)))))
+    near = _ranked(found, k)
+    full = near.where(F.col("rank") == k).select("query_id")
+    short = queries.join(full, "query_id", "left_anti")
+    return near.join(full, "query_id", "left_semi").unionByName(vector_search(short, vectors, k))
 
 
 def rebuild_vectors(chunks: DataFrame, dimension: int = DIMENSION) -> DataFrame:

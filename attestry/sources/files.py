@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import json
 import re
+from urllib.parse import quote
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -153,12 +155,20 @@ def _parse_config(text: str, path: str):
 
 
 def load_term_dictionary(spark: SparkSession, path: str) -> TermDictionary:
-    """Term dictionary of a JSON file; a missing or broken file gives an empty one."""
+    """Term dictionary of all JSON files of a path, by file name; a missing path gives an empty one.
+
+    Dictionaries are configuration, so they are read on the driver.  A broken file counts as empty, a read
+    that fails is an error.
+    """
     try:
-        rows = spark.read.option("wholetext", True).text(path).limit(1).collect()
-    except Exception:  # a missing path is an empty dictionary
+        files = spark.read.option("wholetext", True).text(path)
+    except AnalysisException as exc:
+        if exc.getCondition() != "PATH_NOT_FOUND":
+            raise
         return TermDictionary()
-    return TermDictionary.from_json(rows[0].value.lstrip("\ufeff")) if rows else TermDictionary()
+    rows = files.select(F.col("_metadata.file_path").alias("p"), "value").collect()
+    parts = [TermDictionary.from_json(r.value.lstrip("\ufeff")) for r in sorted(rows, key=lambda r: r.p)]
+    return TermDictionary(variants=tuple(v for d in parts for v in d.variants), entities=tuple(e for d in parts for e in d.entities))
 
 
 def dictionary_rows(spark: SparkSession, dictionary: TermDictionary) -> DataFrame:
@@ -189,13 +199,17 @@ def append_job_log(log: DataFrame, folder: str) -> None:
 
 
 def write_check_result(checks: DataFrame, claims: DataFrame, rule_hits: DataFrame, folder: str, run_id: str) -> None:
-    """Three tables of one run; the run becomes visible with its marker, written last."""
+    """Three tables of one run; the run becomes visible with its marker, written last.
+
+    A run has folders of its own, so writing it again replaces it.
+    """
+    own = quote(run_id, safe="")
     for name, table in (("checks", checks), ("claims", claims), ("rule_hits", rule_hits)):
-        table.withColumn("run_id", F.lit(run_id)).write.mode("append").partitionBy("run_id").parquet(f"{folder}/{name}")
-    checks.sparkSession.createDataFrame([(run_id,)], "run_id string").write.mode("append").parquet(f"{folder}/runs")
+        table.withColumn("run_id", F.lit(run_id)).write.mode("overwrite").parquet(f"{folder}/{name}/{own}")
+    checks.sparkSession.createDataFrame([(run_id,)], "run_id string").coalesce(1).write.mode("overwrite").parquet(f"{folder}/runs/{own}")
 
 
 def read_check_result(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """Rows of completed runs only."""
-    done = spark.read.parquet(f"{folder}/runs").distinct()
-    return spark.read.parquet(f"{folder}/{name}").join(done, "run_id", "left_semi")
+    read = lambda n: spark.read.option("recursiveFileLookup", True).parquet(f"{folder}/{n}")
+    return read(name).join(read("runs").distinct(), "run_id", "left_semi")

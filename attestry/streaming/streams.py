@@ -14,49 +14,60 @@ from attestry.plans.corpus import Corpus
 from attestry.sources.files import documents_from_text, write_check_result
 
 
-def _read_version(spark: SparkSession, folder: str, name: str, version: int) -> DataFrame | None:
-    try:
-        return spark.read.parquet(f"{folder}/{name}/version={version}")
-    except Exception:  # first run: nothing stored yet
-        return None
+def _present(spark: SparkSession, path: str) -> bool:
+    """Whether a path is there; a store that can't be asked is an error."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
+
+
+def _versions(spark: SparkSession, folder: str) -> list:
+    """Committed versions (version, stream, batch), oldest first."""
+    if not _present(spark, f"{folder}/versions"):
+        return []
+    return sorted(spark.read.schema("version int, stream string, batch long").parquet(f"{folder}/versions").collect())
 
 
 def latest_version(spark: SparkSession, folder: str) -> int:
     """Newest committed version of the stored tables; -1 when there is none."""
-    try:
-        return spark.read.parquet(f"{folder}/versions").agg(F.max("version")).first()[0]
-    except Exception:
-        return -1
+    return max((v.version for v in _versions(spark, folder)), default=-1)
+
 
+def _commit(spark: SparkSession, folder: str, version: int, stream: str, batch: int) -> None:
+    marker = spark.createDataFrame([(version, stream, batch)], "version int, stream string, batch long")
+    marker.coalesce(1).write.mode("append").parquet(f"{folder}/versions")
 
-def ingest_batch(batch: DataFrame, folder: str, version: int) -> None:
+
+def ingest_batch(batch: DataFrame, folder: str, number: int, stream: str = "default") -> None:
     """One batch of (path, value) files merged into the stored documents and chunks.
 
-    Unchanged content is skipped before it is parsed; changed documents replace theirs.
-    Tables are written under a new version that counts only once its marker is there, so a
-    batch run again after a failure gives the same tables.
+    A batch is known by its stream and number: sent again it changes nothing, while batch 0 of a stream that
+    starts anew over an existing store is a batch like others.  Unchanged content is skipped before it is
+    parsed; changed documents replace theirs.  Tables are written under a new version that counts only once
+    its marker is there, so a batch run again after a failure gives the same tables.
     """
     spark = batch.sparkSession
-    before = latest_version(spark, folder)
-    if before >= version:
+    committed = _versions(spark, folder)
+    if any((v.stream, v.batch) == (stream, number) for v in committed):
         return
+    before = max((v.version for v in committed), default=-1)
+    version = before + 1
     versionless = batch.withColumn("path", F.regexp_replace("path", r"@[0-9]+(\.[A-Za-z]+)$", "$1"))
     newest = versionless.groupBy("path").agg(F.max_by("value", "modified").alias("value"), F.max("modified").alias("modified"))
     incoming = documents_from_text(newest).join(newest.select(F.col("path").alias("source_path"), "modified"), "source_path")
     incoming = incoming.withColumn("created_at", F.col("modified")).withColumn("updated_at", F.col("modified")).drop("modified")
-    stored = _read_version(spark, folder, "docs", before)
-    old = _read_version(spark, folder, "chunks", before)
-    stored = incoming.limit(0) if stored is None else stored
+    stored = incoming.limit(0) if before < 0 else spark.read.parquet(f"{folder}/docs/version={before}")
     change = detect_changes(incoming, stored).where(F.col("change").isin("new", "changed", "moved"))
     fresh = incoming.join(change.select("source_path"), "source_path", "left_semi")
     docs = cut_lineage(upsert_documents(stored, fresh.select(*stored.columns)))
     # Two files may share a doc_uid; only the one that was kept is cut into chunks.
     kept = docs.join(fresh.select("doc_uid", "source_path"), ["doc_uid", "source_path"], "left_semi")
     made = build_chunks(kept)
-    chunks = made if old is None else replace_derived_rows(old, kept, made.select(*old.columns))
+    if before >= 0:
+        old = spark.read.parquet(f"{folder}/chunks/version={before}")
+        made = replace_derived_rows(old, kept, made.select(*old.columns))
     docs.write.mode("overwrite").parquet(f"{folder}/docs/version={version}")
-    chunks.write.mode("overwrite").parquet(f"{folder}/chunks/version={version}")
-    spark.createDataFrame([(version,)], "version int").write.mode("append").parquet(f"{folder}/versions")
+    made.write.mode("overwrite").parquet(f"{folder}/chunks/version={version}")
+    _commit(spark, folder, version, stream, number)
 
 
 def landing_files(spark: SparkSession, landing: str) -> DataFrame:
@@ -78,7 +89,7 @@ def landing_files(spark: SparkSession, landing: str) -> DataFrame:
 def stream_ingest(files: DataFrame, folder: str, checkpoint: str) -> StreamingQuery:
     """Take in a stream of (path, modified, value) files and keep the tables up to date."""
     return (
-        files.writeStream.foreachBatch(lambda batch, version: ingest_batch(batch, folder, int(version)))
+        files.writeStream.foreachBatch(lambda batch, number: ingest_batch(batch, folder, int(number), checkpoint))
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()
@@ -102,16 +113,35 @@ def review_status(events: DataFrame) -> DataFrame:
 
 
 def stream_to_folder(aggregated: DataFrame, folder: str, checkpoint: str) -> StreamingQuery:
-    """Run an aggregation over a stream and keep its current state as a table in a folder."""
+    """Run an aggregation over a stream and keep its current state as a table in a folder.
+
+    Each batch's state is a folder of its own that counts once its marker is there, so a reader never meets a
+    table that is being written; a batch run again writes the same folder.
+    """
+
+    def keep(state: DataFrame, number: int) -> None:
+        state.write.mode("overwrite").parquet(f"{folder}/state/batch={number}")
+
     return (
         aggregated.writeStream.outputMode("complete")
-        .foreachBatch(lambda state, _: state.write.mode("overwrite").parquet(folder))
+        .foreachBatch(keep)
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()
     )
 
 
+def read_state(spark: SparkSession, folder: str) -> DataFrame:
+    """The newest whole state that ``stream_to_folder`` has written."""
+    jvm = spark._jvm
+    top = jvm.org.apache.hadoop.fs.Path(f"{folder}/state")
+    files = top.getFileSystem(spark._jsc.hadoopConfiguration())
+    found = [s.getPath() for s in files.listStatus(top)]
+    whole = [p for p in found if files.exists(jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS"))]
+    newest = max(whole, key=lambda p: int(p.getName().rpartition("=")[2]))
+    return spark.read.parquet(newest.toString())
+
+
 def stream_check(
     texts: DataFrame, corpus: Corpus, rules: DataFrame, folder: str, checkpoint: str, **options
 ) -> StreamingQuery:

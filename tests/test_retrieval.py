@@ -55,7 +55,7 @@ def test_vector_search_and_cells_equal_brute_force(spark):
 def test_approximate_search_finds_copies(spark):
     points, table = vectors(spark)
     queries = spark.createDataFrame([(0, [float(x) for x in points[0]])], "query_id int, embedding array<double>")
-    got = [r.chunk_id for r in vc.vector_search_approx(queries, table, 5, dimension=4).orderBy("rank").collect()]
+    got = [r.chunk_id for r in vc.vector_search_approx(queries, table, 5).orderBy("rank").collect()]
     assert got == ["c000", "c060", "c061", "c062", "c063"]
 
 

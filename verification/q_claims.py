@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from functools import lru_cache
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from attestry import lexicons as lx
@@ -50,19 +51,24 @@ def max_rule_level(i: Inputs):
     return cl.max_rule_level(rule_hits(i))
 
 
+DRIVING_TERMS = 2
+
+
 @lru_cache(maxsize=None)
 def labelled_hits(i: Inputs):
-    """Every claim word that stands in few chunks, as a labelled hit list with scores.
+    """Chunks that hold one of a claim's ``DRIVING_TERMS`` rarest words, as a labelled hit list with scores.
 
-    A cheap stand-in for the candidate search, so that merging, ranking and selecting are
-    tested on whole tables by themselves.
+    The search by rarest term without the ranking, so that merging, ranking and selecting are tested on whole
+    tables by themselves. Every claim with a word that stands in the corpus has hits, whatever its size.
     """
     words = F.array_distinct(F.regexp_extract_all(F.lower("claim_text"), F.lit(r"[\p{L}\p{N}]{6,}"), F.lit(0)))
     terms = i.claims.select("claim_id", F.posexplode(words).alias("p", "term"))
     labels = F.array(*[F.lit(x) for x in ("claim_literal", "logic_relaxed", "topic_focus", "keyword_focus", "counter_probe")])
     postings = i.corpus.word_sets.select("chunk_id", "doc_uid", "chunk_index", F.explode("terms").alias("term"))
-    rare = postings.groupBy("term").agg(F.count(F.lit(1)).alias("n")).where("n <= 20").select("term")
-    hits = terms.join(rare, "term").join(postings, "term")
+    frequency = postings.groupBy("term").agg(F.count(F.lit(1)).alias("n"))
+    order = Window.partitionBy("claim_id").orderBy("n", "p")
+    driving = terms.join(frequency, "term").withColumn("r", F.row_number().over(order)).where(F.col("r") <= DRIVING_TERMS).select("claim_id", "p", "term")
+    hits = driving.join(postings, "term")
     return cut_lineage(
         hits.select(
             "claim_id",
@@ -222,10 +228,8 @@ def retrieval_policy(i: Inputs):
 
 @lru_cache(maxsize=None)
 def checked(i: Inputs):
-    """All benchmark passages checked against the corpus."""
-    b = i.table("benchmark")
-    texts = b.select(F.concat(F.lit("b"), F.col("item_id").cast("string")).alias("check_id"), F.col("text").alias("input_text"))
-    return run_check(texts, i.corpus, i.rules, lexicon=vi.LOGIC)
+    """All turns of the conversations checked against the corpus, each with its own tags."""
+    return run_check(i.texts, i.corpus, i.rules, tags="tags", lexicon=vi.LOGIC)
 
 
 @register("run_check")

@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 from functools import lru_cache
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from attestry.functions import plugins as pl
@@ -172,6 +173,21 @@ def set_default_kb(i: Inputs):
     return ig.set_default_kb(bases(i), again.withColumn("is_default", number >= 10).withColumn("name", F.upper("name")))
 
 
+@register("kb_listing")
+def kb_listing(i: Inputs):
+    """Each base with its place in the list."""
+    order = Window.orderBy(F.desc("is_default"), F.desc("updated_at"), "name")
+    return ig.kb_listing(bases(i)).withColumn("place", F.row_number().over(order)).select("place", "knowledge_base_id")
+
+
+@register("kb_lookup")
+def kb_lookup(i: Inputs):
+    """Every third document's request names no base or a blank one."""
+    n = F.col("doc_id")
+    asked = i.table("documents").select("doc_id", F.when(n % 3 == 0, F.lit(None)).when(n % 3 == 1, "").otherwise(F.col("source")).alias("knowledge_base_id"))
+    return ig.kb_lookup(asked, bases(i))
+
+
 @register("normalize_kb_id")
 def normalize_kb_id(i: Inputs):
     """Lines of documents as names."""
@@ -526,8 +542,8 @@ def table_stream(i: Inputs, name: str):
 
 def run_stream(i: Inputs, aggregated, name: str):
     folder = fresh_folder(i, name)
-    ss.stream_to_folder(aggregated, f"{folder}/state", f"{folder}/checkpoint").awaitTermination()
-    return i.spark.read.parquet(f"{folder}/state")
+    ss.stream_to_folder(aggregated, folder, f"{folder}/checkpoint").awaitTermination()
+    return ss.read_state(i.spark, folder)
 
 
 @register("stream_progress")
@@ -537,6 +553,13 @@ def stream_progress(i: Inputs):
     return run_stream(i, ss.progress_by_document(e), "progress")
 
 
+@register("overall_progress")
+def overall_progress(i: Inputs):
+    """The same progress over all documents."""
+    e = i.events.select(F.col("user_id").alias("doc_uid"), F.col("event_id").alias("seq"), F.col("event_type").alias("stage"), F.col("value").alias("percent"))
+    return ss.overall_progress(ss.progress_by_document(e))
+
+
 @register("stream_review_status")
 def stream_review_status(i: Inputs):
     kind = F.col("event_type")

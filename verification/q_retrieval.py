@@ -89,6 +89,16 @@ def vector_search_approx(i: Inputs):
     return vc.vector_search_approx(q, stored_vectors(i), 5).select("query_id", "rank", "chunk_id", "score")
 
 
+@register("vector_search_recall")
+def vector_search_recall(i: Inputs):
+    """Share of the exact five neighbours, a vector's own match left out, that the approximate search finds."""
+    q = i.table("embeddings").select(F.col("vec_id").alias("query_id"), "embedding")
+    pairs = lambda found: found.where("query_id <> chunk_id").select("query_id", "chunk_id")
+    exact, near = pairs(vc.vector_search(q, stored_vectors(i), 6)), pairs(vc.vector_search_approx(q, stored_vectors(i), 6))
+    both = exact.join(near.withColumn("found", F.lit(1)), ["query_id", "chunk_id"], "left")
+    return both.agg(F.count(F.lit(1)).alias("neighbours"), F.round(F.avg(F.coalesce("found", F.lit(0))), 4).alias("recall"))
+
+
 @register("attach_metadata")
 def attach_metadata(i: Inputs):
     hits = search.search_fulltext(i.queries, i.corpus, 10).select("query_id", "rank", "chunk_id", "doc_uid")

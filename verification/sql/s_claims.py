@@ -54,7 +54,8 @@ part(
     CASE WHEN t.p % 3 = 0 THEN 'vector' ELSE 'fulltext' END AS ms FROM (
       SELECT claim_id, term, min(o) AS o, row_number() OVER (PARTITION BY claim_id ORDER BY min(o)) - 1 AS p FROM (
         SELECT claim_id, unnest(l) AS term, generate_subscripts(l, 1) AS o FROM (SELECT claim_id, regexp_extract_all(lower(claim_text), '[\\p{L}\\p{N}]{6,}') AS l FROM claims)) GROUP BY claim_id, term) t
-    JOIN (SELECT term FROM postings GROUP BY term HAVING count(*) <= 20) r ON r.term = t.term JOIN postings p ON p.term = t.term""",
+    JOIN (SELECT term, count(*) AS n FROM postings GROUP BY term) r ON r.term = t.term JOIN postings p ON p.term = t.term
+    QUALIFY dense_rank() OVER (PARTITION BY t.claim_id ORDER BY r.n, t.p) <= 2""",
 )
 part(
     "candidates",

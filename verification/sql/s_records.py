@@ -90,6 +90,11 @@ oracle(
     f"""SELECT knowledge_base_id, CASE WHEN plain AND num % 2 = 0 THEN upper('base ' || knowledge_base_id) ELSE 'base ' || knowledge_base_id END AS name,
     knowledge_base_id = (SELECT max_by(knowledge_base_id, num) FROM bases WHERE plain AND num % 2 = 0 AND num >= 10) AS is_default, ({vi.EPOCH} + num * 60){US} AS created_at, ({vi.EPOCH} + num * 61){US} AS updated_at FROM bases""",
 )
+oracle(
+    "kb_listing",
+    "SELECT row_number() OVER (ORDER BY is_default DESC, num DESC, 'base ' || knowledge_base_id) AS place, knowledge_base_id FROM bases",
+)
+oracle("kb_lookup", "SELECT doc_id, CASE WHEN doc_id % 3 = 2 THEN source ELSE 'src1-empty' END AS knowledge_base_id FROM documents")
 oracle(
     "normalize_kb_id",
     f"""SELECT conv_id, turn, k AS kb_id, k IS NOT NULL AS valid FROM (SELECT conv_id, turn, nullif(trim(regexp_replace(regexp_replace({strip("' _' || regexp_replace(text, '[a-m]', '.', 'g')")}, '[^0-9A-Za-z_\\-一-{chr(0x9fff)}]+', '_', 'g'), '_+', '_', 'g'), '_'), '') AS k FROM conversations)""",
@@ -319,6 +324,10 @@ oracle(
 
 # ------------------------------------------------------------------ K, L
 oracle("stream_progress", "SELECT user_id AS doc_uid, max_by(event_type, event_id) AS stage, max_by(value, event_id) AS percent FROM events GROUP BY user_id")
+oracle(
+    "overall_progress",
+    "SELECT count(*) AS document_count, round(avg(p), 2) AS overall_percent FROM (SELECT max_by(value, event_id) AS p FROM events GROUP BY user_id)",
+)
 oracle("stream_review_status", "SELECT claim_id, review_status FROM claim_status WHERE claim_id IN (SELECT claim_id FROM review_rows)")
 oracle("embed_with", "SELECT chunk_id, length(content)::DOUBLE AS chars, (length(content) - length(replace(content, 'e', '')))::DOUBLE AS es FROM chunks")
 oracle(
