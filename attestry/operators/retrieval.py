@@ -31,8 +31,17 @@ def chunk_word_sets(chunks: DataFrame, dictionary: TermDictionary = DEFAULT_DICT
 
 def build_postings(chunks: DataFrame, dictionary: TermDictionary = DEFAULT_DICTIONARY) -> DataFrame:
     """(term, chunk_id, doc_uid, knowledge_base_id)."""
-    sets = chunk_word_sets(chunks, dictionary)
-    return sets.select(F.explode("terms").alias("term"), "chunk_id", "doc_uid", "knowledge_base_id")
+    return postings_of(chunk_word_sets(chunks, dictionary)).drop("chunk_index")
+
+
+def postings_of(word_sets: DataFrame) -> DataFrame:
+    """(term, chunk_id, doc_uid, knowledge_base_id, chunk_index): the index by term; no row holds more than one term."""
+    return word_sets.select(F.explode("terms").alias("term"), "chunk_id", "doc_uid", "knowledge_base_id", "chunk_index")
+
+
+def term_frequencies(postings: DataFrame, scope: Sequence[str] = ()) -> DataFrame:
+    """(…scope, term, found): the chunks that hold each term."""
+    return postings.groupBy(*scope, "term").agg(F.count(F.lit(1)).alias("found"))
 
 
 # -------------------------------------------------------------------- full-text AND
@@ -55,12 +64,18 @@ def _with_filters(queries: DataFrame, scope: Sequence[str]) -> DataFrame:
     return queries
 
 
-def fulltext_match(variants: DataFrame, word_sets: DataFrame, scope: Sequence[str] = ()) -> DataFrame:
+def fulltext_match(
+    variants: DataFrame,
+    word_sets: DataFrame,
+    scope: Sequence[str] = (),
+    postings: DataFrame | None = None,
+    frequencies: DataFrame | None = None,
+) -> DataFrame:
     """(query_id, variant_no, chunk_id, doc_uid, chunk_index): chunks with every query term.
 
-    ``variants`` is (query_id, variant_no, text, …filters).  Each variant enters through its
-    rarest term only and the other terms are checked against the chunk's own term set, so
-    common terms never form join groups and no per-pair counting shuffle is needed.
+    ``variants`` is (query_id, variant_no, text, …filters).  Each variant enters the postings through its
+    rarest term only, so common terms never form join groups; the term sets are fetched by chunk for the
+    candidates that this leaves.  ``postings`` and ``frequencies`` are the stored index where there is one.
     ``scope`` names filters every variant has; they become join keys.
     """
     scope = list(scope)
@@ -68,17 +83,14 @@ def fulltext_match(variants: DataFrame, word_sets: DataFrame, scope: Sequence[st
     filters = [c for c in variants.columns if c.startswith("f_")]
     wanted = variants.select("query_id", "variant_no", *scope, *filters, tx.words_of("text").alias("need")).where(F.size("need") > 0)
     by_term = wanted.select("query_id", "variant_no", *scope, *filters, "need", F.explode("need").alias("term"))
-    counted = (
-        word_sets.select(*scope, F.explode("terms").alias("term"))
-        .join(by_term.select(*scope, "term").distinct(), [*scope, "term"])
-        .groupBy(*scope, "term")
-        .agg(F.count(F.lit(1)).alias("found"))
-    )
-    drivers = rarest_keys(by_term, counted, ["query_id", "variant_no"], scope, "term")
-    columns = ["chunk_id", "doc_uid", "knowledge_base_id", "chunk_index"]
-    exploded = word_sets.select(*columns, "terms", F.explode("terms").alias("term"))
-    joined = exploded.join(drivers, [*scope, "term"]).where(F.size(F.array_except("need", "terms")) == 0)
-    return joined.where(_filters_hold(joined)).select("query_id", "variant_no", "chunk_id", "doc_uid", "chunk_index")
+    postings = postings_of(word_sets) if postings is None else postings
+    if frequencies is None or scope:
+        frequencies = term_frequencies(postings.join(by_term.select(*scope, "term").distinct(), [*scope, "term"], "left_semi"), scope)
+    drivers = rarest_keys(by_term, frequencies, ["query_id", "variant_no"], scope, "term")
+    found = postings.join(drivers, [*scope, "term"])
+    found = found.where(_filters_hold(found)).select("query_id", "variant_no", "need", "chunk_id", "doc_uid", "chunk_index")
+    held = found.join(word_sets.select("chunk_id", "terms"), "chunk_id").where(F.size(F.array_except("need", "terms")) == 0)
+    return held.select("query_id", "variant_no", "chunk_id", "doc_uid", "chunk_index")
 
 
 def substring_fallback(variants: DataFrame, matched: DataFrame, chunks: DataFrame, scope: Sequence[str] = ()) -> DataFrame:
@@ -115,10 +127,10 @@ def fulltext_search(
     return fulltext_hits(queries, chunks, chunk_word_sets(chunks, dictionary), k, dictionary)
 
 
-def fulltext_hits(queries, chunks, word_sets, k: int = 10, dictionary: TermDictionary = DEFAULT_DICTIONARY) -> DataFrame:
+def fulltext_hits(queries, chunks, word_sets, k: int = 10, dictionary: TermDictionary = DEFAULT_DICTIONARY, postings: DataFrame | None = None, frequencies: DataFrame | None = None) -> DataFrame:
     # Variants and matches are each read several times below.
     variants = cut_lineage(nz.expand_queries(queries, dictionary, limit=6))
-    matched = cut_lineage(fulltext_match(variants, word_sets))
+    matched = cut_lineage(fulltext_match(variants, word_sets, postings=postings, frequencies=frequencies))
     fallback = substring_fallback(variants, matched, chunks)
     both = matched.withColumn("newest", F.lit(None).cast("timestamp")).unionByName(
         fallback.withColumnRenamed("updated_at", "newest")

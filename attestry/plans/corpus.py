@@ -1,4 +1,4 @@
-"""Documents to stored index tables: sections, chunks, chunk word sets and vectors."""
+"""Documents to stored index tables: sections, chunks, chunk word sets, postings and vectors."""
 
 from __future__ import annotations
 
@@ -21,6 +21,9 @@ class Corpus:
     word_sets: DataFrame
     vectors: DataFrame
     dictionary: TermDictionary = DEFAULT_DICTIONARY
+    # The stored full-text index: one row a term and chunk, in order of terms, and the chunks of each term.
+    postings: DataFrame | None = None
+    frequencies: DataFrame | None = None
 
 
 def derive(docs: DataFrame, dictionary: TermDictionary = DEFAULT_DICTIONARY) -> Corpus:
@@ -56,7 +59,10 @@ def store(corpus: Corpus, folder: str, partition_by: str | None = None) -> Corpu
     chunks = write(structure.build_chunks(docs), "chunks")
     word_sets = write(retrieval.chunk_word_sets(chunks, corpus.dictionary), "word_sets")
     vecs = write(vectors.embed_hash(chunks), "vectors")
-    return Corpus(docs, sections, chunks, word_sets, vecs, corpus.dictionary)
+    # Ranges of (term, chunk): a term that most chunks hold is spread over several files.
+    postings = write(retrieval.postings_of(word_sets).repartitionByRange("term", "chunk_id").sortWithinPartitions("term"), "postings")
+    frequencies = write(retrieval.term_frequencies(postings), "frequencies")
+    return Corpus(docs, sections, chunks, word_sets, vecs, corpus.dictionary, postings, frequencies)
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:

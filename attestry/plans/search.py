@@ -9,15 +9,14 @@ from attestry.plans.corpus import Corpus
 
 
 def search_fulltext(queries: DataFrame, corpus: Corpus, k: int = 10) -> DataFrame:
-    return retrieval.fulltext_hits(queries, corpus.chunks, corpus.word_sets, k, corpus.dictionary)
+    return retrieval.fulltext_hits(queries, corpus.chunks, corpus.word_sets, k, corpus.dictionary, corpus.postings, corpus.frequencies)
 
 
 def search_vector(queries: DataFrame, corpus: Corpus, k: int = 10) -> DataFrame:
-    """Vector hits whose document exists."""
+    """The nearest vectors among those whose document exists."""
     keep = [c for c in ("doc_uid", "knowledge_base_id") if c in queries.columns]
     embedded = queries.select("query_id", *keep, vectors.hash_vector(queries["text"]).alias("embedding"))
-    hits = vectors.vector_search(embedded, corpus.vectors, k)
-    return hits.join(corpus.docs.select("doc_uid"), "doc_uid", "left_semi")
+    return vectors.vector_search(embedded, corpus.vectors.join(corpus.docs.select("doc_uid"), "doc_uid", "left_semi"), k)
 
 
 def search_hybrid(

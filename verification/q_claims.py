@@ -64,8 +64,8 @@ def labelled_hits(i: Inputs):
     words = F.array_distinct(F.regexp_extract_all(F.lower("claim_text"), F.lit(r"[\p{L}\p{N}]{6,}"), F.lit(0)))
     terms = i.claims.select("claim_id", F.posexplode(words).alias("p", "term"))
     labels = F.array(*[F.lit(x) for x in ("claim_literal", "logic_relaxed", "topic_focus", "keyword_focus", "counter_probe")])
-    postings = i.corpus.word_sets.select("chunk_id", "doc_uid", "chunk_index", F.explode("terms").alias("term"))
-    frequency = postings.groupBy("term").agg(F.count(F.lit(1)).alias("n"))
+    postings = i.corpus.postings.select("chunk_id", "doc_uid", "chunk_index", "term")
+    frequency = i.corpus.frequencies.withColumnRenamed("found", "n")
     order = Window.partitionBy("claim_id").orderBy("n", "p")
     driving = terms.join(frequency, "term").withColumn("r", F.row_number().over(order)).where(F.col("r") <= DRIVING_TERMS).select("claim_id", "p", "term")
     hits = driving.join(postings, "term")

@@ -24,7 +24,7 @@ def variants(i: Inputs):
 
 @register("fulltext_match")
 def fulltext_match(i: Inputs):
-    return rt.fulltext_match(variants(i), i.corpus.word_sets)
+    return rt.fulltext_match(variants(i), i.corpus.word_sets, postings=i.corpus.postings, frequencies=i.corpus.frequencies)
 
 
 @register("substring_fallback")
@@ -34,7 +34,7 @@ def substring_fallback(i: Inputs):
         "query_id", F.lit(1).alias("variant_no"), F.regexp_extract("text", "^[^ ]([^ ]+)", 1).alias("text")
     )
     both = variants(i).unionByName(pieces.withColumn("query_id", F.concat(F.lit("p"), "query_id")))
-    matched = rt.fulltext_match(both, i.corpus.word_sets)
+    matched = rt.fulltext_match(both, i.corpus.word_sets, postings=i.corpus.postings, frequencies=i.corpus.frequencies)
     return rt.substring_fallback(both, matched, i.corpus.chunks).drop("updated_at")
 
 
