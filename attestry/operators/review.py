@@ -25,6 +25,19 @@ def latest_review_status(claims: DataFrame, reviews: DataFrame) -> DataFrame:
     return claims.select("claim_id").join(newest, "claim_id", "left").na.fill({"review_status": "pending"})
 
 
+def delete_reviews(reviews: DataFrame, requests: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Reviews without the requested ones, and the deleted ones with the status their claim falls back to.
+
+    ``requests`` is (review_id); unknown ids delete nothing.  The status is that of the claim's newest
+    review that is left, else pending.
+    """
+    wanted = requests.select("review_id").distinct()
+    left = reviews.join(wanted, "review_id", "left_anti")
+    gone = reviews.join(wanted, "review_id", "left_semi")
+    newest = left.groupBy("claim_id").agg(F.max_by("review_action", F.struct("created_at", "review_id")).alias("restored_review_status"))
+    return left, gone.join(newest, "claim_id", "left").na.fill({"restored_review_status": "pending"})
+
+
 def review_queue(claims: DataFrame, checks: DataFrame, limit: int | None = 50) -> DataFrame:
     """Claims with their check; pending first, then the latest update."""
     c = checks.select("check_id", "knowledge_base_id", F.col("created_at").alias("check_created_at"))

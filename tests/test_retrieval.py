@@ -132,3 +132,54 @@ def test_stream_ingest_follows_versions(spark, tmp_path):
     version = ss.latest_version(spark, folder)
     texts = sorted(r.content for r in spark.read.parquet(f"{folder}/chunks/version={version}").collect())
     assert texts == ["first", "same"] and version == 2
+
+
+def test_ingest_batches_count_once(spark, tmp_path):
+    folder = str(tmp_path / "out")
+    rows = lambda *r: spark.createDataFrame([(*x, 1) for x in r], "path string, value string, at long").select("path", "value", F.timestamp_seconds("at").alias("modified"))
+    ss.ingest_batch(rows(("kb/a.md", "# A\none")), folder, 0, "s1")
+    ss.ingest_batch(rows(("kb/a.md", "# A\nother")), folder, 0, "s1")  # the same batch again
+    ss.ingest_batch(rows(("kb/b.md", "# B\ntwo")), folder, 0, "s2")  # a new stream over the same store
+    version = ss.latest_version(spark, folder)
+    assert version == 1
+    assert sorted(r.content for r in spark.read.parquet(f"{folder}/chunks/version={version}").collect()) == ["one", "two"]
+
+
+def test_a_failed_read_is_no_empty_store(spark, tmp_path):
+    import pytest
+
+    folder = tmp_path / "out"
+    (folder / "versions").mkdir(parents=True)
+    (folder / "versions" / "part-0.parquet").write_text("broken")
+    with pytest.raises(Exception):
+        ss.latest_version(spark, str(folder))
+    assert ss.latest_version(spark, str(tmp_path / "none")) == -1
+
+
+def test_a_result_written_again_replaces_itself(spark, tmp_path):
+    from attestry.sources import files as sf
+
+    frame = lambda *v: spark.createDataFrame([(x,) for x in v], "check_id string")
+    for claims in (frame("a", "b"), frame("a", "b", "c")):
+        sf.write_check_result(frame("a"), claims, frame("a"), str(tmp_path), "run/1")
+    sf.write_check_result(frame("a"), frame("z"), frame("a"), str(tmp_path), "run-2")
+    got = sorted((r.run_id, r.check_id) for r in sf.read_check_result(spark, str(tmp_path), "claims").collect())
+    assert got == [("run-2", "z"), ("run/1", "a"), ("run/1", "b"), ("run/1", "c")]
+
+
+def test_dictionaries_of_several_files_are_merged(spark, tmp_path):
+    from attestry.sources import files as sf
+
+    (tmp_path / "a.json").write_text('{"variants": {"x": "y"}, "entities": [{"canonical": "c", "aliases": ["d"]}]}')
+    (tmp_path / "b.json").write_text('{"variants": {"p": "q"}}')
+    found = sf.load_term_dictionary(spark, f"{tmp_path}/*.json")
+    assert dict(found.variants) == {"x": "y", "p": "q"} and found.entities == (("c", ("d",)),)
+    assert sf.load_term_dictionary(spark, f"{tmp_path}/none.json").variants == ()
+
+
+def test_approximate_search_fills_filtered_queries_and_finds_most(spark):
+    points, table = vectors(spark)
+    queries = spark.createDataFrame([(i, [float(x) for x in points[i]]) for i in range(40)], "query_id int, embedding array<double>")
+    exact = {(r.query_id, r.chunk_id) for r in vc.vector_search(queries, table, 6).collect()}
+    near = {(r.query_id, r.chunk_id) for r in vc.vector_search_approx(queries, table, 6).collect()}
+    assert len(near) == len(exact) and len(near & exact) >= 0.9 * len(exact)

@@ -386,6 +386,13 @@ def filter_review_queue(i: Inputs):
     return rv.filter_review_queue(queue, "processed", "high").select("claim_id", "review_status", "risk_level", "side")
 
 
+@register("delete_reviews")
+def delete_reviews(i: Inputs):
+    """Every purchase's review is taken back, and ids that are no reviews are asked for as well."""
+    asked = i.events.where("event_type not in ('error', 'click')").select(F.col("event_id").alias("review_id"))
+    return rv.delete_reviews(i.reviews, asked)[1].select("review_id", "claim_id", "review_action", "restored_review_status")
+
+
 @register("review_history")
 def review_history(i: Inputs):
     return rv.review_history(i.reviews, i.review_claims, i.review_checks, page=2, page_size=15).select("review_id", "claim_id", "check_id", "knowledge_base_id", "review_action", "position", "total")

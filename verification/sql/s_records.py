@@ -90,6 +90,12 @@ oracle(
     f"""SELECT knowledge_base_id, CASE WHEN plain AND num % 2 = 0 THEN upper('base ' || knowledge_base_id) ELSE 'base ' || knowledge_base_id END AS name,
     knowledge_base_id = (SELECT max_by(knowledge_base_id, num) FROM bases WHERE plain AND num % 2 = 0 AND num >= 10) AS is_default, ({vi.EPOCH} + num * 60){US} AS created_at, ({vi.EPOCH} + num * 61){US} AS updated_at FROM bases""",
 )
+oracle(
+    "delete_reviews",
+    """SELECT r.review_id, r.claim_id, r.review_action, coalesce(n.status, 'pending') AS restored_review_status FROM review_rows r
+    LEFT JOIN (SELECT claim_id, max_by(review_action, {'c': created_at, 'i': review_id}) AS status FROM review_rows WHERE review_action <> 'approved' GROUP BY claim_id) n USING (claim_id)
+    WHERE r.review_action = 'approved'""",
+)
 oracle(
     "kb_listing",
     "SELECT row_number() OVER (ORDER BY is_default DESC, num DESC, 'base ' || knowledge_base_id) AS place, knowledge_base_id FROM bases",
