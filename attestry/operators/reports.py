@@ -249,8 +249,9 @@ def get_check_result(checks: DataFrame, claims: DataFrame, rule_hits: DataFrame)
     return checks.join(c, "check_id", "left").join(h, "check_id", "left")
 
 
-def evidence_catalog(chunks: DataFrame, docs: DataFrame, *, knowledge_base_id: str | None = None, query: str = "", limit: int | None = 200) -> DataFrame:
-    """Chunks with document columns in (title, index) order, with an excerpt of 160 characters."""
+def evidence_catalog(chunks: DataFrame, docs: DataFrame, *, knowledge_base_id: str | None = None, query: str = "", limit: int | None = None, excerpt: int = 160, whole: bool = False) -> DataFrame:
+    """Chunks with document columns and an excerpt to show; ``whole`` adds the content, ``limit`` takes the first
+    rows in (title, index) order."""
     rows = chunks.drop("doc_title", "knowledge_base_id").join(docs.select("doc_uid", "knowledge_base_id", "doc_title", "source_name"), "doc_uid")
     if knowledge_base_id:
         rows = rows.where(F.col("knowledge_base_id") == knowledge_base_id)
@@ -263,7 +264,8 @@ def evidence_catalog(chunks: DataFrame, docs: DataFrame, *, knowledge_base_id: s
     picked = rows.select(
         "knowledge_base_id", "doc_uid", "doc_title", "source_name", "chunk_id", "chunk_index", "heading_path",
         "source_start_line", "source_end_line", anchor.alias("source_anchor"), "chunk_type",
-        F.substring("content", 1, 160).alias("content_excerpt"),
+        F.substring("content", 1, excerpt).alias("content_excerpt"),
+        *(["content"] if whole else []),
     )
     return picked if limit is None else picked.orderBy("doc_title", "chunk_index", "chunk_id").limit(max(int(limit), 1))
 

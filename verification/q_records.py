@@ -349,12 +349,12 @@ def get_check_result(i: Inputs):
 @register("evidence_catalog")
 def evidence_catalog(i: Inputs):
     """The whole catalog."""
-    return rp.evidence_catalog(i.corpus.chunks, i.corpus.docs, limit=None)
+    return rp.evidence_catalog(i.corpus.chunks, i.corpus.docs)
 
 
 @register("evidence_catalog_page")
 def evidence_catalog_page(i: Inputs):
-    return rp.evidence_catalog(i.corpus.chunks, i.corpus.docs, knowledge_base_id="src2", query="THON").select("doc_uid", "chunk_id", "chunk_index")
+    return rp.evidence_catalog(i.corpus.chunks, i.corpus.docs, knowledge_base_id="src2", query="THON", limit=200).select("doc_uid", "chunk_id", "chunk_index")
 
 
 @register("paginate")
@@ -519,7 +519,7 @@ def alignment_cases(i: Inputs):
 
 @lru_cache(maxsize=None)
 def alignments(i: Inputs):
-    return cut_lineage(ev.suggest_alignments(alignment_cases(i), rp.evidence_catalog(i.corpus.chunks, i.corpus.docs, limit=None), 3))
+    return cut_lineage(ev.suggest_alignments(alignment_cases(i), rp.evidence_catalog(i.corpus.chunks, i.corpus.docs, whole=True), 3))
 
 
 @register("suggest_alignments")
@@ -539,7 +539,7 @@ def eval_report_rows(i: Inputs):
 
 @register("align_report_rows")
 def align_report_rows(i: Inputs):
-    return ev.align_report_rows(alignment_cases(i), alignments(i), rp.evidence_catalog(i.corpus.chunks, i.corpus.docs, limit=None))
+    return ev.align_report_rows(alignment_cases(i), alignments(i), rp.evidence_catalog(i.corpus.chunks, i.corpus.docs))
 
 
 # ------------------------------------------------------------------ K. streams

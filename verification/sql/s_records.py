@@ -312,7 +312,7 @@ part(
     f"""SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY case_id ORDER BY score DESC, doc_title, chunk_index, chunk_id) AS rank FROM (
       SELECT w.case_id, i.chunk_id, i.doc_uid, i.doc_title, i.chunk_index, sum(w.w)::BIGINT AS score FROM (
         SELECT case_id, unnest({overlap_terms('query')}) AS term, 2 AS w FROM align_cases UNION ALL SELECT case_id, unnest({overlap_terms('expected_evidence')}), 1 FROM align_cases) w
-      JOIN (SELECT chunk_id, doc_uid, doc_title, chunk_index, unnest({overlap_terms("doc_title || ' ' || heading_path || ' ' || content_excerpt")}) AS term FROM catalog) i USING (term) GROUP BY ALL)) WHERE rank <= 3""",
+      JOIN (SELECT chunk_id, doc_uid, doc_title, chunk_index, unnest({overlap_terms("doc_title || ' ' || heading_path || ' ' || content")}) AS term FROM catalog) i USING (term) GROUP BY ALL)) WHERE rank <= 3""",
 )
 oracle("suggest_alignments", "SELECT case_id, rank, chunk_id, doc_uid, score FROM alignments")
 oracle("alignment_coverage", "SELECT count(*) AS case_count, count(a.case_id) AS suggested_case_count, round(count(a.case_id) / count(*), 4) AS suggestion_rate FROM align_cases c LEFT JOIN (SELECT DISTINCT case_id FROM alignments) a USING (case_id)")
