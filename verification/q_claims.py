@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from functools import lru_cache
 
 from pyspark.sql import Window
 from pyspark.sql import functions as F
@@ -54,7 +53,6 @@ def max_rule_level(i: Inputs):
 DRIVING_TERMS = 2
 
 
-@lru_cache(maxsize=None)
 def labelled_hits(i: Inputs):
     """Chunks that hold one of a claim's ``DRIVING_TERMS`` rarest words, as a labelled hit list with scores.
 
@@ -100,7 +98,6 @@ def rank_candidates(i: Inputs):
     return ranked(i).select("claim_id", "chunk_id", "rank")
 
 
-@lru_cache(maxsize=None)
 def annotated(i: Inputs):
     rows = ranked(i).join(i.corpus.chunks.select("chunk_id", "content", "source_span", "doc_title", "section_title"), "chunk_id")
     rows = rows.withColumn("expanded_content", F.col("content")).withColumn("context_mode", F.lit("chunk"))
@@ -117,7 +114,6 @@ def order_evidence(i: Inputs):
     return cl.order_evidence(annotated(i)).select("claim_id", "chunk_id", "order_no")
 
 
-@lru_cache(maxsize=None)
 def selected(i: Inputs):
     return cut_lineage(cl.select_evidence(annotated(i), 4))
 
@@ -226,7 +222,6 @@ def retrieval_policy(i: Inputs):
     return cl.retrieval_policy(checks, policies)
 
 
-@lru_cache(maxsize=None)
 def checked(i: Inputs):
     """All turns of the conversations checked against the corpus, each with its own tags."""
     return run_check(i.texts, i.corpus, i.rules, tags="tags", lexicon=vi.LOGIC)

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import uuid
-from functools import lru_cache
 
 from pyspark.sql import Window
 from pyspark.sql import functions as F
@@ -422,7 +421,6 @@ def resolve_object_kb(i: Inputs):
 
 
 # ------------------------------------------------------------------ J. evaluation
-@lru_cache(maxsize=None)
 def gold(i: Inputs):
     """Benchmark passages with the documents that hold them literally."""
     b = i.table("benchmark").select(F.concat(F.lit("b"), F.col("item_id").cast("string")).alias("query_id"), "text")
@@ -473,9 +471,9 @@ def eval_claim_summary(i: Inputs):
 
 @register("eval_claim_run")
 def eval_claim_run(i: Inputs):
-    b = i.table("benchmark")
-    n = F.col("item_id")
-    cases = b.select(F.concat(F.lit("b"), n.cast("string")).alias("case_id"), F.when(n % 9 != 8, F.col("text")).alias("claim_text"), F.when(n % 2 == 0, "verified").otherwise("needs_review").alias("expected_verdict"))
+    """All conversation turns as cases; every ninth conversation's have no text."""
+    n = F.regexp_extract("check_id", r"c(\d+)-", 1).cast("int")
+    cases = i.texts.select(F.col("check_id").alias("case_id"), F.when(n % 9 != 8, F.col("input_text")).alias("claim_text"), F.when(n % 2 == 0, "verified").otherwise("needs_review").alias("expected_verdict"))
     return ev.eval_claim_run(cases, checked(i).claims)
 
 
@@ -517,7 +515,6 @@ def alignment_cases(i: Inputs):
     return short.join(i.table("benchmark").select(F.col("item_id").alias("case_id"), F.col("text").alias("expected_evidence")), "case_id")
 
 
-@lru_cache(maxsize=None)
 def alignments(i: Inputs):
     return cut_lineage(ev.suggest_alignments(alignment_cases(i), rp.evidence_catalog(i.corpus.chunks, i.corpus.docs, whole=True), 3))
 
