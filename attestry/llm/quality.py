@@ -24,6 +24,7 @@ SAMPLE_ROWS = 10_000  # labelled rows that the rules are fitted on, at most
 MIN_WORDS = 50
 REPEAT_PERCENT = 50
 LEXICON_WORDS = 500
+STEMS = (4, 5)  # letters of the word beginnings that the lexicon may list
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_chars", "n_upper", "n_marks", "n_distinct", "n_lexicon")
 FEATURES = {
     "words": "n_words",
@@ -59,7 +60,7 @@ def _repeats(hashes: np.ndarray, owner: np.ndarray) -> np.ndarray:
     return twice, later
 
 
-def measure(raw: np.ndarray, at: np.ndarray, lexicon: np.ndarray) -> dict[str, np.ndarray]:
+def measure(raw: np.ndarray, at: np.ndarray, lexicon: dict[int, np.ndarray]) -> dict[str, np.ndarray]:
     """The counts of each document of a block."""
     starts, ends, hashes, bounds = texts.words(raw, at, texts.SPACED_WORD)
     owner = texts.owners(bounds)
@@ -78,7 +79,12 @@ def measure(raw: np.ndarray, at: np.ndarray, lexicon: np.ndarray) -> dict[str, n
     _, dup = _repeats(texts.span_hashes(raw, line_starts[worded], line_ends[worded]), line_owner)
     n = len(at) - 1
     lowered = texts.LOWER[raw]
-    _, _, plain, plain_bounds = texts.words(lowered, at, texts.ALNUM_WORD)
+    plain_starts, plain_ends, plain, plain_bounds = texts.words(lowered, at, texts.ALNUM_WORD)
+    listed = np.isin(plain, lexicon[0])
+    for size in STEMS:
+        long = np.flatnonzero(plain_ends - plain_starts >= size)
+        stem = texts.span_hashes(lowered, plain_starts[long], plain_starts[long] + size)
+        listed[long] |= np.isin(stem, lexicon[size])
     return {
         "n_words": np.diff(bounds),
         "word_chars": _counted(char & texts.SPACED_WORD[raw], at),
@@ -90,13 +96,19 @@ def measure(raw: np.ndarray, at: np.ndarray, lexicon: np.ndarray) -> dict[str, n
         "n_upper": _counted((raw >= 65) & (raw <= 90), at),
         "n_marks": _counted(_MARK[raw], at),
         "n_distinct": texts.sums(~again, bounds),
-        "n_lexicon": texts.sums(np.isin(plain, lexicon), plain_bounds),
+        "n_lexicon": texts.sums(listed, plain_bounds),
     }
 
 
-def word_hashes(words: list[str]) -> np.ndarray:
-    raw, at = texts.utf8(pa.array([w.replace(" ", "") for w in words], pa.string()))
-    return np.sort(texts.span_hashes(raw, at[:-1], at[1:]))
+def lexicon_hashes(lexicon: list[str]) -> dict[int, np.ndarray]:
+    """Hashes of the whole words at 0, and of the stems (ending with ``*``) at their length."""
+
+    def hashes(words: list[str]) -> np.ndarray:
+        raw, at = texts.utf8(pa.array(words, pa.string()))
+        return np.sort(texts.span_hashes(raw, at[:-1], at[1:]))
+
+    whole = [w for w in lexicon if not w.endswith("*")]
+    return {0: hashes(whole)} | {k: hashes([w[:-1] for w in lexicon if w.endswith("*") and len(w) == k + 1]) for k in STEMS}
 
 
 def with_counts(documents: DataFrame, text_col: str = "text", lexicon: list[str] | None = None) -> DataFrame:
@@ -104,7 +116,7 @@ def with_counts(documents: DataFrame, text_col: str = "text", lexicon: list[str]
     spark = documents.sparkSession
     texts.small_batches(spark)
     kept = store.without(documents, *COUNTS)
-    known = word_hashes(lexicon or [])
+    known = lexicon_hashes(lexicon or [])
 
     def run(batches):
         for batch in batches:
@@ -225,14 +237,22 @@ def labelled_sample(documents: DataFrame, labels: DataFrame, rows: int = SAMPLE_
     return documents.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # ``rows`` bounds the broadcast
 
 
-def learn_lexicon(sample: DataFrame, words: int = LEXICON_WORDS, share: float = 0.9, least: int = 20) -> list[str]:
-    """Words of ``least`` different texts or more of which ``share`` at least are rejected, best first.
+def learn_lexicon(sample: DataFrame, words: int = LEXICON_WORDS, share: float = 0.95) -> list[str]:
+    """Words, and beginnings of words written as ``begin*``, whose texts are rejected nearly always, best first.
 
-    The bar keeps words out that only one group of copies has: equal texts count once.
+    An entry stands in so many different texts (equal ones count once) that, at the sample's rate of rejection,
+    less than one entry in a hundred such lists would get in by chance.
     """
     each = sample.where("text is not null").groupBy(F.xxhash64("text")).agg(F.first("text").alias("text"), F.max("reject").alias("reject"))
-    found = each.select("reject", F.explode(_plain_words(F.col("text"))).alias("word")).where("word <> ''")
-    found = found.groupBy("word").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("reject").cast("int")).alias("bad"))
+    plain = _plain_words(F.col("text"))
+    begins = lambda k: F.transform(F.filter("words", lambda w: w.rlike(f"^[a-z]{{{k}}}")), lambda w: F.concat(F.substring(w, 1, k), F.lit("*")))
+    stems = [begins(k) for k in STEMS]
+    entries = each.select("reject", plain.alias("words")).select("reject", F.explode(F.array_distinct(F.concat("words", *stems))).alias("word")).where("word <> ''")
+    found = store.stored(entries.groupBy("word").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("reject").cast("int")).alias("bad")), "words")
+    rate = each.agg(F.avg(F.col("reject").cast("int"))).first()[0]
+    if not rate or rate == 1:
+        return []
+    least = max(5, int(np.ceil(np.log(0.01 / max(found.count(), 1)) / np.log(rate))))
     found = found.where((F.col("n") >= least) & (F.col("bad") >= share * F.col("n")))
     return [r.word for r in found.orderBy(F.desc("bad"), "word").limit(words).collect()]
 
