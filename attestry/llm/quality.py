@@ -175,12 +175,13 @@ def _best_test(x: dict[str, np.ndarray], y: np.ndarray, cuts: int = 64):
 
 
 def learn_rules(x: dict[str, np.ndarray], reject: np.ndarray, precision: float = 0.95, most_tests: int = 4, most_rules: int = 16, seed: int = 7) -> list[Rule]:
-    """Sequential covering: grow on two thirds, prune on the rest, until no precise rule is left.
+    """Sequential covering: grow on two thirds, prune on the rest, until no precise rule is found any more.
 
     Without rows of both kinds there is nothing to learn and the list is empty.
     """
     left = np.ones(len(reject), bool)
     rules: list[Rule] = []
+    failed = 0
     grow = np.random.default_rng(seed).random(len(reject)) < 2 / 3
     while len(rules) < most_rules:
         g = left & grow
@@ -203,13 +204,17 @@ def learn_rules(x: dict[str, np.ndarray], reject: np.ndarray, precision: float =
         if not worth:
             break
         _, k, p, n = max(worth, key=lambda w: (w[0], w[2], -w[1]))
-        if (p + 1) / (p + n + 2) < precision - 2 / (p + n + 2) or p + n == 0:
-            break
         rule = Rule(tuple(tests[:k]), 0, 0)
         covered = left & rule.rows(x)
         share = float(reject[covered].mean())
-        if share < precision:
-            break
+        sure = p > 0 and (p + 1) / (p + n + 2) >= precision - 2 / (p + n + 2)
+        if not sure or share < precision:
+            # No rule: its rows are set aside and others are tried, a few times.
+            failed += 1
+            if failed > 3:
+                break
+            grow = grow & ~covered
+            continue
         rules.append(Rule(rule.tests, int(covered.sum()), share))
         left &= ~covered
     return rules

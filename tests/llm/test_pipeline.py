@@ -1,4 +1,4 @@
-"""The pipeline, stage by stage, against brute force on the smallest tables."""
+"""The pipeline, stage by stage, against brute force on small tables."""
 
 from __future__ import annotations
 
@@ -8,7 +8,7 @@ import re
 
 import pytest
 
-SF = "/root/testdata/sf0.001"
+SF = "/root/testdata/sf0.01"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="test tables not present")
 
 
@@ -38,7 +38,7 @@ def test_stages(spark):
         texts.append({r.doc_id: r.text for r in docs.collect()})
     start, good, single, cut, clean = texts
 
-    # 1: every document that fails the base rule goes; good labels stay, toxic ones and junk go.
+    # 1: every document that fails the base rule goes, and junk; clean ones stay.
     for i, t in start.items():
         w = re.findall(r"[^\x20\x09-\x0D]+", t)
         found = [tuple(w[k : k + 3]) for k in range(len(w) - 2)]
@@ -47,9 +47,11 @@ def test_stages(spark):
         if len(w) < 50 or 100 * len(covered) > 50 * len(w):
             assert i not in good
     labels = {r.doc_id: r for r in spark.read.parquet(f"{SF}/labels.parquet").collect()}
-    judged = [i for i in labels if i in start and len(spaced(start[i])) >= 50]
-    wrong = [i for i in judged if (labels[i].quality == 1 and labels[i].toxic == 0) != (i in good)]
-    assert len(wrong) <= 0.15 * len(judged)  # few labels are left to learn from here
+    clean_ids = [i for i in labels if i in start and labels[i].quality == 1 and labels[i].toxic == 0]
+    long = [i for i in clean_ids if len(re.findall(r"[^\x20\x09-\x0D]+", start[i])) >= 50]
+    junk = [i for i in labels if i in start and labels[i].quality == 0]
+    assert sum(i not in good for i in long) <= 0.05 * len(long)  # clean documents stay
+    assert sum(i not in good for i in junk) >= 0.8 * len(junk)  # of 399 labels; held-out accuracy has a test of its own
 
     # 2: the smallest id of each component stays.
     sets = {i: windows(spaced(t), 5) or {tuple(spaced(t))} for i, t in good.items()}
@@ -68,9 +70,11 @@ def test_stages(spark):
             assert owner.setdefault(x, i) == i
     seen: set = set()
     for i in sorted(single):
-        own = windows(spaced(single[i]), 50)
-        if not own & seen:
-            assert cut.get(i) == single[i]
+        own = windows(spaced(single[i]), 5)
+        if cut.get(i) != single[i]:
+            gone = own - windows(spaced(cut.get(i, "")), 5)
+            # A span shares 8/9 of its shingles at a similarity of 0.8; up to eight more lie across its two ends.
+            assert len(gone & seen) >= 8 / 9 * (len(gone) - 8 * max(1, len(gone) // 50))
         seen |= own
 
     # 4: what a benchmark window covers to a twentieth goes, all else stays.
