@@ -11,7 +11,6 @@ follows from its partition, so attempts that are repeated after a lost executor
 from __future__ import annotations
 
 import itertools
-import re
 import uuid
 import zlib
 from collections.abc import Callable
@@ -26,10 +25,9 @@ from pyspark.sql import functions as F
 from attestry.llm import store, texts
 
 END = 0
-KNOWN_CHUNKS = 400_000  # chunks whose ids a worker remembers
+KNOWN = 800_000  # pretokens whose ids a worker remembers
 NO_ID = -(1 << 63)
 _PRETOKENS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"  # fixed by byte-level BPE
-_SPACED = re.compile(r" (?:\s|\Z)")
 
 
 def public_vocabulary() -> str:
@@ -42,9 +40,8 @@ def public_vocabulary() -> str:
 class Encoder:
     """Ids of whole texts, equal to encoding them in one go.
 
-    Byte-level BPE works on pretokens, and none of them goes on over a blank that is followed by another
-    character. So a text is cut there and what a chunk encodes to is remembered. Texts with other runs of
-    blanks are cut by the pretoken pattern; texts with a special token's string are encoded as they are.
+    Byte-level BPE works on each pretoken by itself, so a text is cut by the pretoken pattern and what a
+    pretoken encodes to is remembered. Texts with a special token's string are encoded as they are.
     """
 
     def __init__(self, path: str) -> None:
@@ -61,28 +58,19 @@ class Encoder:
         return np.asarray(ids, self.kind).tobytes()
 
     def __call__(self, batch: list[str]) -> list[bytes]:
-        whole: dict[int, bytes] = {}
-        cut: list[list[str]] = []
-        for i, text in enumerate(batch):
-            if any(s in text for s in self.special):
-                whole[i] = self._bytes(self.model.encode(text, add_special_tokens=False).ids)
-                cut.append([])
-            elif _SPACED.search(text):
-                cut.append(self.pretokens.findall(text))
-            else:
-                chunks = text.split(" ")
-                cut.append([chunks[0], *[" " + c for c in chunks[1:]]])
-        missing = list(set(itertools.chain.from_iterable(cut)).difference(self.known))
-        if len(self.known) + len(missing) > KNOWN_CHUNKS:
-            self.known = {}
-            missing = list(set(itertools.chain.from_iterable(cut)))
+        special = [any(s in text for s in self.special) for text in batch]
+        cut = [[] if own else self.pretokens.findall(text) for own, text in zip(special, batch)]
+        found = set(itertools.chain.from_iterable(cut))
+        missing = list(found.difference(self.known))
+        if len(self.known) + len(missing) > KNOWN:
+            self.known, missing = {}, list(found)
         for low in range(0, len(missing), 4096):
             part = missing[low : low + 4096]
-            for chunk, made in zip(part, self.model.encode_batch_fast(part, add_special_tokens=False)):
-                self.known[chunk] = self._bytes(made.ids)
-        end = self._bytes([END])
-        get = self.known.__getitem__
-        return [(whole[i] if i in whole else b"".join(map(get, chunks))) + end for i, chunks in enumerate(cut)]
+            for piece, made in zip(part, self.model.encode_batch_fast(part, add_special_tokens=False)):
+                self.known[piece] = self._bytes(made.ids)
+        end, get = self._bytes([END]), self.known.__getitem__
+        whole = lambda text: self._bytes(self.model.encode(text, add_special_tokens=False).ids)
+        return [(whole(text) if own else b"".join(map(get, pieces))) + end for own, text, pieces in zip(special, batch, cut)]
 
 
 _encoders: dict[str, Encoder] = {}
