@@ -2,8 +2,9 @@
 
 Every record hashes to one of thousands of slots, for ever. Bytes are added up by slot, and a small versioned
 table says which shard has which slot. Rebalancing edits that table, a new version for each edit; records are
-never hashed anew. The slot comes from the text, so equal texts stay together; a slot that alone is too heavy
-for an even split (one text a third of all rows, say) is dealt into parts by id.
+never hashed anew. The slot comes from the text, so equal texts stay together. A heavy slot is dealt into parts
+by a second hash of the text; only where the copies of one text are more than a shard's fair share (a third of
+all rows, say) are they parted by id.
 """
 
 from __future__ import annotations
@@ -18,6 +19,7 @@ from attestry.llm import store
 SHARDS = 16
 SLOTS = 8192
 PARTS_A_SHARD = 16  # a slot has at most 1/16 of a shard's fair share, or it is parted
+PARTS = 64  # parts of a heavy slot
 LANES = 16  # by which the rows of a slot are numbered side by side
 MAP = "slot long, part long, bytes long, shard int, version int"
 
@@ -61,6 +63,7 @@ def records(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         (F.octet_length(text) + F.lit(1)).cast("long").alias("size"),
         F.crc32(text.cast("binary")).alias("text_crc32"),
         F.pmod(F.xxhash64(text), F.lit(slots)).cast("long").alias("slot"),
+        F.pmod(F.xxhash64(text, F.lit(1)), F.lit(PARTS)).cast("long").alias("text_part"),
     )
 
 
@@ -68,16 +71,20 @@ def shard_documents(documents: DataFrame, shards: int = SHARDS, slots: int = SLO
     """Each record with ``virtual_slot``, ``part``, ``shard`` and ``slot``, its number in the shard from 0 on
     without gaps, and the map, whose versions are stored in ``folder``.
 
-    Bytes are spread as evenly as whole slots allow. A null text has size 1. Null ids and repeated rows are
+    Bytes are spread as evenly as whole units (slot and part) allow. A null text has size 1. Null ids and repeated rows are
     records as any other; an empty table gives an empty map.
     """
     spark = documents.sparkSession
     rows = store.stored(records(documents, id_col, text_col, slots), "records")
     weight = rows.groupBy("slot").agg(F.sum("size").alias("bytes")).collect()  # at most ``slots`` rows
-    fair = max(1, sum(r.bytes for r in weight) // (shards * PARTS_A_SHARD))
-    heavy = {r.slot: -(-r.bytes // fair) for r in weight if r.bytes > fair}  # at most shards * PARTS_A_SHARD
-    parts = spark.createDataFrame([(s, int(p)) for s, p in heavy.items()], "slot long, parts long")
-    rows = rows.join(F.broadcast(parts), "slot", "left").withColumn("part", F.when(F.col("parts").isNotNull(), F.pmod(F.xxhash64(F.lit(1), "id"), "parts")).otherwise(F.lit(0)).cast("long")).drop("parts")
+    shard_share = max(1, sum(r.bytes for r in weight) // shards)
+    fair = max(1, shard_share // PARTS_A_SHARD)
+    heavy = spark.createDataFrame([(r.slot,) for r in weight if r.bytes > fair], "slot long").withColumn("heavy", F.lit(True))  # at most shards * PARTS_A_SHARD
+    rows = rows.join(F.broadcast(heavy), "slot", "left").withColumn("part", F.when(F.col("heavy"), F.col("text_part")).otherwise(F.lit(0)).cast("long")).drop("heavy", "text_part")
+    parted = rows.groupBy("slot", "part").agg(F.sum("size").alias("bytes")).where(F.col("bytes") > shard_share)  # fewer than ``shards``
+    parted = parted.select("slot", "part", F.ceil(F.col("bytes") / fair).cast("long").alias("parts"))
+    by_id = F.pmod(F.xxhash64(F.lit(1), "id"), "parts").cast("long") * PARTS
+    rows = rows.join(F.broadcast(parted), ["slot", "part"], "left").withColumn("part", F.col("part") + F.coalesce(by_id, F.lit(0))).drop("parts")
     units = [(r.slot, r.part, r.bytes) for r in rows.groupBy("slot", "part").agg(F.sum("size").alias("bytes")).collect()]
     first = first_map(units, shards)
     versions = [(*u, 1) for u in first] + [(*u, 2) for u in rebalanced(first, shards)]
@@ -85,7 +92,7 @@ def shard_documents(documents: DataFrame, shards: int = SHARDS, slots: int = SLO
     spark.createDataFrame(versions, MAP).coalesce(1).write.partitionBy("version").parquet(folder)
     slot_map = spark.read.schema(MAP).parquet(folder)
     current = slot_map.where("version = 2").select("slot", "part", "shard")
-    # At most slots + shards * PARTS_A_SHARD rows are broadcast.
+    # At most slots + shards * PARTS_A_SHARD * (PARTS + 1) rows are broadcast.
     rows = rows.join(F.broadcast(current), ["slot", "part"]).withColumn("lane", F.pmod(F.xxhash64(F.lit(2), "id"), F.lit(LANES)).cast("int"))
     rows = rows.withColumnRenamed("slot", "virtual_slot")
     cell = ["shard", "virtual_slot", "part", "lane"]

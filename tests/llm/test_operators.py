@@ -272,10 +272,24 @@ def test_shards(spark, docs):
     assert all(sorted(s) == list(range(len(s))) for s in slots.values())
     largest = max(r.size for r in got)
     assert max(load.values()) - min(load.values()) <= largest
+    known = dict(corpus())
+    homes = collections.defaultdict(set)
+    for r in got:
+        if r.id is not None:
+            homes[known[r.id] or ""].add(r.shard)
+    assert all(len(h) == 1 for h in homes.values())  # equal texts stay together
     assert {r.version for r in slot_map.collect()} == {1, 2}
     assert sharding.shard_documents(spark.createDataFrame([], EMPTY))[0].count() == 0
 
 
+def test_one_text_of_most_rows_is_parted(spark):
+    rows, _ = sharding.shard_documents(spark.createDataFrame([(i, "same text" if i % 3 else f"text {i}") for i in range(900)], "doc_id long, text string"), shards=4)
+    load = collections.Counter()
+    for r in rows.collect():
+        load[r.shard] += r.size
+    assert len(load) == 4 and max(load.values()) - min(load.values()) < 0.2 * max(load.values())
+
+
 def test_rebalancing_moves_slots_to_the_new_shard():
     units = [(s, 0, 100 + s % 7, s % 4) for s in range(400)]
     grown = sharding.rebalanced(units, 5)
