@@ -37,6 +37,20 @@ def public_vocabulary() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+class _Known(dict):
+    """Ids of pretokens, encoded when they are first asked for."""
+
+    def __init__(self, model, kind: str) -> None:
+        super().__init__()
+        self.encode, self.kind = model.encode, kind
+
+    def __missing__(self, piece: str) -> bytes:
+        made = np.asarray(self.encode(piece, add_special_tokens=False).ids, self.kind).tobytes()
+        if len(self) < KNOWN:
+            self[piece] = made
+        return made
+
+
 class Encoder:
     """Ids of whole texts, equal to encoding them in one go.
 
@@ -52,25 +66,13 @@ class Encoder:
         self.kind = "<u2" if self.model.get_vocab_size() <= 1 << 16 else "<u4"
         self.special = [t.content for t in self.model.get_added_tokens_decoder().values()]
         self.pretokens = regex.compile(_PRETOKENS)
-        self.known: dict[str, bytes] = {}
-
-    def _bytes(self, ids) -> bytes:
-        return np.asarray(ids, self.kind).tobytes()
+        self.known = _Known(self.model, self.kind)
 
     def __call__(self, batch: list[str]) -> list[bytes]:
-        special = [any(s in text for s in self.special) for text in batch]
-        cut = [[] if own else self.pretokens.findall(text) for own, text in zip(special, batch)]
-        found = set(itertools.chain.from_iterable(cut))
-        missing = list(found.difference(self.known))
-        if len(self.known) + len(missing) > KNOWN:
-            self.known, missing = {}, list(found)
-        for low in range(0, len(missing), 4096):
-            part = missing[low : low + 4096]
-            for piece, made in zip(part, self.model.encode_batch_fast(part, add_special_tokens=False)):
-                self.known[piece] = self._bytes(made.ids)
-        end, get = self._bytes([END]), self.known.__getitem__
-        whole = lambda text: self._bytes(self.model.encode(text, add_special_tokens=False).ids)
-        return [(whole(text) if own else b"".join(map(get, pieces))) + end for own, text, pieces in zip(special, batch, cut)]
+        end, get, cut = np.asarray([END], self.kind).tobytes(), self.known.__getitem__, self.pretokens.findall
+        # A text with a special token's string is looked up as one piece and not kept.
+        whole = lambda text: np.asarray(self.model.encode(text, add_special_tokens=False).ids, self.kind).tobytes()
+        return [(whole(text) if any(s in text for s in self.special) else b"".join(map(get, cut(text)))) + end for text in batch]
 
 
 _encoders: dict[str, Encoder] = {}
