@@ -9,6 +9,7 @@ import random
 import re
 import zlib
 
+import numpy as np
 import pytest
 
 from attestry.llm import chat, decontaminate, jaccard, packing, quality, rollups, sharding, substring, tokens, urls
@@ -358,6 +359,28 @@ def test_repeated_passages(spark):
     assert substring.repeated_passages(spark.createDataFrame([], EMPTY)).count() == 0
 
 
+def shingled(*texts_: list[int]) -> list[np.ndarray]:
+    return [np.array([zlib.crc32(repr(t[i : i + 5]).encode()) for i in range(len(t) - 4)], np.uint32) for t in texts_]
+
+
+def test_spans_have_a_counterpart():
+    spans = lambda a, b: substring.common_spans(*shingled(a, b), 5, 50, 0.8)
+    w = list(range(10000))
+    apart = w[:26] + w[1000:1200] + w[26:52]
+    assert spans(apart, w[2000:2100] + w[:52]) == []  # two lines that are neighbours in b only
+    assert spans(w[26:52] + w[1000:1200] + w[:26], w[:52]) == []
+    assert spans(w[1000:1200] + w[:60], w[:60]) == [(0, 59)]
+    one = w[:30] + [-1] + w[31:60]
+    assert spans(w[500:600] + w[:60], one) == [(0, 59)] and spans(w[500:600] + w[:60] + w[700:], w[:30] + w[31:60]) == [(0, 58)]
+    # A chain below the bar has a part at the bar: 60 words with one change, then a change every 7 words.
+    tail = [x if k % 7 else -2 - k for k, x in enumerate(w[60:130])]
+    assert [x for x in spans(w[:130], one + tail) if x[0] == 0 and 59 <= x[1] < 80]
+    # The same passage several times, runs of one word, and long texts that repeat themselves.
+    assert spans(w[:60] + w[200:300] + w[:60], one) == [(0, 59)]
+    assert spans([7] * 3000, [7] * 2000) == [(0, 1999)] and spans(w[:9] * 500, w[:9] * 400) == [(0, 3599)]
+    assert spans([], w[:60]) == [] and spans(w[:40], w[:40]) == []
+
+
 # ------------------------------------------------------------------ 8 rollups
 def test_rollup_batches(spark, tmp_path):
     rollup = rollups.Rollup(spark, str(tmp_path / "r"))
