@@ -381,6 +381,29 @@ def test_spans_have_a_counterpart():
     assert spans([], w[:60]) == [] and spans(w[:40], w[:40]) == []
 
 
+@pytest.mark.parametrize("n", [50, 51, 60, 70, 120])
+def test_near_passages_share_a_band(n):
+    """Recall of the bands as ``repeated_passages`` takes them, of near passages that verification finds."""
+    r = random.Random(n)
+    fresh = lambda k: [r.randrange(1 << 40) for _ in range(k)]
+    found = wanted = 0
+    for trial in range(300):
+        passage = fresh(n)
+        other = list(passage)
+        for _ in range(1 if n < 90 else 2):
+            k = n // 2 + r.randrange(-4, 5) if trial % 3 == 0 else r.randrange(len(other))
+            other[k : k + r.randrange(2)] = fresh(r.randrange(2)) or other[k : k + 1]
+        sides = [fresh(40) + passage + fresh(40), fresh(30) + other + fresh(50)]
+        if substring.common_spans(*shingled(*sides), 5, 50, 0.8):
+            bounds = np.array([0, len(sides[0]), len(sides[0]) + len(sides[1])])
+            hashes = substring.texts.mix(np.array(sides[0] + sides[1], np.uint64))
+            bands, rows = substring.bands_of(5, 50, 0.8, 0.98, substring.PARAGRAPH, substring.SPREAD)
+            keys, of = substring.band_keys(hashes, bounds, bands, rows, 5, substring.PARAGRAPH, substring.SPREAD)[:2]
+            wanted += 1
+            found += bool(set(keys[of == 0].tolist()) & set(keys[of == 1].tolist()))
+    assert wanted > 100 and found >= 0.98 * wanted, (found, wanted)
+
+
 # ------------------------------------------------------------------ 8 rollups
 def test_rollup_batches(spark, tmp_path):
     rollup = rollups.Rollup(spark, str(tmp_path / "r"))
