@@ -404,6 +404,19 @@ def test_near_passages_share_a_band(n):
     assert wanted > 100 and found >= 0.98 * wanted, (found, wanted)
 
 
+def test_passages_around_a_line_that_the_first_document_has(spark):
+    r = random.Random(9)
+    fresh = lambda n: " ".join(f"w{r.randrange(1 << 40)}" for _ in range(n))
+    rows = []
+    for g in range(0, 300, 10):  # 44 words in document g, 52 around them in the three after it
+        line, before, after = fresh(44), fresh(4), fresh(4)
+        rows.append((g, f"{fresh(30)} {line} {fresh(20)}"))
+        rows += [(g + k, f"{fresh(7 * k)} {before} {line} {after} {fresh(20)}") for k in (1, 2, 3)]
+    got = substring.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert {(x.id, x.first, x.last) for x in got} == {(g + k, 7 * k, 7 * k + 51) for g in range(0, 300, 10) for k in (2, 3)}
+    assert all(x.keeper_id % 10 and x.component_id == x.id // 10 * 10 + 1 for x in got)
+
+
 # ------------------------------------------------------------------ 8 rollups
 def test_rollup_batches(spark, tmp_path):
     rollup = rollups.Rollup(spark, str(tmp_path / "r"))
