@@ -12,7 +12,8 @@ from attestry.functions.session import cut_lineage
 from attestry.functions.text import contains_any
 from attestry.lexicons import DEFAULT_DICTIONARY, CHECK_POLICY, QuestionLexicon, TermDictionary
 from attestry.operators import normalize as nz
-from attestry.operators.matching import contains_join, rarest_keys
+from attestry.operators.grams import GramIndex, build_grams, find_needles
+from attestry.operators.matching import rarest_keys
 
 HIT_COLUMNS = ["query_id", "rank", "chunk_id", "doc_uid", "score", "rerank_score", "retrieval_source", "matched_sources"]
 
@@ -93,27 +94,28 @@ def fulltext_match(
     return held.select("query_id", "variant_no", "chunk_id", "doc_uid", "chunk_index")
 
 
-def substring_fallback(variants: DataFrame, matched: DataFrame, chunks: DataFrame, scope: Sequence[str] = ()) -> DataFrame:
-    """Case-insensitive containment, only for variants without a full-text match."""
-    scope = list(scope)
+def chunk_grams(chunks: DataFrame, folder: str | None = None) -> GramIndex:
+    """The n-gram index of the chunks' lower-cased texts."""
+    return build_grams(chunks.select("chunk_id", *SCOPES, "chunk_index", "updated_at", "content"), F.lower("content"), folder, "content")
+
+
+def section_grams(sections: DataFrame, folder: str | None = None) -> GramIndex:
+    """The n-gram index of the sections' titles and texts, lower-cased and without spaces."""
+    squeezed = tx.remove_spaces(F.lower(F.concat_ws(" ", "section_title", "content")))
+    return build_grams(sections.select("doc_uid", "knowledge_base_id", "section_no", "section_title", "content"), squeezed, folder, "section_title", "content")
+
+
+def substring_fallback(variants: DataFrame, matched: DataFrame, chunks: DataFrame, grams: GramIndex | None = None) -> DataFrame:
+    """Case-insensitive containment, only for variants without a full-text match.
+
+    Every distinct text is looked up once in the n-gram index (``grams``, the stored one where there is one),
+    whatever the number of variants that ask for it; filters and scopes hold on what it finds.
+    """
     open_variants = variants.join(matched.select("query_id", "variant_no").distinct(), ["query_id", "variant_no"], "left_anti")
-    needles = cut_lineage(
-        _with_filters(open_variants, scope)
-        .withColumn("needle", F.lower("text"))
-        .withColumn("needle_id", F.concat_ws("\u0001", F.col("query_id").cast("string"), F.col("variant_no").cast("string")))
-        .drop("text")
-    )
-    hits = contains_join(
-        needles.select(*scope, "needle_id", "needle"),
-        chunks.select("chunk_id", *SCOPES, "chunk_index", "updated_at", F.lower("content").alias("hay")),
-        needle="needle",
-        hay="hay",
-        needle_key="needle_id",
-        hay_keys=["chunk_id"],
-        payload=[*SCOPES, "chunk_index", "updated_at"],
-        on=scope,
-    )
-    joined = hits.join(needles.drop("needle", *scope), "needle_id")
+    needles = cut_lineage(_with_filters(open_variants, ()).withColumn("needle", F.lower("text")).drop("text"))
+    grams = chunk_grams(chunks) if grams is None else grams
+    hits = find_needles(needles.select("needle").distinct(), grams, ["chunk_id", *SCOPES, "chunk_index", "updated_at"])
+    joined = hits.join(needles, "needle")
     return joined.where(_filters_hold(joined)).select("query_id", "variant_no", "chunk_id", "doc_uid", "chunk_index", "updated_at")
 
 
@@ -127,11 +129,22 @@ def fulltext_search(
     return fulltext_hits(queries, chunks, chunk_word_sets(chunks, dictionary), k, dictionary)
 
 
-def fulltext_hits(queries, chunks, word_sets, k: int = 10, dictionary: TermDictionary = DEFAULT_DICTIONARY, postings: DataFrame | None = None, frequencies: DataFrame | None = None) -> DataFrame:
+def fulltext_hits(
+    queries: DataFrame,
+    chunks: DataFrame,
+    word_sets: DataFrame,
+    k: int = 10,
+    dictionary: TermDictionary = DEFAULT_DICTIONARY,
+    postings: DataFrame | None = None,
+    frequencies: DataFrame | None = None,
+    grams: GramIndex | None = None,
+    variants_limit: int = 6,
+) -> DataFrame:
+    """``fulltext_search`` over stored index tables, where there are any."""
     # Variants and matches are each read several times below.
-    variants = cut_lineage(nz.expand_queries(queries, dictionary, limit=6))
+    variants = cut_lineage(nz.expand_queries(queries, dictionary, limit=variants_limit))
     matched = cut_lineage(fulltext_match(variants, word_sets, postings=postings, frequencies=frequencies))
-    fallback = substring_fallback(variants, matched, chunks)
+    fallback = substring_fallback(variants, matched, chunks, grams=grams)
     both = matched.withColumn("newest", F.lit(None).cast("timestamp")).unionByName(
         fallback.withColumnRenamed("updated_at", "newest")
     )
@@ -360,34 +373,31 @@ def score_sections(
     limit: int = 30,
     lexicon: QuestionLexicon = QuestionLexicon(),
     by: tuple[str, ...] = ("question_id", "doc_uid"),
+    grams: GramIndex | None = None,
 ) -> DataFrame:
     """Sections scored against each question's terms, best ``limit`` per question and document.
 
-    ``questions`` is (question_id, terms, doc_uid or knowledge_base_id).  Terms and sections
-    meet on (scope, n-gram of the term); only sections holding a term are ever paired.
+    ``questions`` is (question_id, terms, doc_uid or knowledge_base_id).  Every distinct term is looked up once in
+    the n-gram index of the sections (``grams``, the stored one where there is one); what holds it is joined to
+    the questions that ask for it in that scope.
     """
     scope = [c for c in ("doc_uid", "knowledge_base_id") if c in questions.columns]
     terms = (
         questions.select("question_id", *scope, F.explode("terms").alias("term"))
-        .select("question_id", *scope, tx.remove_spaces(F.lower("term")).alias("term"))
-        .where("term <> ''")
-    )
-    needles = terms.groupBy(*scope, "term").agg(F.collect_list("question_id").alias("question_ids"))
-    needles = cut_lineage(needles.withColumn("needle_id", F.sha2(F.concat_ws("\u0001", *scope, "term"), 256)))
-    squeezed = tx.remove_spaces(F.lower(F.concat_ws(" ", "section_title", "content")))
-    target = sections.select("doc_uid", "knowledge_base_id", "section_no", squeezed.alias("hay"))
-    found = contains_join(
-        needles.select(*scope, "needle_id", "term"), target, needle="term", hay="hay", needle_key="needle_id",
-        hay_keys=["doc_uid", "section_no"], on=scope,
+        .select("question_id", *scope, tx.remove_spaces(F.lower("term")).alias("needle"))
+        .where("needle <> ''")
     )
+    terms = cut_lineage(terms)
+    grams = section_grams(sections) if grams is None else grams
+    found = find_needles(terms.select("needle").distinct(), grams, ["doc_uid", "knowledge_base_id", "section_no"])
     meta = sections.select("doc_uid", "section_no", "section_title", "section_level", "source_start_line", "source_anchor")
     title = tx.remove_spaces(F.lower("section_title"))
+    others = [c for c in ("doc_uid", "knowledge_base_id") if c not in scope]
     per_term = (
-        found.select("doc_uid", "section_no", "needle_id")
-        .join(needles.select("needle_id", "term", "question_ids"), "needle_id")
+        found.select("needle", "doc_uid", "section_no", *[c for c in ["knowledge_base_id"] if c not in others])
+        .join(terms, ["needle", *scope])
         .join(meta, ["doc_uid", "section_no"])
-        .withColumn("points", F.when(F.contains(title, F.col("term")), 4).otherwise(2))
-        .withColumn("question_id", F.explode("question_ids"))
+        .withColumn("points", F.when(F.contains(title, F.col("needle")), 4).otherwise(2))
     )
     summed = per_term.groupBy(
         "question_id", "doc_uid", "section_no", "section_title", "section_level", "source_start_line", "source_anchor"
@@ -419,6 +429,8 @@ def supplement_chunks(
     per_term: int = 3,
     lexicon: QuestionLexicon = QuestionLexicon(),
     dictionary: TermDictionary = DEFAULT_DICTIONARY,
+    word_sets: DataFrame | None = None,
+    grams: GramIndex | None = None,
 ) -> DataFrame:
     """Extra chunk evidence within a question's document.
 
@@ -435,8 +447,9 @@ def supplement_chunks(
     ).withColumn("variant_no", F.col("term_no") + 1)
     terms = cut_lineage(terms)
     variants = terms.select("query_id", "variant_no", "text", "doc_uid")
-    matched = cut_lineage(fulltext_match(variants, chunk_word_sets(chunks, dictionary), scope=["doc_uid"]))
-    fallback = substring_fallback(variants, matched, chunks, scope=["doc_uid"]).drop("updated_at")
+    word_sets = chunk_word_sets(chunks, dictionary) if word_sets is None else word_sets
+    matched = cut_lineage(fulltext_match(variants, word_sets, scope=["doc_uid"]))
+    fallback = substring_fallback(variants, matched, chunks, grams=grams).drop("updated_at")
     first = Window.partitionBy("query_id", "variant_no").orderBy("chunk_index")
     looked_at = matched.unionByName(fallback).withColumn("pos", F.row_number().over(first)).where(F.col("pos") <= per_term)
     rows = looked_at.join(terms.drop("doc_uid", "term_no"), ["query_id", "variant_no"]).join(
@@ -520,6 +533,9 @@ def rank_sections_local(
     supplements: int = 2,
     lexicon: QuestionLexicon = QuestionLexicon(),
     dictionary: TermDictionary = DEFAULT_DICTIONARY,
+    word_sets: DataFrame | None = None,
+    section_index: GramIndex | None = None,
+    chunk_index: GramIndex | None = None,
 ) -> DataFrame:
     """Best sections and chunk supplements per question and document, merged.
 
@@ -532,8 +548,8 @@ def rank_sections_local(
         .withColumn("chunk_terms", nz.chunk_terms(F.col("terms"), question, lexicon, dictionary))
         .withColumn("section_terms", nz.tree_terms(F.col("terms"), lexicon))
     )
-    scored = score_sections(planned.select("question_id", "doc_uid", F.col("section_terms").alias("terms")), sections, limit=candidates, lexicon=lexicon)
-    extra = supplement_chunks(planned, chunks, limit=supplements, lexicon=lexicon, dictionary=dictionary)
+    scored = score_sections(planned.select("question_id", "doc_uid", F.col("section_terms").alias("terms")), sections, limit=candidates, lexicon=lexicon, grams=section_index)
+    extra = supplement_chunks(planned, chunks, limit=supplements, lexicon=lexicon, dictionary=dictionary, word_sets=word_sets, grams=chunk_index)
     return merge_evidence(section_evidence(scored, sections, take), chunk_evidence(extra))
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from attestry.functions.session import checkpoint_folder
 from attestry.lexicons import DEFAULT_DICTIONARY, TermDictionary
 from attestry.operators import retrieval, structure, vectors
+from attestry.operators.grams import GramIndex
 
 
 @dataclass(frozen=True)
@@ -24,6 +25,9 @@ class Corpus:
     # The stored full-text index: one row a term and chunk, in order of terms, and the chunks of each term.
     postings: DataFrame | None = None
     frequencies: DataFrame | None = None
+    # The stored n-gram indexes of chunks and sections.
+    chunk_grams: GramIndex | None = None
+    section_grams: GramIndex | None = None
 
 
 def derive(docs: DataFrame, dictionary: TermDictionary = DEFAULT_DICTIONARY) -> Corpus:
@@ -62,7 +66,9 @@ def store(corpus: Corpus, folder: str, partition_by: str | None = None) -> Corpu
     # Ranges of (term, chunk): a term that most chunks hold is spread over several files.
     postings = write(retrieval.postings_of(word_sets).repartitionByRange("term", "chunk_id").sortWithinPartitions("term"), "postings")
     frequencies = write(retrieval.term_frequencies(postings), "frequencies")
-    return Corpus(docs, sections, chunks, word_sets, vecs, corpus.dictionary, postings, frequencies)
+    chunk_index = retrieval.chunk_grams(chunks, f"{folder}/chunk_grams")
+    section_index = retrieval.section_grams(sections, f"{folder}/section_grams")
+    return Corpus(docs, sections, chunks, word_sets, vecs, corpus.dictionary, postings, frequencies, chunk_index, section_index)
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:

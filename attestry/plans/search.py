@@ -9,7 +9,7 @@ from attestry.plans.corpus import Corpus
 
 
 def search_fulltext(queries: DataFrame, corpus: Corpus, k: int = 10) -> DataFrame:
-    return retrieval.fulltext_hits(queries, corpus.chunks, corpus.word_sets, k, corpus.dictionary, corpus.postings, corpus.frequencies)
+    return retrieval.fulltext_hits(queries, corpus.chunks, corpus.word_sets, k, corpus.dictionary, corpus.postings, corpus.frequencies, corpus.chunk_grams)
 
 
 def search_vector(queries: DataFrame, corpus: Corpus, k: int = 10) -> DataFrame:

@@ -35,7 +35,7 @@ def substring_fallback(i: Inputs):
     )
     both = variants(i).unionByName(pieces.withColumn("query_id", F.concat(F.lit("p"), "query_id")))
     matched = rt.fulltext_match(both, i.corpus.word_sets, postings=i.corpus.postings, frequencies=i.corpus.frequencies)
-    return rt.substring_fallback(both, matched, i.corpus.chunks).drop("updated_at")
+    return rt.substring_fallback(both, matched, i.corpus.chunks, i.corpus.chunk_grams).drop("updated_at")
 
 
 @register("fulltext_search")
@@ -152,7 +152,11 @@ def section_questions(i: Inputs):
 def score_sections(i: Inputs):
     """Questions against all sections of their knowledge base, best 30 per document."""
     q = section_questions(i).select("question_id", "knowledge_base_id", F.col("section_terms").alias("terms"))
-    return rt.score_sections(q, i.corpus.sections, lexicon=vi.QUESTION).select("question_id", "doc_uid", "section_no", "score", "rank")
+    return rt.score_sections(q, i.corpus.sections, lexicon=vi.QUESTION, grams=i.corpus.section_grams).select("question_id", "doc_uid", "section_no", "score", "rank")
+
+
+def stored_index(i: Inputs) -> dict:
+    return {"word_sets": i.corpus.word_sets, "section_index": i.corpus.section_grams, "chunk_index": i.corpus.chunk_grams}
 
 
 def per_document(i: Inputs):
@@ -166,19 +170,19 @@ def supplement_chunks(i: Inputs):
     planned = per_document(i).withColumn("terms", nz.question_terms(q, vi.QUESTION)).withColumn(
         "chunk_terms", nz.chunk_terms(F.col("terms"), q, vi.QUESTION, vi.DICTIONARY)
     )
-    return rt.supplement_chunks(planned, i.corpus.chunks, lexicon=vi.QUESTION, dictionary=vi.DICTIONARY).select(
+    return rt.supplement_chunks(planned, i.corpus.chunks, lexicon=vi.QUESTION, dictionary=vi.DICTIONARY, word_sets=i.corpus.word_sets, grams=i.corpus.chunk_grams).select(
         "question_id", "doc_uid", "rank", "chunk_id", "term"
     )
 
 
 @register("rank_sections_local")
 def rank_sections_local(i: Inputs):
-    found = rt.rank_sections_local(per_document(i), i.corpus.sections, i.corpus.chunks, lexicon=vi.QUESTION, dictionary=vi.DICTIONARY)
+    found = rt.rank_sections_local(per_document(i), i.corpus.sections, i.corpus.chunks, lexicon=vi.QUESTION, dictionary=vi.DICTIONARY, **stored_index(i))
     return found.select("question_id", "doc_uid", "source_type", "evidence_key", "part", "rank")
 
 
 def kb_evidence(i: Inputs):
-    return rt.collect_kb_evidence(i.questions, i.corpus.docs, i.corpus.sections, i.corpus.chunks, lexicon=vi.QUESTION, dictionary=vi.DICTIONARY)
+    return rt.collect_kb_evidence(i.questions, i.corpus.docs, i.corpus.sections, i.corpus.chunks, lexicon=vi.QUESTION, dictionary=vi.DICTIONARY, **stored_index(i))
 
 
 @register("collect_kb_evidence")
@@ -190,7 +194,7 @@ def collect_kb_evidence(i: Inputs):
 def merge_evidence(i: Inputs):
     """Sections found by two overlapping question tables, the later ones supplementary."""
     q = section_questions(i).select("question_id", "knowledge_base_id", F.col("section_terms").alias("terms"))
-    scored = rt.score_sections(q, i.corpus.sections, lexicon=vi.QUESTION)
+    scored = rt.score_sections(q, i.corpus.sections, lexicon=vi.QUESTION, grams=i.corpus.section_grams)
     first = rt.section_evidence(scored.where("rank <= 2"), i.corpus.sections)
     again = rt.section_evidence(scored.where("rank >= 2"), i.corpus.sections).withColumn("part", F.lit(2))
     return rt.merge_evidence(first, again).select("question_id", "doc_uid", "evidence_key", "part", "rank")
