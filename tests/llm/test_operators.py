@@ -417,6 +417,50 @@ def test_passages_around_a_line_that_the_first_document_has(spark):
     assert all(x.keeper_id % 10 and x.component_id == x.id // 10 * 10 + 1 for x in got)
 
 
+def test_rows_that_share_an_id(spark):
+    r = random.Random(10)
+    plain = lambda n: " ".join(word(r) for _ in range(n))
+    passage, clean = plain(60), plain(200)
+    rows = [(1, plain(40) + " " + passage), (2, plain(30)), (2, plain(90) + " " + passage), (2, clean), (2, clean), (3, passage + " " + plain(20)), (3, passage + " " + plain(25))]
+    for order in (rows, rows[::-1]):
+        documents = spark.createDataFrame([(*x, 7, "s", [1]) for x in order], "doc_id long, text string, _span_id long, span_h string, spans array<int>").repartition(2)
+        left = substring.remove_repeats(documents)
+        assert left.columns == documents.columns and left.dtypes == documents.dtypes
+        got = left.collect()
+        assert all(tuple(x)[2:] == (7, "s", [1]) for x in got)
+        assert sorted(x.text for x in got if passage in x.text) == sorted([rows[0][1]])
+        assert collections.Counter((x.doc_id, len(spaced(x.text))) for x in got) == collections.Counter([(1, 100), (2, 30), (2, 90), (2, 200), (2, 200), (3, 20), (3, 25)])
+
+
+def test_spans_of_a_chain_do_not_overlap():
+    """Edits so dense in the middle that parts are at the bar and their union is not."""
+    r = random.Random(4)
+    for _ in range(60):
+        a = [r.randrange(1 << 40) for _ in range(160)]
+        b = list(a)
+        for k in range(10, 150, r.randrange(9, 17)):
+            b[k] = -k
+        x, y = shingled(a, b)
+        spans = substring.common_spans(x, y, 5, 50, 0.8)
+        assert all(e < s for (_, e), (s, _) in zip(spans, spans[1:]))
+        for s, e in spans:
+            assert best_jaccard(x, y[s : e - 3]) >= 0.8
+
+
+def best_jaccard(a: np.ndarray, part: np.ndarray) -> float:
+    """The highest Jaccard similarity of the shingles with those of any span of the other document."""
+    want, best = set(part.tolist()), 0.0
+    places = np.flatnonzero(np.isin(a, part)).tolist()
+    for k, s in enumerate(places):
+        seen: set[int] = set()
+        at, shared = s, 0
+        for e in places[k:]:
+            new = set(a[at : e + 1].tolist()) - seen
+            seen, at, shared = seen | new, e + 1, shared + len(new & want)
+            best = max(best, shared / (len(want) + len(seen) - shared))
+    return best
+
+
 # ------------------------------------------------------------------ 8 rollups
 def test_rollup_batches(spark, tmp_path):
     rollup = rollups.Rollup(spark, str(tmp_path / "r"))

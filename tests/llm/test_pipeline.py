@@ -5,9 +5,13 @@ from __future__ import annotations
 import itertools
 import os
 import re
+import zlib
 
+import numpy as np
 import pytest
 
+from tests.llm.test_operators import best_jaccard
+
 SF = "/root/testdata/sf0.01"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="test tables not present")
 
@@ -24,18 +28,24 @@ def windows(words: list[str], n: int) -> set[tuple[str, ...]]:
     return {tuple(words[i : i + n]) for i in range(len(words) - n + 1)}
 
 
+def coded(words: list[str]) -> np.ndarray:
+    """The shingles of five words, as numbers."""
+    return np.array([zlib.crc32(repr(words[k : k + 5]).encode()) for k in range(len(words) - 4)], np.uint32)
+
+
 def test_stages(spark):
     import corpus_pipeline as cp
-    from attestry.llm import store
+    from attestry.llm import store, substring
 
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     columns = docs.columns
-    texts = [{r.doc_id: r.text for r in docs.collect()}]
+    texts, frames = [{r.doc_id: r.text for r in docs.collect()}], [docs]
     for name, stage in cp.STAGES[:-1]:
         docs = store.stored(stage(spark, docs, SF), "test")
         assert docs.columns == columns, name
         assert docs.where("n_chars <> length(text)").count() == 0
         texts.append({r.doc_id: r.text for r in docs.collect()})
+        frames.append(docs)
     start, good, single, cut, clean = texts
 
     # 1: every document that fails the base rule goes, and junk; clean ones stay.
@@ -68,14 +78,17 @@ def test_stages(spark):
     for i in sorted(cut):
         for x in windows(spaced(cut[i]), 51):
             assert owner.setdefault(x, i) == i
-    seen: set = set()
-    for i in sorted(single):
-        own = windows(spaced(single[i]), 5)
-        if cut.get(i) != single[i]:
-            gone = own - windows(spaced(cut.get(i, "")), 5)
-            # A span shares 8/9 of its shingles at a similarity of 0.8; up to eight more lie across its two ends.
-            assert len(gone & seen) >= 8 / 9 * (len(gone) - 8 * max(1, len(gone) // 50))
-        seen |= own
+    found: dict = {}
+    for r in substring.repeated_passages(frames[2]).collect():
+        found.setdefault(r.id, []).append((r.first, r.last, r.keeper_id))
+    for i in single:
+        words, spans = spaced(single[i]), sorted(found.get(i, []))
+        assert all(e < s for (_, e, _), (s, _, _) in zip(spans, spans[1:]))
+        assert spaced(cut.get(i, "")) == [w for k, w in enumerate(words) if not any(s <= k <= e for s, e, _ in spans)]
+        for s, e, keeper in spans:  # the exact similarity of what is cut
+            assert keeper < i and e - s + 1 >= 50
+            a, b = coded(spaced(single[keeper])), coded(words[s : e + 1])
+            assert best_jaccard(a, b) >= 0.8
 
     # 4: what a benchmark window covers to a twentieth goes, all else stays.
     items = [plain(r.text or "") for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
@@ -98,8 +111,8 @@ def test_registered_whole(spark):
     from __spark_entry__ import oracle_sql, queries
 
     made = queries()
-    assert "pipeline" in made and sum(bool(re.match(r"op\d+_", k)) for k in made) == 10
-    assert {"op8_delta_rollup", "op9_snapshot_collapse"} <= set(oracle_sql())
+    assert "pipeline" in made and sum(bool(re.match(r"op\d+_", k)) for k in made) == 13
+    assert {"op8_delta_rollup", "op9_snapshot_collapse", "op11_ranked_search", "op12_warc_segments", "op13_merkle_manifest"} <= set(oracle_sql())
 
 
 @pytest.mark.parametrize("name", ["op8_delta_rollup", "op9_snapshot_collapse"])
