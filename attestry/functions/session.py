@@ -4,9 +4,13 @@ from __future__ import annotations
 
 import tempfile
 
+import pyarrow as pa
+import pyarrow.parquet as pq
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+
 def checkpoint_folder(spark: SparkSession) -> str:
     """The cluster's shared checkpoint folder; a temporary one only where none is set."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
@@ -34,3 +38,13 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     if len(df.inputFiles()) >= cores:
         return df
     return df.repartition(cores, *[F.col(k) for k in keys])
+
+
+def read_table(folder: str) -> pa.Table:
+    """A small stored table read inside a task, from the folder that all machines share; empty if it is not there."""
+    place = folder.replace("s3a://", "s3://", 1)
+    system, path = fs.FileSystem.from_uri(place) if "://" in place or place.startswith("file:") else (fs.LocalFileSystem(), place)
+    if system.get_file_info(path).type == fs.FileType.NotFound:
+        return pa.table({"query_id": pa.array([], pa.int64()), "embedding": pa.array([], pa.list_(pa.float64()))})
+    files = sorted(f.path for f in system.get_file_info(fs.FileSelector(path)) if f.base_name.endswith(".parquet"))
+    return pa.concat_tables([pq.read_table(f, filesystem=system, partitioning=None) for f in files])

@@ -2,49 +2,64 @@
 
 from __future__ import annotations
 
+import hashlib
+import uuid
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from attestry.functions import text as tx
+from attestry.functions.session import checkpoint_folder, cut_lineage, read_table
 
 DIMENSION = 64
 # Queries travel to the tasks in blocks of at most this many bytes, whatever their number.
 QUERY_BYTES = 64 << 20
 # Vectors that the cells of the approximate index are trained on, at most.
 TRAIN_ROWS = 20_000
+# Vectors or queries of a cell that one task takes, at most.
+PART_ROWS = 50_000
+
+
+_CODES: dict[int, np.ndarray] = {}
+
+
+def _codes(points: np.ndarray) -> np.ndarray:
+    """Slot byte and weight (1 to 17) of code points, from the first two bytes of the character's MD5; kept by a worker."""
+    for p in points.tolist():
+        if p not in _CODES:
+            made = hashlib.md5(chr(p).encode("utf-8", "surrogatepass")).digest()
+            _CODES[p] = np.array([made[0], made[1] % 17 + 1])
+    return np.array([_CODES[p] for p in points.tolist()]).reshape(-1, 2)
+
+
+def bag_of_characters(texts: list[str], dimension: int) -> np.ndarray:
+    """One row a text: each character adds its weight to its slot, over the length; sums are whole numbers until then."""
+    length = np.array([len(t) for t in texts], dtype=np.int64)
+    points = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
+    known, place = np.unique(points, return_inverse=True)
+    code = _codes(known)
+    owner = np.repeat(np.arange(len(texts)), length)
+    total = np.bincount(owner * dimension + (code[:, 0] % dimension)[place], code[:, 1][place], len(texts) * dimension)
+    return total.reshape(len(texts), dimension) / 17.0 / np.maximum(length, 1)[:, None]
 
 
 def hash_vector(text: Column, dimension: int = DIMENSION) -> Column:
-    """Bag-of-characters vector: each character adds its weight to its slot, over the length."""
-
-    def of(t: Column) -> Column:
-        def part(c: Column) -> Column:
-            byte = lambda pos: F.conv(F.substring(F.md5(c), pos, 2), 16, 10).cast("int")
-            times = F.length(t) - F.length(F.replace(t, c, F.lit("")))
-            return F.struct(
-                (byte(1) % dimension).alias("slot"),
-                (times * ((byte(3) % 17) + 1) / F.lit(17.0)).alias("weight"),
-            )
+    """Bag-of-characters vector of the stripped text; zeros for an empty one, null for null.
 
-        def dense(parts: Column) -> Column:
-            return F.transform(
-                F.sequence(F.lit(0), F.lit(dimension - 1)),
-                lambda s: F.aggregate(
-                    F.filter(parts, lambda p: p["slot"] == s), F.lit(0.0), lambda acc, p: acc + p["weight"]
-                )
-                / F.length(t),
-            )
+    A batch of texts is one table look-up and one sum, in Arrow batches.
+    """
 
-        letters = F.array_distinct(F.split(t, ""))
-        zeros = F.array_repeat(F.lit(0.0), dimension)
-        return F.when(t == "", zeros).otherwise(tx.bind(F.transform(tx.non_empty(letters), part), dense))
+    def embed(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for batch in batches:
+            rows = bag_of_characters(batch.fillna("").tolist(), dimension)
+            yield pd.Series([None if absent else row for absent, row in zip(batch.isna(), rows)], dtype=object)
 
-    return tx.bind(tx.strip(text), of)
+    embed.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.Series]}
+    return F.pandas_udf(embed, "array<double>")(tx.strip(text))
 
 
 def embed_hash(chunks: DataFrame, dimension: int = DIMENSION, text: str = "content") -> DataFrame:
@@ -82,39 +97,50 @@ def vector_search(queries: DataFrame, vectors: DataFrame, k: int = 10) -> DataFr
     """Exact k nearest chunks per query by squared distance; score is 1 - distance.
 
     ``queries`` is (query_id, embedding) with optional doc_uid / knowledge_base_id filters, which hold
-    before anything is measured.  Queries are sent to the tasks in blocks; every task keeps a running
-    top k per query over all its batches, so no more than k rows a query and task are shuffled.
+    before anything is measured.  Queries are stored in numbered blocks; every task takes its vectors against
+    one block after the other and keeps k rows a query, so the driver sees the number of blocks only and the
+    plan is the same for any number of queries.
     """
-    return _ranked(_reduced(queries, vectors, k), k)
+    return _ranked(_blockwise(queries, vectors, k), k)
 
 
-def _query_blocks(queries: DataFrame) -> Iterator[dict]:
-    """The queries in blocks of ``QUERY_BYTES``; one empty block where there are none."""
+def store_query_blocks(queries: DataFrame) -> tuple[str, int]:
+    """Folder and number of the blocks that the queries are written in, each of about ``QUERY_BYTES``."""
+    spark = queries.sparkSession
     filters = [c for c in FILTERS if c in queries.columns]
-    rows: list = []
+    rows = queries.select("query_id", "embedding", *filters).where(F.col("embedding").isNotNull())
+    rows = cut_lineage(rows)
+    size = rows.agg(F.coalesce(F.sum(F.size("embedding") * 8 + 64), F.lit(0))).first()[0]
+    blocks = max(1, -(-int(size) // QUERY_BYTES))
+    folder = f"{checkpoint_folder(spark).rstrip('/')}/queries-{uuid.uuid4().hex}"
+    rows.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks))).repartition(blocks, "block").write.partitionBy("block").parquet(folder)
+    return folder, blocks
 
-    def block() -> dict:
-        return {
-            "ids": np.array([r["query_id"] for r in rows], dtype=object),
-            "matrix": np.array([r["embedding"] for r in rows], dtype=float) if rows else np.zeros((0, 1)),
-            "filters": {c: [r[c] for r in rows] for c in filters},
-        }
 
-    size = 0
-    for row in queries.select("query_id", "embedding", *filters).toLocalIterator():
-        rows.append(row)
-        size += 64 + 8 * len(row["embedding"])
-        if size > QUERY_BYTES:
-            yield block()
-            rows, size = [], 0
-    yield block()
+_block: dict[tuple[str, int], dict] = {}
+
+
+def _read_block(folder: str, number: int) -> dict:
+    """A block of queries; a worker keeps the one that it has read last."""
+    if (folder, number) not in _block:
+        _block.clear()
+        _block[(folder, number)] = _as_block(read_table(f"{folder}/block={number}").to_pandas())
+    return _block[(folder, number)]
+
+
+def _as_block(rows: pd.DataFrame) -> dict:
+    return {
+        "ids": rows["query_id"].to_numpy() if len(rows) else np.array([], dtype=object),
+        "matrix": np.array([np.asarray(e, dtype=float) for e in rows["embedding"]]) if len(rows) else np.zeros((0, 1)),
+        "filters": {c: [None if pd.isna(v) else v for v in rows[c]] for c in FILTERS if c in rows.columns},
+    }
 
 
 class _Nearest:
     """Running top k per query over the batches of a task."""
 
-    def __init__(self, block: dict, k: int, centroids: np.ndarray | None, open_cells: np.ndarray | None) -> None:
-        self.block, self.k, self.centroids, self.open_cells = block, k, centroids, open_cells
+    def __init__(self, block: dict, k: int) -> None:
+        self.block, self.k = block, k
         self.q = block["matrix"]
         self.bound = np.full(len(self.q), np.inf)
         self.parts: list[pd.DataFrame] = []
@@ -126,7 +152,6 @@ class _Nearest:
         points = np.array([np.asarray(e, dtype=float) for e in batch["embedding"]])
         square = np.einsum("ij,ij->i", points, points)
         codes = {c: batch[c].map(known).fillna(-2).to_numpy() for c, known in self.known.items()}
-        cell = _cells(points, self.centroids) if self.centroids is not None else None
         step = max(1, (1 << 22) // max(1, len(points)))
         for low in range(0, len(self.q), step):
             q = self.q[low : low + step]
@@ -134,8 +159,6 @@ class _Nearest:
             for c, wanted in self.wanted.items():
                 w = wanted[low : low + step]
                 gap[(w[None, :] >= 0) & (codes[c][:, None] != w[None, :])] = np.inf
-            if cell is not None:
-                gap[~self.open_cells[low : low + step][:, cell].T] = np.inf
             kth = np.partition(gap, min(self.k, len(gap)) - 1, axis=0)[min(self.k, len(gap)) - 1]
             limit = np.minimum(kth, self.bound[low : low + step]) + 1e-5  # the product is good to far less
             row, col = np.nonzero((gap <= limit) & np.isfinite(gap))
@@ -157,39 +180,41 @@ class _Nearest:
         self.bound[full.index.to_numpy(dtype=int)] = full["max"].to_numpy()
         return rows
 
+    def frame(self) -> pd.DataFrame:
+        rows = self.cut()
+        ids = self.block["ids"][rows["q"].to_numpy(dtype=int)]
+        return pd.DataFrame({"query_id": ids, "chunk_id": rows["chunk_id"].to_numpy(), "doc_uid": rows["doc_uid"].to_numpy(), "distance": rows["distance"].to_numpy(dtype=float)})
+
 
 def _cells(points: np.ndarray, centroids: np.ndarray) -> np.ndarray:
     return np.argmin(np.einsum("ij,ij->i", centroids, centroids)[None, :] - 2 * (points @ centroids.T), axis=1)
 
 
-def _reduced(queries: DataFrame, vectors: DataFrame, k: int, centroids: np.ndarray | None = None, probes: int = 0) -> DataFrame:
-    """Each task's k best per query, block after block of queries; with centroids, of open cells only."""
+def _schema(queries: DataFrame, vectors: DataFrame) -> str:
     kind = {c: vectors.schema[c].dataType.simpleString() for c in ("chunk_id", "doc_uid")}
-    schema = f"query_id {queries.schema['query_id'].dataType.simpleString()}, chunk_id {kind['chunk_id']}, doc_uid {kind['doc_uid']}, distance double"
-    needed = list(dict.fromkeys(["chunk_id", "doc_uid", *[c for c in FILTERS if c in queries.columns], "embedding"]))
-    table = vectors.select(*needed).where(F.col("embedding").isNotNull())
-    out = None
-    for block in _query_blocks(queries.where(F.col("embedding").isNotNull())):
-        cells = None
-        if centroids is not None and len(block["ids"]):
-            away = np.einsum("ij,ij->i", centroids, centroids)[None, :] - 2 * (block["matrix"] @ centroids.T)
-            cells = np.zeros(away.shape, bool)
-            np.put_along_axis(cells, np.argsort(away, axis=1)[:, :probes], True, axis=1)
-        payload = vectors.sparkSession.sparkContext.broadcast((block, centroids if cells is not None else None, cells))
-
-        def best(batches: Iterator[pd.DataFrame], payload=payload) -> Iterator[pd.DataFrame]:
-            block, centroids, cells = payload.value
-            near = _Nearest(block, k, centroids, cells)
-            for batch in batches:
+    return f"query_id {queries.schema['query_id'].dataType.simpleString()}, chunk_id {kind['chunk_id']}, doc_uid {kind['doc_uid']}, distance double"
+
+
+def _needed(queries: DataFrame) -> list[str]:
+    return list(dict.fromkeys(["chunk_id", "doc_uid", *[c for c in FILTERS if c in queries.columns], "embedding"]))
+
+
+def _blockwise(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
+    """Each task's k best per query, block after block of the stored queries."""
+    folder, blocks = store_query_blocks(queries)
+
+    def best(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        # With one block vectors stream by; with several a task's vectors are held while the blocks pass.
+        held = batches if blocks == 1 else list(batches)
+        for number in range(blocks):
+            near = _Nearest(_read_block(folder, number), k)
+            for batch in held:
                 if len(batch) and len(near.q):
                     near.add(batch)
-            rows = near.cut()
-            if len(rows):
-                yield pd.DataFrame({"query_id": block["ids"][rows["q"].to_numpy(dtype=int)], "chunk_id": rows["chunk_id"].to_numpy(), "doc_uid": rows["doc_uid"].to_numpy(), "distance": rows["distance"].to_numpy(dtype=float)})
+            if near.parts:
+                yield near.frame()
 
-        part = table.mapInPandas(best, schema)
-        out = part if out is None else out.unionByName(part)
-    return out
+    return vectors.select(*_needed(queries)).where(F.col("embedding").isNotNull()).mapInPandas(best, _schema(queries, vectors))
 
 
 def train_cells(vectors: DataFrame, cells: int, rows: int = TRAIN_ROWS, rounds: int = 12) -> np.ndarray:
@@ -208,24 +233,103 @@ def train_cells(vectors: DataFrame, cells: int, rows: int = TRAIN_ROWS, rounds:
     return centroids
 
 
+@dataclass(frozen=True)
+class CellIndex:
+    """Vectors stored by cell (a partition column), the cells' centres and how many vectors each has."""
+
+    vectors: DataFrame
+    centroids: np.ndarray
+    sizes: np.ndarray
+
+
+def _near_cells(centroids: np.ndarray):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            points = np.array([np.asarray(e, dtype=float) for e in batch["embedding"]])
+            yield batch.assign(cell=_cells(points, centroids) if len(batch) else [])
+
+    return run
+
+
+def build_cells(vectors: DataFrame, cells: int = 128, folder: str | None = None) -> CellIndex:
+    """Assign every vector to its nearest centre and store the vectors by cell, once for all searches."""
+    spark = vectors.sparkSession
+    folder = folder or f"{checkpoint_folder(spark).rstrip('/')}/cells-{uuid.uuid4().hex}"
+    table = vectors.select(*[c for c in vectors.columns if c in ("chunk_id", "embedding", *FILTERS)]).where(F.col("embedding").isNotNull())
+    centroids = train_cells(table, cells)
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in table.schema.fields) + ", cell int"
+    placed = table.mapInPandas(_near_cells(centroids), schema)
+    # A large cell is written by many tasks, a small one by one.
+    placed.repartition(F.col("cell"), F.pmod(F.xxhash64("chunk_id"), F.lit(8))).write.partitionBy("cell").parquet(folder)
+    stored = spark.read.schema(schema).parquet(folder)
+    sizes = np.zeros(len(centroids), np.int64)
+    for row in stored.groupBy("cell").count().collect():  # a row a cell
+        sizes[row["cell"]] = row["count"]
+    return CellIndex(stored, centroids, sizes)
+
+
+def _opened(queries: DataFrame, index: CellIndex, share: float) -> DataFrame:
+    """The queries, once for each cell that they open: the nearest ones that together have ``share`` of the vectors."""
+    centroids, sizes = index.centroids, index.sizes
+    limit = share * sizes.sum()
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in queries.schema.fields) + ", cell int"
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            if not len(batch):
+                continue
+            points = np.array([np.asarray(e, dtype=float) for e in batch["embedding"]])
+            order = np.argsort(np.einsum("ij,ij->i", centroids, centroids)[None, :] - 2 * (points @ centroids.T), axis=1)
+            before = np.cumsum(sizes[order], axis=1) - sizes[order]
+            row, place = np.nonzero((before < limit) & (sizes[order] > 0))
+            yield batch.iloc[row].assign(cell=order[row, place])
+
+    return queries.mapInPandas(run, schema)
+
+
+def _by_cell(queries: DataFrame, index: CellIndex, k: int, share: float) -> DataFrame:
+    """k best per query and part of a cell: a block of a cell's vectors against a block of the queries that open it.
+
+    Cells that no query opens are not read.  A cell with more than ``PART_ROWS`` vectors or queries is cut, and every
+    block of the one side meets every block of the other, so no task holds a whole cell.
+    """
+    filters = [c for c in FILTERS if c in queries.columns]
+    asked = cut_lineage(_opened(queries.select("query_id", "embedding", *filters).where(F.col("embedding").isNotNull()), index, share))
+    wanted = {r["cell"]: r["count"] for r in asked.groupBy("cell").count().collect()}  # a row a cell
+    spark = queries.sparkSession
+    parts = [(c, -(-int(index.sizes[c]) // PART_ROWS), -(-n // PART_ROWS)) for c, n in wanted.items()]
+    cut = F.broadcast(spark.createDataFrame(parts, "cell int, v_parts long, q_parts long"))
+    v = index.vectors.where(F.col("cell").isin(sorted(wanted))).select(*_needed(queries), "cell").join(cut, "cell")
+    v = v.withColumn("v_part", F.pmod(F.xxhash64("chunk_id"), "v_parts")).withColumn("q_part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("q_parts") - 1)))
+    q = asked.join(cut, "cell")
+    q = q.withColumn("q_part", F.pmod(F.xxhash64("query_id"), "q_parts")).withColumn("v_part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("v_parts") - 1)))
+
+    def best(vectors: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
+        near = _Nearest(_as_block(queries), k)
+        if len(vectors) and len(queries):
+            near.add(vectors)
+        return near.frame()
+
+    key = ["cell", "v_part", "q_part"]
+    return v.drop("v_parts", "q_parts").groupBy(*key).cogroup(q.drop("v_parts", "q_parts").groupBy(*key)).applyInPandas(best, _schema(queries, index.vectors))
+
+
 def vector_search_cells(queries: DataFrame, vectors: DataFrame, k: int = 10, cells: int = 64) -> DataFrame:
     """The search through cells with all of them open: exact, and the measure of the approximate one."""
-    centroids = train_cells(vectors, cells)
-    return _ranked(_reduced(queries, vectors, k, centroids, len(centroids)), k)
+    return _ranked(_by_cell(queries, build_cells(vectors, cells), k, 1.0), k)
 
 
-def vector_search_approx(queries: DataFrame, vectors: DataFrame, k: int = 10, *, cells: int = 32, share: float = 0.65) -> DataFrame:
-    """Approximate neighbours: only vectors in the ``share`` of k-means cells nearest to a query are measured.
+def vector_search_approx(queries: DataFrame, vectors: DataFrame | CellIndex, k: int = 10, *, cells: int = 128, share: float = 0.5) -> DataFrame:
+    """Approximate neighbours: only the stored cells nearest to a query, with ``share`` of the vectors, are measured.
 
-    Every vector is in the index.  Filters hold before the measuring.  A query that finds fewer than k rows
-    in its cells is answered by the exact search, so all have k rows where there are as many.
+    Every vector is in the index, which may be built beforehand.  Filters hold before the measuring.  A query that
+    finds fewer than k rows in its cells is answered by the exact search, so all have k rows where there are as many.
     """
-    centroids = train_cells(vectors, cells)
-    found = _reduced(queries, vectors, k, centroids, max(1, int(np.ceil(share * len(centroids)))))
-    near = _ranked(found, k)
+    index = vectors if isinstance(vectors, CellIndex) else build_cells(vectors, cells)
+    near = cut_lineage(_ranked(_by_cell(queries, index, k, share), k))
     full = near.where(F.col("rank") == k).select("query_id")
     short = queries.join(full, "query_id", "left_anti")
-    return near.join(full, "query_id", "left_semi").unionByName(vector_search(short, vectors, k))
+    return near.join(full, "query_id", "left_semi").unionByName(vector_search(short, index.vectors, k))
 
 
 def rebuild_vectors(chunks: DataFrame, dimension: int = DIMENSION) -> DataFrame:
