@@ -26,16 +26,20 @@ class CheckResult:
     evidence: DataFrame
 
 
-def gather_evidence(claims: DataFrame, corpus: Corpus, policy: dict, lexicon: ClaimLexicon) -> DataFrame:
-    """Ranked candidate chunks per claim, from all its labelled queries."""
+def labelled_hits(claims: DataFrame, corpus: Corpus, policy: dict, lexicon: ClaimLexicon) -> tuple[DataFrame, DataFrame]:
+    """The hits of all labelled queries of the claims, and the queries: (claim_id, query_no, label, …hits) and (claim_id, query_no, label, text)."""
     limits = rt.gathering_limits(policy)
     labelled = nz.build_retrieval_queries(claims, lexicon, corpus.dictionary)
     queries = labelled.withColumn("query_id", F.concat_ws(":", "claim_id", F.col("query_no").cast("string")))
     keep = [c for c in ("doc_uid", "knowledge_base_id") if c in queries.columns]
     hits = search_hybrid(queries.select("query_id", "text", *keep), corpus, limits["per_query"], limits["fulltext"], limits["vector"])
-    labelled_hits = hits.join(queries.select("query_id", "claim_id", "query_no", "label"), "query_id")
-    merged = rt.merge_candidates(labelled_hits)
-    return rt.rank_candidates(merged, labelled, policy["final_top_k"])
+    return hits.join(queries.select("query_id", "claim_id", "query_no", "label"), "query_id"), labelled
+
+
+def gather_evidence(claims: DataFrame, corpus: Corpus, policy: dict, lexicon: ClaimLexicon) -> DataFrame:
+    """Ranked candidate chunks per claim, from all its labelled queries."""
+    hits, labelled = labelled_hits(claims, corpus, policy, lexicon)
+    return rt.rank_candidates(rt.merge_candidates(hits), labelled, policy["final_top_k"])
 
 
 def run_check(

@@ -12,8 +12,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from attestry.functions.session import spread
-from attestry.lexicons import ClaimLexicon, QuestionLexicon, RelationLexicon, TermDictionary
+from attestry.lexicons import CHECK_POLICY, ClaimLexicon, QuestionLexicon, RelationLexicon, TermDictionary
 from attestry.operators import claims as cl
+from attestry.plans.check import labelled_hits
 from attestry.plans.corpus import Corpus, derive, shared_folder, store
 from attestry.sources.files import rule_rows
 
@@ -182,6 +183,14 @@ class Inputs:
     def claims(self) -> DataFrame:
         return cl.split_claims(self.texts)
 
+    @cached_property
+    def claim_hits(self) -> DataFrame:
+        """What the check's own search finds for every labelled query of every claim, stored once like the corpus."""
+        folder = shared_folder(self.spark, hashlib.sha256(self.sf_dir.encode()).hexdigest()[:12]) + "/claim_hits"
+        hits, _ = labelled_hits(self.claims, self.corpus, CHECK_POLICY, LOGIC)
+        hits.write.mode("overwrite").parquet(folder)
+        return self.spark.read.parquet(folder)
+
     @cached_property
     def rules(self) -> DataFrame:
         return rule_rows(self.spark, RULES)

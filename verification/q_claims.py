@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from attestry import lexicons as lx
 from attestry.operators import claims as cl
+from attestry.operators import normalize as nz
 from attestry.operators import relation as rl
 from attestry.operators import retrieval as rt
 from attestry.functions.session import cut_lineage
@@ -50,47 +51,15 @@ def max_rule_level(i: Inputs):
     return cl.max_rule_level(rule_hits(i))
 
 
-DRIVING_TERMS = 2
-
-
-def labelled_hits(i: Inputs):
-    """Chunks that hold one of a claim's ``DRIVING_TERMS`` rarest words, as a labelled hit list with scores.
-
-    The search by rarest term without the ranking, so that merging, ranking and selecting are tested on whole
-    tables by themselves. Every claim with a word that stands in the corpus has hits, whatever its size.
-    """
-    words = F.array_distinct(F.regexp_extract_all(F.lower("claim_text"), F.lit(r"[\p{L}\p{N}]{6,}"), F.lit(0)))
-    terms = i.claims.select("claim_id", F.posexplode(words).alias("p", "term"))
-    labels = F.array(*[F.lit(x) for x in ("claim_literal", "logic_relaxed", "topic_focus", "keyword_focus", "counter_probe")])
-    postings = i.corpus.postings.select("chunk_id", "doc_uid", "chunk_index", "term")
-    frequency = i.corpus.frequencies.withColumnRenamed("found", "n")
-    order = Window.partitionBy("claim_id").orderBy("n", "p")
-    driving = terms.join(frequency, "term").withColumn("r", F.row_number().over(order)).where(F.col("r") <= DRIVING_TERMS).select("claim_id", "p", "term")
-    hits = driving.join(postings, "term")
-    return cut_lineage(
-        hits.select(
-            "claim_id",
-            (F.col("p") + 1).alias("query_no"),
-            F.get(labels, F.col("p") % 5).alias("label"),
-            "chunk_id",
-            "doc_uid",
-            (F.col("chunk_index") + 1).alias("rank"),
-            F.when(F.col("p") % 4 != 0, ((F.col("p") * 31 + F.col("chunk_index") * 17) % 101) / 100.0).alias("rerank_score"),
-            F.when(F.col("p") % 2 == 0, "fulltext").otherwise("vector").alias("retrieval_source"),
-            F.array(F.when(F.col("p") % 3 == 0, "vector").otherwise("fulltext")).alias("matched_sources"),
-        )
-    )
-
-
 @register("merge_candidates")
 def merge_candidates(i: Inputs):
-    merged = rt.merge_candidates(labelled_hits(i))
+    merged = rt.merge_candidates(i.claim_hits)
     return merged.select("claim_id", "chunk_id", "doc_uid", "matched_queries", "matched_sources", "rerank_score", F.col("first_seen.query_no").alias("first_query"))
 
 
 def ranked(i: Inputs):
-    hits = labelled_hits(i)
-    return rt.rank_candidates(rt.merge_candidates(hits), hits.select("claim_id", "query_no").distinct(), 3)
+    labelled = nz.build_retrieval_queries(i.claims, vi.LOGIC, vi.DICTIONARY)
+    return rt.rank_candidates(rt.merge_candidates(i.claim_hits), labelled, lx.CHECK_POLICY["final_top_k"])
 
 
 @register("rank_candidates")
@@ -243,8 +212,8 @@ def verify_persisted(i: Inputs):
 
 # ------------------------------------------------------------------ fine relation
 def pairs(i: Inputs):
-    """Claims of conversations against the documents' sections that share a rare word."""
-    hits = labelled_hits(i).select("claim_id", "chunk_id").distinct()
+    """Claims of conversations against the chunks that the search finds for them."""
+    hits = i.claim_hits.select("claim_id", "chunk_id").distinct()
     chunks = i.corpus.chunks.select("chunk_id", F.col("section_title").alias("title"), "content")
     return hits.join(i.claims.select("claim_id", "claim_text"), "claim_id").join(chunks, "chunk_id").withColumnRenamed("chunk_id", "evidence_id")
 

@@ -5,9 +5,11 @@ from __future__ import annotations
 from attestry import lexicons as lx
 from attestry.operators import claims as cl
 from attestry.operators import relation as rl
+from attestry.operators import retrieval as rt
 from verification import inputs as vi
-from verification.sql.base import any_of, lit, no_space, oracle, part, strip
-from verification.sql.s_text import in_order, replaces, strings
+from verification.sql.base import any_of, lit, no_space, oracle, part, strip, words
+from verification.sql.s_retrieval import dense, embedding
+from verification.sql.s_text import expansion_rows, in_order, replaces, strings
 
 LX, RX = vi.LOGIC, vi.RELATION
 
@@ -47,26 +49,55 @@ def named(x: str, ranks: dict) -> str:
 
 part("levels", f"SELECT claim_id, {named('r', lx.LEVEL_RANK)} AS max_level FROM (SELECT claim_id, max({rank('hit_level', lx.LEVEL_RANK, 1)}) AS r FROM rule_hits GROUP BY claim_id)")
 oracle("max_rule_level", "SELECT * FROM levels")
+LIMITS = rt.gathering_limits()
+# The check's own search for every labelled query of a claim, inside the knowledge base of its text.
+part("claim_texts", "SELECT q.claim_id || ':' || q.query_no AS query_id, q.claim_id, q.query_no, q.label, q.text, 'src' || (c.conv_id % 20) AS kb FROM claim_queries q JOIN claims c USING (claim_id)")
+part("claim_variants", "SELECT key AS query_id, variant_no, v.text, kb FROM (" + expansion_rows("SELECT query_id AS key, text AS t FROM claim_texts", 6) + ") v JOIN claim_texts q ON q.query_id = v.key")
+part(
+    "claim_matches",
+    f"""SELECT v.query_id, v.variant_no, p.chunk_id, p.doc_uid, p.chunk_index FROM (SELECT *, unnest(ws) AS term, len(ws) AS n FROM (SELECT *, {words('text')} AS ws FROM claim_variants)) v
+    JOIN postings p ON p.term = v.term AND p.knowledge_base_id = v.kb GROUP BY v.query_id, v.variant_no, v.n, p.chunk_id, p.doc_uid, p.chunk_index HAVING count(*) = v.n""",
+)
+part(
+    "claim_fallbacks",
+    """SELECT v.query_id, v.variant_no, c.chunk_id, c.doc_uid, c.chunk_index FROM claim_variants v JOIN chunks c ON c.knowledge_base_id = v.kb AND contains(lower(c.content), lower(v.text))
+    WHERE NOT EXISTS (SELECT 1 FROM claim_matches m WHERE m.query_id = v.query_id AND m.variant_no = v.variant_no)""",
+)
+part(
+    "claim_fulltext",
+    f"""SELECT query_id, rank, chunk_id, doc_uid FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY variant_no, pos) AS rank FROM (
+      SELECT *, row_number() OVER (PARTITION BY query_id, chunk_id ORDER BY variant_no, pos) AS once FROM (
+        SELECT *, row_number() OVER (PARTITION BY query_id, variant_no ORDER BY newest DESC NULLS LAST, doc_uid, chunk_index) AS pos FROM (
+          SELECT query_id, variant_no, chunk_id, doc_uid, chunk_index, NULL::BIGINT AS newest FROM claim_matches UNION ALL
+          SELECT f.query_id, f.variant_no, f.chunk_id, f.doc_uid, f.chunk_index, d.updated_s FROM claim_fallbacks f JOIN docs d USING (doc_uid)))
+      WHERE pos <= {LIMITS['fulltext']}) WHERE once = 1) WHERE rank <= {LIMITS['fulltext']}""",
+)
+part("claim_slots", embedding("SELECT DISTINCT text AS key, text AS t FROM claim_texts"))
+part("claim_vectors", dense("claim_slots"))
+part(
+    "claim_nearest",
+    f"""SELECT query_id, rank, chunk_id, doc_uid FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY d, chunk_id) AS rank FROM (
+      SELECT q.query_id, c.chunk_id, c.doc_uid, round(pow(list_distance(a.e, b.e), 2), 6) AS d FROM claim_texts q JOIN claim_vectors a ON a.key = q.text
+      JOIN chunks c ON c.knowledge_base_id = q.kb JOIN chunk_vectors b ON b.key = c.chunk_id)) WHERE rank <= {LIMITS['vector']}""",
+)
 part(
     "labelled",
-    """SELECT t.claim_id, t.p + 1 AS query_no, (['claim_literal', 'logic_relaxed', 'topic_focus', 'keyword_focus', 'counter_probe'])[t.p % 5 + 1] AS label, p.chunk_id, p.doc_uid, p.chunk_index + 1 AS rank,
-    CASE WHEN t.p % 4 <> 0 THEN ((t.p * 31 + p.chunk_index * 17) % 101) / 100.0::DOUBLE END AS rerank_score, CASE WHEN t.p % 2 = 0 THEN 'fulltext' ELSE 'vector' END AS src,
-    CASE WHEN t.p % 3 = 0 THEN 'vector' ELSE 'fulltext' END AS ms FROM (
-      SELECT claim_id, term, min(o) AS o, row_number() OVER (PARTITION BY claim_id ORDER BY min(o)) - 1 AS p FROM (
-        SELECT claim_id, unnest(l) AS term, generate_subscripts(l, 1) AS o FROM (SELECT claim_id, regexp_extract_all(lower(claim_text), '[\\p{L}\\p{N}]{6,}') AS l FROM claims)) GROUP BY claim_id, term) t
-    JOIN (SELECT term, count(*) AS n FROM postings GROUP BY term) r ON r.term = t.term JOIN postings p ON p.term = t.term
-    QUALIFY dense_rank() OVER (PARTITION BY t.claim_id ORDER BY r.n, t.p) <= 2""",
+    f"""SELECT q.claim_id, q.query_no, q.label, h.chunk_id, h.doc_uid, h.rank, NULL::DOUBLE AS rerank_score, h.src, CASE h.src WHEN 'hybrid' THEN ['fulltext', 'vector', 'hybrid'] ELSE [h.src] END AS ms FROM (
+      SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY fr NULLS LAST, vr NULLS LAST, chunk_id) AS rank FROM (
+        SELECT coalesce(f.query_id, v.query_id) AS query_id, coalesce(f.chunk_id, v.chunk_id) AS chunk_id, coalesce(f.doc_uid, v.doc_uid) AS doc_uid, f.rank AS fr, v.rank AS vr,
+          CASE WHEN f.rank IS NOT NULL AND v.rank IS NOT NULL THEN 'hybrid' WHEN f.rank IS NOT NULL THEN 'fulltext' ELSE 'vector' END AS src
+        FROM claim_fulltext f FULL JOIN claim_nearest v ON v.query_id = f.query_id AND v.chunk_id = f.chunk_id)) h JOIN claim_texts q USING (query_id) WHERE h.rank <= {LIMITS['per_query']}""",
 )
 part(
     "candidates",
-    """SELECT claim_id, chunk_id, any_value(doc_uid) AS doc_uid, list_sort(list_distinct(list(label))) AS labels, list_sort(list_distinct(list(src) || list(ms))) AS sources,
+    """SELECT claim_id, chunk_id, any_value(doc_uid) AS doc_uid, list_sort(list_distinct(list(label))) AS labels, list_sort(list_distinct(flatten(list(ms)))) AS sources,
     max(rerank_score) AS rerank_score, min(query_no) AS first_query, min({'q': query_no, 'r': rank, 's': src}).s AS src, min({'q': query_no, 'r': rank, 's': src}).r AS first_rank FROM labelled GROUP BY claim_id, chunk_id""",
 )
 oracle("merge_candidates", "SELECT claim_id, chunk_id, doc_uid, array_to_string(labels, '|') AS matched_queries, array_to_string(sources, '|') AS matched_sources, round(rerank_score, 6) AS rerank_score, first_query FROM candidates")
 part(
     "ranked",
     """SELECT * FROM (SELECT c.*, n, row_number() OVER (PARTITION BY c.claim_id ORDER BY len(labels) DESC, len(sources) DESC, coalesce(rerank_score, 0) DESC, first_query, first_rank, chunk_id) AS rank
-    FROM candidates c JOIN (SELECT claim_id, count(DISTINCT query_no) AS n FROM labelled GROUP BY claim_id) q USING (claim_id)) WHERE rank <= greatest(8, 2 * n)""",
+    FROM candidates c JOIN (SELECT claim_id, count(*) AS n FROM claim_queries GROUP BY claim_id) q USING (claim_id)) WHERE rank <= greatest(8, 2 * n)""",
 )
 oracle("rank_candidates", "SELECT claim_id, chunk_id, rank FROM ranked")
 
