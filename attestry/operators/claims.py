@@ -349,7 +349,7 @@ def merge_verdicts(heuristic: DataFrame, model: DataFrame) -> DataFrame:
     """The more conservative of heuristic and model verdict per claim.
 
     ``model`` is (claim_id, verdict, confidence, risk_level, evidence_judgement, reason); a
-    claim without a model row keeps its heuristic verdict.
+    claim without a model row keeps its heuristic verdict.  Whether there is evidence is carried over where it is known.
     """
     m = model.select("claim_id", *[F.col(c).alias(f"m_{c}") for c in ("verdict", "confidence", "risk_level", "evidence_judgement", "reason")])
     rows = heuristic.join(m, "claim_id", "left")
@@ -372,6 +372,7 @@ def merge_verdicts(heuristic: DataFrame, model: DataFrame) -> DataFrame:
         pick(risk, "risk_level").alias("risk_level"),
         pick(F.when(said == "", F.col("relation")).otherwise(said), "evidence_judgement").alias("evidence_judgement"),
         pick(F.coalesce(F.nullif("m_reason", F.lit("")), "reason"), "reason").alias("reason"),
+        *[c for c in ("has_evidence",) if c in heuristic.columns],
     )
 
 

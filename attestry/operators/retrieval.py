@@ -133,14 +133,14 @@ def fulltext_hits(
     queries: DataFrame,
     chunks: DataFrame,
     word_sets: DataFrame,
-    k: int = 10,
+    k: int | None = 10,
     dictionary: TermDictionary = DEFAULT_DICTIONARY,
     postings: DataFrame | None = None,
     frequencies: DataFrame | None = None,
     grams: GramIndex | None = None,
     variants_limit: int = 6,
 ) -> DataFrame:
-    """``fulltext_search`` over stored index tables, where there are any."""
+    """``fulltext_search`` over stored index tables, where there are any; without ``k`` each query has its own ``fulltext_k``."""
     # Variants and matches are each read several times below.
     variants = cut_lineage(nz.expand_queries(queries, dictionary, limit=variants_limit))
     matched = cut_lineage(fulltext_match(variants, word_sets, postings=postings, frequencies=frequencies))
@@ -149,12 +149,16 @@ def fulltext_hits(
         fallback.withColumnRenamed("updated_at", "newest")
     )
     per_variant = Window.partitionBy("query_id", "variant_no").orderBy(F.desc_nulls_last("newest"), "doc_uid", "chunk_index")
-    top = both.withColumn("pos", F.row_number().over(per_variant)).where(F.col("pos") <= k)
+    if k is None:
+        both, limit = both.join(queries.select("query_id", "fulltext_k"), "query_id"), F.col("fulltext_k")
+    else:
+        both, limit = both.withColumn("fulltext_k", F.lit(k)), F.lit(k)
+    top = both.withColumn("pos", F.row_number().over(per_variant)).where(F.col("pos") <= limit)
     first = top.groupBy("query_id", "chunk_id").agg(
-        F.min(F.struct("variant_no", "pos", "doc_uid")).alias("m")
+        F.min(F.struct("variant_no", "pos", "doc_uid")).alias("m"), F.first("fulltext_k").alias("fulltext_k")
     )
     ranked = first.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("m.variant_no", "m.pos")))
-    return ranked.where(F.col("rank") <= k).select(
+    return ranked.where(F.col("rank") <= F.col("fulltext_k")).select(
         "query_id",
         "rank",
         "chunk_id",
@@ -169,6 +173,11 @@ def fulltext_hits(
 # --------------------------------------------------------------------------- merging
 def hybrid_search(fulltext: DataFrame, vector: DataFrame, k: int = 10) -> DataFrame:
     """Full-text order first, then vector-only hits; a chunk found by both is ``hybrid``."""
+    return merged_hits(fulltext, vector).where(F.col("rank") <= k)
+
+
+def merged_hits(fulltext: DataFrame, vector: DataFrame) -> DataFrame:
+    """All hits of both lists in hybrid order, as reranking gets them before the cut."""
     f = fulltext.select("query_id", "chunk_id", F.col("rank").alias("f_rank"), F.col("doc_uid").alias("f_doc"), F.col("score").alias("f_score"))
     v = vector.select("query_id", "chunk_id", F.col("rank").alias("v_rank"), F.col("doc_uid").alias("v_doc"), F.col("score").alias("v_score"))
     both = f.join(v, ["query_id", "chunk_id"], "full_outer")
@@ -189,8 +198,7 @@ def hybrid_search(fulltext: DataFrame, vector: DataFrame, k: int = 10) -> DataFr
         "v_rank",
     )
     order = Window.partitionBy("query_id").orderBy(F.asc_nulls_last("f_rank"), F.asc_nulls_last("v_rank"), "chunk_id")
-    ranked = merged.withColumn("rank", F.row_number().over(order))
-    return ranked.where(F.col("rank") <= k).select(*HIT_COLUMNS)
+    return merged.withColumn("rank", F.row_number().over(order)).select(*HIT_COLUMNS)
 
 
 def attach_metadata(hits: DataFrame, docs: DataFrame) -> DataFrame:
@@ -226,8 +234,8 @@ def preview_results(hits: DataFrame, chunks: DataFrame, queries: DataFrame) -> D
     )
 
 
-def apply_rerank(hits: DataFrame, scores: DataFrame, k: int = 10) -> DataFrame:
-    """Reorder by supplied scores (query_id, item_index, relevance_score).
+def apply_rerank(hits: DataFrame, scores: DataFrame, k: int | None = 10) -> DataFrame:
+    """Reorder by supplied scores (query_id, item_index, relevance_score); without ``k`` nothing is cut.
 
     The index is the 0-based rank; one out of range, or an unscored hit, drops.  A query
     without usable scores, or with one hit, keeps its order.
@@ -242,7 +250,7 @@ def apply_rerank(hits: DataFrame, scores: DataFrame, k: int = 10) -> DataFrame:
     order = q.orderBy(F.desc_nulls_last("new_score"), "rank")
     return (
         kept.withColumn("new_rank", F.row_number().over(order))
-        .where(F.col("new_rank") <= k)
+        .where(F.lit(True) if k is None else F.col("new_rank") <= k)
         .select("query_id", F.col("new_rank").alias("rank"), "chunk_id", "doc_uid", "score", F.col("new_score").alias("rerank_score"), "retrieval_source", "matched_sources")
     )
 

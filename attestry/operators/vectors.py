@@ -33,14 +33,14 @@ def _codes(points: np.ndarray) -> np.ndarray:
         if p not in _CODES:
             made = hashlib.md5(chr(p).encode("utf-8", "surrogatepass")).digest()
             _CODES[p] = np.array([made[0], made[1] % 17 + 1])
-    return np.array([_CODES[p] for p in points.tolist()]).reshape(-1, 2)
+    return np.array([_CODES[p] for p in points.tolist()], dtype=np.int64).reshape(-1, 2)
 
 
 def bag_of_characters(texts: list[str], dimension: int) -> np.ndarray:
     """One row a text: each character adds its weight to its slot, over the length; sums are whole numbers until then."""
     length = np.array([len(t) for t in texts], dtype=np.int64)
     points = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
-    known, place = np.unique(points, return_inverse=True)
+    known, place = np.unique(points.astype(np.int64), return_inverse=True)
     code = _codes(known)
     owner = np.repeat(np.arange(len(texts)), length)
     total = np.bincount(owner * dimension + (code[:, 0] % dimension)[place], code[:, 1][place], len(texts) * dimension)

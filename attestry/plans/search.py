@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
+from attestry.functions.plugins import Reranker, rerank_with
+from attestry.functions.session import cut_lineage
 from attestry.operators import retrieval, vectors
 from attestry.plans.corpus import Corpus
 
 
-def search_fulltext(queries: DataFrame, corpus: Corpus, k: int = 10) -> DataFrame:
+def search_fulltext(queries: DataFrame, corpus: Corpus, k: int | None = 10) -> DataFrame:
     return retrieval.fulltext_hits(queries, corpus.chunks, corpus.word_sets, k, corpus.dictionary, corpus.postings, corpus.frequencies, corpus.chunk_grams)
 
 
@@ -20,8 +23,30 @@ def search_vector(queries: DataFrame, corpus: Corpus, k: int = 10) -> DataFrame:
 
 
 def search_hybrid(
-    queries: DataFrame, corpus: Corpus, k: int = 10, fulltext_k: int | None = None, vector_k: int | None = None
+    queries: DataFrame, corpus: Corpus, k: int = 10, fulltext_k: int | None = None, vector_k: int | None = None, reranker: Reranker | None = None
 ) -> DataFrame:
-    return retrieval.hybrid_search(
-        search_fulltext(queries, corpus, fulltext_k or k), search_vector(queries, corpus, vector_k or k), k
-    )
+    """Both searches merged; with a reranker all merged hits are scored before the cut to k."""
+    if reranker is None:
+        return retrieval.hybrid_search(search_fulltext(queries, corpus, fulltext_k or k), search_vector(queries, corpus, vector_k or k), k)
+    limits = {"k": k, "fulltext_k": fulltext_k or k, "vector_k": vector_k or k, "use_rerank": True}
+    return search_by_limits(queries.withColumns({n: F.lit(v) for n, v in limits.items()}), corpus, reranker)
+
+
+def search_by_limits(queries: DataFrame, corpus: Corpus, reranker: Reranker | None = None) -> DataFrame:
+    """Hybrid search in which every query has its own ``k``, ``fulltext_k``, ``vector_k`` and ``use_rerank``.
+
+    One plan for all queries: the vector search keeps as many rows as the widest query asks for and each
+    query's own limit cuts the list, which is in order. Queries that ask for it are reranked before the cut.
+    """
+    queries = cut_lineage(queries)
+    limits = queries.select("query_id", "k", "vector_k", "use_rerank")
+    widest = limits.agg(F.coalesce(F.max("vector_k"), F.lit(1))).first()[0]
+    vector = search_vector(queries, corpus, widest).join(limits.select("query_id", "vector_k"), "query_id").where(F.col("rank") <= F.col("vector_k")).drop("vector_k")
+    merged = retrieval.merged_hits(search_fulltext(queries, corpus, None), vector)
+    if reranker is not None:
+        merged = cut_lineage(merged)
+        asked = limits.where("use_rerank").select("query_id")
+        again = merged.join(asked, "query_id", "left_semi")
+        scored = retrieval.apply_rerank(again, rerank_with(again, queries, corpus.chunks, reranker), None)
+        merged = merged.join(asked, "query_id", "left_anti").unionByName(scored)
+    return merged.join(limits.select("query_id", "k"), "query_id").where(F.col("rank") <= F.col("k")).select(*retrieval.HIT_COLUMNS)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import re
+import uuid
 from urllib.parse import quote
 
 from pyspark.errors import AnalysisException
@@ -199,17 +200,18 @@ def append_job_log(log: DataFrame, folder: str) -> None:
 
 
 def write_check_result(checks: DataFrame, claims: DataFrame, rule_hits: DataFrame, folder: str, run_id: str) -> None:
-    """Three tables of one run; the run becomes visible with its marker, written last.
+    """Three tables of one run; they become visible together, with the run's marker, written last.
 
-    A run has folders of its own, so writing it again replaces it.
+    Every writing has folders of its own and the marker names the one that counts, so a run that is written again
+    is the earlier one until it is whole.
     """
-    own = quote(run_id, safe="")
+    own, attempt = quote(run_id, safe=""), uuid.uuid4().hex
     for name, table in (("checks", checks), ("claims", claims), ("rule_hits", rule_hits)):
-        table.withColumn("run_id", F.lit(run_id)).write.mode("overwrite").parquet(f"{folder}/{name}/{own}")
-    checks.sparkSession.createDataFrame([(run_id,)], "run_id string").coalesce(1).write.mode("overwrite").parquet(f"{folder}/runs/{own}")
+        table.withColumns({"run_id": F.lit(run_id), "attempt": F.lit(attempt)}).write.parquet(f"{folder}/{name}/{own}/{attempt}")
+    checks.sparkSession.createDataFrame([(run_id, attempt)], "run_id string, attempt string").coalesce(1).write.mode("overwrite").parquet(f"{folder}/runs/{own}")
 
 
 def read_check_result(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    """Rows of completed runs only."""
+    """Rows of completed runs only, as last written."""
     read = lambda n: spark.read.option("recursiveFileLookup", True).parquet(f"{folder}/{n}")
-    return read(name).join(read("runs").distinct(), "run_id", "left_semi")
+    return read(name).join(read("runs"), ["run_id", "attempt"], "left_semi").drop("attempt")

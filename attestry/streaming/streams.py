@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -112,18 +115,30 @@ def review_status(events: DataFrame) -> DataFrame:
     return events.groupBy("claim_id").agg(F.max_by("review_action", key).alias("review_status"), F.max(key).alias("last"))
 
 
-def stream_to_folder(aggregated: DataFrame, folder: str, checkpoint: str) -> StreamingQuery:
+def stream_name(checkpoint: str) -> str:
+    """A short name of a stream, which is what its checkpoint folder is."""
+    return hashlib.sha256(checkpoint.encode()).hexdigest()[:12]
+
+
+def stream_to_folder(aggregated: DataFrame, folder: str, checkpoint: str, keys: Sequence[str]) -> StreamingQuery:
     """Run an aggregation over a stream and keep its current state as a table in a folder.
 
-    Each batch's state is a folder of its own that counts once its marker is there, so a reader never meets a
-    table that is being written; a batch run again writes the same folder.
+    Only the groups that a batch changes leave the stream (update mode); they are one folder, named by the order of
+    its making, the stream and the batch, that counts once Spark's marker is in it. A batch that is sent again finds
+    its folder or writes it anew, and a stream that starts anew over an existing table goes on after what is there:
+    its rows win over older ones of the same ``keys``.
     """
+    spark, stream = aggregated.sparkSession, stream_name(checkpoint)
 
-    def keep(state: DataFrame, number: int) -> None:
-        state.write.mode("overwrite").parquet(f"{folder}/state/batch={number}")
+    def keep(changed: DataFrame, number: int) -> None:
+        found = _state_folders(spark, folder)
+        if any((s, b) == (stream, number) for _, s, b, _ in found):
+            return
+        place = max((p for p, _, _, _ in found), default=-1) + 1
+        changed.select(*keys, *[c for c in changed.columns if c not in keys]).write.mode("overwrite").parquet(f"{folder}/state/{place:012d}-{stream}-{number}")
 
     return (
-        aggregated.writeStream.outputMode("complete")
+        aggregated.writeStream.outputMode("update")
         .foreachBatch(keep)
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
@@ -131,24 +146,53 @@ def stream_to_folder(aggregated: DataFrame, folder: str, checkpoint: str) -> Str
     )
 
 
-def read_state(spark: SparkSession, folder: str) -> DataFrame:
-    """The newest whole state that ``stream_to_folder`` has written."""
+def _state_folders(spark: SparkSession, folder: str) -> list[tuple[int, str, int, str]]:
+    """Whole folders of changes, oldest first: place, stream, batch, path."""
+    if not _present(spark, f"{folder}/state"):
+        return []
     jvm = spark._jvm
     top = jvm.org.apache.hadoop.fs.Path(f"{folder}/state")
     files = top.getFileSystem(spark._jsc.hadoopConfiguration())
-    found = [s.getPath() for s in files.listStatus(top)]
-    whole = [p for p in found if files.exists(jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS"))]
-    newest = max(whole, key=lambda p: int(p.getName().rpartition("=")[2]))
-    return spark.read.parquet(newest.toString())
+    whole = [p for p in (s.getPath() for s in files.listStatus(top)) if files.exists(jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS"))]
+    named = [(p.getName().split("-"), p.toString()) for p in whole]
+    return sorted((int(place), stream, int(batch), path) for (place, stream, batch), path in named)
+
+
+def read_state(spark: SparkSession, folder: str, keys: Sequence[str], order: Sequence[str] = ()) -> DataFrame:
+    """The state that ``stream_to_folder`` has written: of each key the row that is last by ``order``, then by the time of writing."""
+    found = _state_folders(spark, folder)
+    if not found:
+        raise FileNotFoundError(f"no state in {folder}")
+    rows = spark.read.parquet(*[path for _, _, _, path in found]).withColumn("_place", F.regexp_extract(F.input_file_name(), r"/state/(\d{12})-", 1))
+    rest = [c for c in rows.columns if c not in (*keys, "_place")]
+    newest = rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.struct(*order, "_place")).alias("s"))
+    return newest.select(*keys, "s.*")
+
+
+def compact_state(spark: SparkSession, folder: str, keys: Sequence[str], order: Sequence[str] = ()) -> None:
+    """Make one folder of all changes so far and remove those that it replaces; a reader finds either."""
+    found = _state_folders(spark, folder)
+    if len(found) < 2:
+        return
+    place, stream, batch, _ = found[-1]
+    cut_lineage(read_state(spark, folder, keys, order)).write.mode("overwrite").parquet(f"{folder}/state/{place + 1:012d}-{stream}-{batch}")
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    for _, s, b, path in found:
+        # The last folder of every stream stays, so that its batches are known when they are sent again.
+        if (s, b) != (stream, batch) and b == max(n for _, t, n, _ in found if t == s):
+            continue
+        where = jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(conf).delete(where, True)
 
 
 def stream_check(
     texts: DataFrame, corpus: Corpus, rules: DataFrame, folder: str, checkpoint: str, **options
 ) -> StreamingQuery:
-    """Check texts (check_id, input_text, …) as they arrive; each batch is one stored run."""
+    """Check texts (check_id, input_text, …) as they arrive; each batch is one stored run, named by stream and batch."""
+    stream = stream_name(checkpoint)
 
     def check(batch: DataFrame, batch_id: int) -> None:
         result = run_check(batch, corpus, rules, **options)
-        write_check_result(result.checks, result.claims, result.rule_hits, folder, f"batch-{batch_id}")
+        write_check_result(result.checks, result.claims, result.rule_hits, folder, f"batch-{stream}-{batch_id}")
 
     return texts.writeStream.foreachBatch(check).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

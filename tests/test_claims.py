@@ -107,3 +107,67 @@ def test_relations_on_default_lists(spark):
 def test_marker_rules_append_without_duplicates():
     merged = rl.merge_marker_rules(lx.RelationLexicon(), {"refute": ["禁止", "新词"], "unknown": ["x"]})
     assert merged.refute[-1] == "新词" and merged.refute.count("禁止") == 1
+
+
+# ------------------------------------------------------------------ whole checks
+def small_corpus(spark, folder):
+    from attestry.plans.corpus import derive, store
+
+    words = "alpha beta gamma delta epsilon zeta eta theta iota kappa".split()
+    line = lambda i, k: " ".join(words[(i * 3 + k * 7 + j * j) % 10] for j in range(14)) + f" tail{i}{k}"
+    rows = [(f"d{i}", f"kb{i % 2}", f"T{i}", "\n".join(["# Head"] + [line(i, k) + "\n" for k in range(4)] + ["# Next"] + [line(i, k + 4) + "\n" for k in range(3)])) for i in range(8)]
+    docs = spark.createDataFrame(rows, "doc_uid string, knowledge_base_id string, doc_title string, content string")
+    stamp = F.timestamp_seconds(F.lit(1700000000))
+    extra = {"doc_id": F.col("doc_uid"), "author": F.lit("a"), "source_name": F.lit("s"), "tags_json": F.lit("[]"), "source_path": F.concat("doc_uid", F.lit(".md")), "ingest_status": F.lit("completed"), "index_status": F.lit("indexed"), "created_at": stamp, "updated_at": stamp}
+    return store(derive(docs.withColumns(extra)), str(folder))
+
+
+def test_every_check_has_its_own_policy(spark, tmp_path):
+    from attestry.plans.check import run_check
+    from attestry.sources.files import rule_rows
+
+    corpus = small_corpus(spark, tmp_path / "corpus")
+    rules = rule_rows(spark, [{"code": "R", "name": "r", "keywords": ["zeta"], "hit_level": "warn", "template_tags": ["t"]}])
+    small = {**lx.CHECK_POLICY, "final_top_k": 2, "vector_top_k": 3}
+    large = {**lx.CHECK_POLICY, "final_top_k": 6, "vector_top_k": 12, "fulltext_top_k": 9, "use_rerank": True, "neighbor_window": 1, "include_section_context": True, "section_max_chars": 60}
+    text = "alpha beta gamma。only zeta eta theta；nothing here"
+    rows = [("a", text, "kb0", ["t"], *small.values()), ("b", text, "kb0", ["u"], *large.values()), ("c", text, "kb1", None, *small.values()), ("d", "kappa iota", None, None, *([None] * 7))]
+    kinds = "fulltext_top_k int, vector_top_k int, final_top_k int, use_rerank boolean, neighbor_window int, include_section_context boolean, section_max_chars int"
+    assert [k.split()[0] for k in kinds.split(", ")] == list(lx.CHECK_POLICY)
+    texts = spark.createDataFrame(rows, f"check_id string, input_text string, knowledge_base_id string, tags array<string>, {kinds}")
+    prefer = lambda query, contents: [(n, float(sum(map(ord, c)) % 97)) for n, c in enumerate(contents)]
+
+    def found(result):
+        claims = {(r.check_id, r.claim_no): (r.verdict, r.evidence_count, r.evidence, r.source_doc, str(r.evidence_details)) for r in result.claims.collect()}
+        return claims, {(r.check_id, r.claim_id, r.rule_code) for r in result.rule_hits.collect()}
+
+    together, hits = found(run_check(texts, corpus, rules, tags="tags", reranker=prefer))
+    plain = texts.drop(*lx.CHECK_POLICY)
+    for check, policy in (("a", small), ("b", large), ("c", small), ("d", lx.CHECK_POLICY)):
+        alone, own = found(run_check(plain.where(F.col("check_id") == check), corpus, rules, policy=policy, tags="tags", reranker=prefer))
+        assert alone == {k: v for k, v in together.items() if k[0] == check}
+        assert own == {h for h in hits if h[0] == check}
+    assert {h[0] for h in hits} == {"a", "c"}  # the rule's tag is not among those of b; d has no zeta
+    details = lambda c: "".join(v[4] for k, v in together.items() if k[0] == c)
+    assert "section_context" in details("b") and "section_context" not in details("a")
+    assert "rerank_score=None" not in details("b") and "rerank_score=None" in details("a")
+
+
+def test_judge_is_merged_and_may_fail(spark, tmp_path):
+    from attestry.plans.check import run_check
+    from attestry.sources.files import rule_rows
+
+    corpus = small_corpus(spark, tmp_path / "corpus")
+    rules = rule_rows(spark, [{"code": "R", "name": "r", "keywords": ["zeta"], "hit_level": "warn", "template_tags": []}])
+    texts = spark.createDataFrame([("a", "alpha beta", "d0"), ("b", "kappa iota", "d1"), ("c", "alpha beta", "gone")], "check_id string, input_text string, doc_uid string")
+
+    def judge(system, prompt):
+        if "kappa iota" in prompt.split("\n")[0]:
+            raise RuntimeError("refused")
+        return '{"verdict": "rejected", "evidence_judgement": "contradict", "confidence": 0.7, "risk_level": "high", "reason": "said"}'
+
+    plain = {r.check_id: r for r in run_check(texts, corpus, rules).claims.collect()}
+    told = {r.check_id: r for r in run_check(texts, corpus, rules, judge=judge).claims.collect()}
+    assert (told["a"].verdict, told["a"].reason, told["a"].risk_level) == ("rejected", "said", "high") and told["a"].has_evidence == plain["a"].has_evidence
+    assert (told["b"].verdict, told["b"].reason) == (plain["b"].verdict, plain["b"].reason)
+    assert not plain["c"].has_evidence and plain["c"].source_doc == "gone"

@@ -183,3 +183,101 @@ def test_approximate_search_fills_filtered_queries_and_finds_most(spark):
     exact = {(r.query_id, r.chunk_id) for r in vc.vector_search(queries, table, 6).collect()}
     near = {(r.query_id, r.chunk_id) for r in vc.vector_search_approx(queries, table, 6).collect()}
     assert len(near) == len(exact) and len(near & exact) >= 0.9 * len(exact)
+
+
+# ------------------------------------------------------------------ n-gram index
+def test_stored_grams_equal_brute_force(spark, tmp_path):
+    from attestry.operators.grams import build_grams, find_needles
+
+    rng = np.random.default_rng(5)
+    word = lambda n: "".join(rng.choice(list("abä c😀"), n))
+    texts = [(f"t{i}", word(int(rng.integers(0, 40)))) for i in range(150)] + [("null", None), ("empty", ""), ("same", "abab abab"), ("again", "abab abab"), ("long", word(5000))]
+    needles = sorted({word(int(rng.integers(1, 7))) for _ in range(80)} | {"abab", "zzz", "c", "😀", "ä😀"})
+    want = sorted((n, t) for n in needles for t, h in texts if n in (h or ""))
+    frame = spark.createDataFrame(texts, "tid string, hay_in string").repartition(3)
+    asked = spark.createDataFrame([(n,) for n in [*needles, ""]] + [(None,)], "needle string")
+    for folder in (None, str(tmp_path / "grams")):
+        index = build_grams(frame, F.col("hay_in"), folder, "hay_in")
+        assert sorted((r.needle, r.tid) for r in find_needles(asked, index, ["tid"]).collect()) == want
+    none = build_grams(frame.limit(0), F.col("hay_in"), None, "hay_in")
+    assert find_needles(asked, none, ["tid"]).count() == 0 and find_needles(asked.limit(0), index, ["tid"]).count() == 0
+
+
+def test_grams_are_read_by_ranges(spark, tmp_path):
+    from attestry.operators.grams import build_grams, in_ranges, wanted_grams
+
+    frame = spark.range(2000).select(F.col("id").cast("string").alias("tid"), F.sha2(F.col("id").cast("string"), 256).alias("text"))
+    index = build_grams(frame, F.col("text"), str(tmp_path / "grams"), "text")
+    some = wanted_grams(spark.createDataFrame([("abc1",)], "needle string"))
+    read = in_ranges(index.grams, some)
+    assert "GreaterThanOrEqual(gram" in read._jdf.queryExecution().executedPlan().toString()
+    assert 0 < read.select("gram").distinct().count() < 0.2 * index.grams.select("gram").distinct().count()
+
+
+# ------------------------------------------------------------------ vectors by cell and by block
+def test_cells_are_pruned_and_exact_when_all_are_open(spark, monkeypatch):
+    points, table = vectors(spark)
+    index = vc.build_cells(table.withColumn("knowledge_base_id", F.when(F.col("chunk_id") < "c060", "k1").otherwise("k2")), cells=8)
+    queries = spark.createDataFrame([(i, [float(x) for x in points[i]], None if i % 3 else "k1") for i in range(0, 120, 7)], "query_id int, embedding array<double>, knowledge_base_id string")
+    rows = lambda df: sorted((r.query_id, r["rank"], r.chunk_id) for r in df.collect())
+    exact = rows(vc.vector_search(queries, index.vectors, 4))
+    assert len(exact) == 4 * queries.count()
+    for part in (50_000, 9):  # small parts: every block of vectors meets every block of queries
+        monkeypatch.setattr(vc, "PART_ROWS", part)
+        assert rows(vc.vector_search_approx(queries, index, 4, share=1.0)) == exact
+        assert len(rows(vc.vector_search_approx(queries, index, 4, share=0.2))) == len(exact)
+    one = queries.where("query_id = 7").drop("knowledge_base_id")
+    plan = vc._by_cell(one, index, 4, 0.1)._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [cell" in plan or "PartitionFilters: [isnotnull(cell" in plan
+
+
+def test_blocks_of_queries_change_nothing(spark, monkeypatch):
+    points, table = vectors(spark)
+    queries = spark.createDataFrame([(i, [float(x) for x in points[i]]) for i in range(0, 120, 3)], "query_id int, embedding array<double>")
+    rows = lambda df: sorted((r.query_id, r["rank"], r.chunk_id, r.score) for r in df.collect())
+    whole = rows(vc.vector_search(queries, table, 5))
+    monkeypatch.setattr(vc, "QUERY_BYTES", 500)
+    folder, blocks = vc.store_query_blocks(queries)
+    assert blocks > 5
+    assert rows(vc.vector_search(queries, table, 5)) == whole
+    assert vc.vector_search(queries.limit(0), table, 5).count() == 0
+
+
+# ------------------------------------------------------------------ streams
+def test_state_leaves_by_changed_keys_and_survives_a_new_checkpoint(spark, tmp_path):
+    folder, landing = str(tmp_path / "state"), tmp_path / "in"
+    schema = "claim_id long, review_id long, review_action string, created_at timestamp"
+    event = lambda c, r, a, t: (c, r, a, t)
+
+    def land(name, rows):
+        frame = spark.createDataFrame(rows, "claim_id long, review_id long, review_action string, s long").withColumn("created_at", F.timestamp_seconds("s")).drop("s")
+        frame.coalesce(1).write.parquet(str(landing / name))
+
+    def run(checkpoint):
+        source = spark.readStream.schema(schema).option("recursiveFileLookup", True).parquet(str(landing))
+        ss.stream_to_folder(ss.review_status(source), folder, checkpoint, ["claim_id"]).awaitTermination()
+        return {r.claim_id: r.review_status for r in ss.read_state(spark, folder, ["claim_id"], ["last"]).collect()}
+
+    land("a", [event(k, k, "approved", 100) for k in range(30)])
+    assert run(str(tmp_path / "one")) == {k: "approved" for k in range(30)}
+    land("b", [event(3, 50, "rejected", 200), event(4, 51, "rejected", 50)])
+    assert run(str(tmp_path / "one"))[3] == "rejected"
+    folders = ss._state_folders(spark, folder)
+    assert [spark.read.parquet(f[3]).count() for f in folders] == [30, 2]  # only the changed keys leave the second batch
+    state = run(str(tmp_path / "two"))  # a stream that starts anew over the same table
+    assert (state[3], state[4]) == ("rejected", "approved") and len(state) == 30
+    ss.compact_state(spark, folder, ["claim_id"], ["last"])
+    assert {r.claim_id: r.review_status for r in ss.read_state(spark, folder, ["claim_id"], ["last"]).collect()} == state
+    assert run(str(tmp_path / "two")) == state
+
+
+def test_runs_are_rewritten_at_once(spark, tmp_path):
+    from attestry.sources import files as sf
+
+    table = lambda n: spark.createDataFrame([(f"c{n}", n)], "check_id string, n int")
+    sf.write_check_result(table(1), table(1), table(1), str(tmp_path), "r/1")
+    sf.write_check_result(table(2), table(2), table(2), str(tmp_path), "r/2")
+    table(9).withColumns({"run_id": F.lit("r/1"), "attempt": F.lit("half")}).write.parquet(f"{tmp_path}/claims/r%2F1/half")  # a rewrite that failed
+    assert sorted(r.n for r in sf.read_check_result(spark, str(tmp_path), "claims").collect()) == [1, 2]
+    sf.write_check_result(table(5), table(5), table(5), str(tmp_path), "r/1")
+    assert sorted(r.n for r in sf.read_check_result(spark, str(tmp_path), "claims").collect()) == [2, 5]

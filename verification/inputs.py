@@ -96,6 +96,17 @@ def inputs(spark: SparkSession, sf_dir: str) -> "Inputs":
     return _OPEN[key]
 
 
+def as_texts(conversations: DataFrame) -> DataFrame:
+    """Turns as texts to check, with knowledge base and tags."""
+    return conversations.select(
+        F.concat(F.lit("c"), F.col("conv_id").cast("string"), F.lit("-"), F.col("turn").cast("string")).alias("check_id"),
+        F.col("text").alias("input_text"),
+        F.concat(F.lit("src"), (F.col("conv_id") % 20).cast("string")).alias("knowledge_base_id"),
+        F.timestamp_seconds(F.lit(EPOCH) + F.col("conv_id") * 3600 + F.col("turn") * 60).alias("created_at"),
+        F.when(F.col("conv_id") % 2 == 0, F.array(F.lit("general"))).otherwise(F.array(F.lit("strict"))).alias("tags"),
+    )
+
+
 class Inputs:
     def __init__(self, spark: SparkSession, sf_dir: str) -> None:
         self.spark = spark
@@ -170,14 +181,7 @@ class Inputs:
     @cached_property
     def texts(self) -> DataFrame:
         """Conversation turns as texts to check."""
-        c = self.table("conversations")
-        return c.select(
-            F.concat(F.lit("c"), F.col("conv_id").cast("string"), F.lit("-"), F.col("turn").cast("string")).alias("check_id"),
-            F.col("text").alias("input_text"),
-            F.concat(F.lit("src"), (F.col("conv_id") % 20).cast("string")).alias("knowledge_base_id"),
-            F.timestamp_seconds(F.lit(EPOCH) + F.col("conv_id") * 3600 + F.col("turn") * 60).alias("created_at"),
-            F.when(F.col("conv_id") % 2 == 0, F.array(F.lit("general"))).otherwise(F.array(F.lit("strict"))).alias("tags"),
-        )
+        return as_texts(self.table("conversations"))
 
     @cached_property
     def claims(self) -> DataFrame:

@@ -177,23 +177,36 @@ def check_summary(i: Inputs):
     return cl.check_summary(verdicts(i), rule_hits(i))
 
 
-@register("retrieval_policy")
-def retrieval_policy(i: Inputs):
-    """Conversations assigned to the presets in turn; every fifth names an unknown one."""
-    names = [p[0] for p in lx.CHECK_PRESETS]
-    checks = i.table("conversations").select(
-        "conv_id", "turn", F.when(F.col("conv_id") % 5 == 4, "other").otherwise(F.get(F.lit(names), (F.col("conv_id") % 5).cast("int"))).alias("template_id")
-    )
-    policies = i.spark.createDataFrame(
+def policies(i: Inputs):
+    """The presets as a table of templates."""
+    return i.spark.createDataFrame(
         [(p[0], *p[2:]) for p in lx.CHECK_PRESETS],
         "template_id string, fulltext_top_k int, vector_top_k int, final_top_k int, use_rerank boolean, neighbor_window int, include_section_context boolean, section_max_chars int",
     )
-    return cl.retrieval_policy(checks, policies)
+
+
+def template(conv_id):
+    """Conversations get the presets in turn; every fifth names an unknown one."""
+    names = [p[0] for p in lx.CHECK_PRESETS]
+    return F.when(conv_id % 5 == 4, "other").otherwise(F.get(F.lit(names), (conv_id % 5).cast("int")))
+
+
+@register("retrieval_policy")
+def retrieval_policy(i: Inputs):
+    checks = i.table("conversations").select("conv_id", "turn", template(F.col("conv_id")).alias("template_id"))
+    return cl.retrieval_policy(checks, policies(i))
+
+
+def by_length(query, contents):
+    """Longer contents first."""
+    return [(n, float(len(c))) for n, c in enumerate(contents)]
 
 
 def checked(i: Inputs):
-    """All turns of the conversations checked against the corpus, each with its own tags."""
-    return run_check(i.texts, i.corpus, i.rules, tags="tags", lexicon=vi.LOGIC)
+    """All turns of the conversations checked against the corpus, each with the limits and tags of its own template."""
+    number = F.regexp_extract("check_id", "^c([0-9]+)", 1).cast("bigint")
+    texts = cl.retrieval_policy(i.texts.withColumn("template_id", template(number)), policies(i)).drop("template_id")
+    return run_check(texts, i.corpus, i.rules, tags="tags", lexicon=vi.LOGIC, reranker=by_length)
 
 
 @register("run_check")

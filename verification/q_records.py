@@ -544,17 +544,17 @@ def table_stream(i: Inputs, name: str):
     return i.spark.readStream.schema(i.table(name).schema).option("pathGlobFilter", f"{name}.parquet").parquet(i.sf_dir)
 
 
-def run_stream(i: Inputs, aggregated, name: str):
+def run_stream(i: Inputs, aggregated, name: str, key: str, order=()):
     folder = fresh_folder(i, name)
-    ss.stream_to_folder(aggregated, folder, f"{folder}/checkpoint").awaitTermination()
-    return ss.read_state(i.spark, folder)
+    ss.stream_to_folder(aggregated, folder, f"{folder}/checkpoint", [key]).awaitTermination()
+    return ss.read_state(i.spark, folder, [key], order)
 
 
 @register("stream_progress")
 def stream_progress(i: Inputs):
     """Events as progress: user = document, type = stage, value = percent."""
     e = table_stream(i, "events").select(F.col("user_id").alias("doc_uid"), F.col("event_id").alias("seq"), F.col("event_type").alias("stage"), F.col("value").alias("percent"))
-    return run_stream(i, ss.progress_by_document(e), "progress")
+    return run_stream(i, ss.progress_by_document(e), "progress", "doc_uid")
 
 
 @register("overall_progress")
@@ -570,7 +570,7 @@ def stream_review_status(i: Inputs):
     action = F.when(kind == "purchase", "approved").when(kind == "error", "rejected").otherwise("updated")
     e = table_stream(i, "events").where(kind.isin("purchase", "error", "click"))
     e = e.select(F.col("user_id").alias("claim_id"), F.col("event_id").alias("review_id"), action.alias("review_action"), F.col("ts").cast("timestamp").alias("created_at"))
-    return run_stream(i, ss.review_status(e), "review").select("claim_id", "review_status")
+    return run_stream(i, ss.review_status(e), "review", "claim_id", ["last"]).select("claim_id", "review_status")
 
 
 @register("stream_ingest")
@@ -589,10 +589,10 @@ def stream_ingest(i: Inputs):
 
 @register("stream_check")
 def stream_check(i: Inputs):
-    """Benchmark passages arriving as a stream."""
-    b = table_stream(i, "benchmark").select(F.concat(F.lit("b"), F.col("item_id").cast("string")).alias("check_id"), F.col("text").alias("input_text"))
+    """The conversations arriving as a stream, each in its own knowledge base."""
+    c = vi.as_texts(table_stream(i, "conversations")).drop("created_at")
     folder = fresh_folder(i, "checks")
-    ss.stream_check(b, i.corpus, i.rules, folder, f"{folder}/checkpoint", lexicon=vi.LOGIC).awaitTermination()
+    ss.stream_check(c, i.corpus, i.rules, folder, f"{folder}/checkpoint", tags="tags", lexicon=vi.LOGIC).awaitTermination()
     return sf.read_check_result(i.spark, folder, "claims").select("check_id", "claim_no", "verdict", "confidence", "risk_level", "evidence_count")
 
 

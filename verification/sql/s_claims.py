@@ -184,12 +184,12 @@ oracle(
 )
 oracle(
     "merge_verdicts",
-    f"""WITH joined AS (SELECT d.claim_id, d.verdict AS hv, d.confidence AS hc, d.risk_level AS hr, d.evidence_judgement AS hj, d.reason AS hx, m.parsed, m.confidence AS mc, m.risk, m.judgement, m.reason AS mx,
+    f"""WITH joined AS (SELECT d.claim_id, d.verdict AS hv, d.confidence AS hc, d.risk_level AS hr, d.evidence_judgement AS hj, d.reason AS hx, d.evidence_count > 0 AS has_evidence, m.parsed, m.confidence AS mc, m.risk, m.judgement, m.reason AS mx,
       CASE WHEN m.judgement = 'contradict' THEN 'rejected' WHEN m.judgement = 'insufficient' AND m.verdict = 'verified' THEN 'needs_review' ELSE m.verdict END AS mv FROM decided d JOIN model m USING (claim_id)),
     finals AS (SELECT *, {named(f"greatest({rank('hv', lx.VERDICT_RANK, 1)}, {rank('mv', lx.VERDICT_RANK, 1)})", lx.VERDICT_RANK)} AS fv FROM joined)
     SELECT claim_id, CASE WHEN parsed THEN fv ELSE hv END AS verdict, CASE WHEN NOT parsed THEN hc WHEN fv = mv THEN mc ELSE least(mc, hc) END AS confidence,
     CASE WHEN parsed THEN {named(f"greatest({rank('hr', lx.RISK_RANK, 1)}, {rank('risk', lx.RISK_RANK, 1)})", lx.RISK_RANK)} ELSE hr END AS risk_level,
-    CASE WHEN parsed THEN judgement ELSE hj END AS evidence_judgement, CASE WHEN parsed THEN mx ELSE hx END AS reason FROM finals""",
+    CASE WHEN parsed THEN judgement ELSE hj END AS evidence_judgement, CASE WHEN parsed THEN mx ELSE hx END AS reason, has_evidence FROM finals""",
 )
 oracle(
     "coerce_enums",
