@@ -3,8 +3,9 @@
 URLs that rules allow or block train one character model each: a variable-order Markov model, in which every
 character is judged after the longest context it has been seen in, smoothed down the orders (Witten-Bell).
 The other URLs are judged by the difference of log-likelihoods a character, against a threshold calibrated on
-the ruled ones. All of it is DataFrame operations. Characters are folded to a fixed alphabet, which bounds the
-models at ``len(ALPHABET)**ORDER`` rows whatever the number of URLs: they can be broadcast.
+the ruled ones. All of it is DataFrame operations. Characters are taken as they are, and both models have all
+grams of the ruled URLs up to ``ORDER`` characters, so they grow with the table: they are shuffled and joined,
+never sent whole. What follows which context is worked out once for each distinct gram of the URLs to be judged.
 """
 
 from __future__ import annotations
@@ -17,8 +18,8 @@ from pyspark.sql import functions as F
 from attestry.llm import store
 
 RULES = (("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block"))
-ORDER = 3
-ALPHABET = "abcdefghijklmnopqrstuvwxyz0./:-_?#=&%~*^$"  # digits fold to 0, other characters to *
+ORDER = 6
+BEGIN, END = "\u0002", "\u0003"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -40,11 +41,12 @@ def by_rule(host: Column, path: Column, rules: Sequence[tuple[str, str, str]]) -
     return rule, verdict
 
 
-def _folded(url: Column) -> Column:
-    """What the models read: the url after its scheme, folded, between marks for its ends."""
-    after = F.when(F.locate("://", url) > 0, F.substring(url, F.locate("://", url) + 3, F.length(url))).otherwise(F.coalesce(url, F.lit("")))
-    plain = F.translate(after, _UPPER + "123456789", _LOWER + "0" * 9)
-    return F.concat(F.lit("^"), F.regexp_replace(plain, r"[^a-z0./:_?#=&%~-]", "*"), F.lit("$"))
+def _read(url: Column) -> Column:
+    """What the models read: the url after its scheme, the host lower-cased, between marks for its ends."""
+    at = F.locate("://", url)
+    after = F.when(at > 0, F.substring(url, at + 3, F.length(url))).otherwise(F.coalesce(url, F.lit("")))
+    host = F.regexp_extract(after, r"^([^/?#]*)", 1)
+    return F.concat(F.lit(BEGIN), F.translate(host, _UPPER, _LOWER), F.substring(after, F.length(host) + 1, F.length(after)), F.lit(END))
 
 
 def _grams(df: DataFrame, order: int, *keep: str) -> DataFrame:
@@ -62,35 +64,42 @@ def train(ruled: DataFrame, order: int = ORDER) -> DataFrame:
     """
     longest = _grams(ruled, order, "accepted", "weight")
     counts = longest.groupBy("gram").agg(*[F.sum(F.when(F.col("accepted") == side, F.col("weight")).otherwise(0)).alias(k) for k, side in (("n_a", True), ("n_r", False))])
+    counts = store.stored(counts, "counts")
+    characters = counts.select(F.substring("gram", -1, 1).alias("c")).agg(F.count_distinct("c")).first()[0]
     models = None
     below = None
     for k in range(1, order + 1):
         # Places at the start have less before them than k - 1 characters; their grams belong to lower orders too.
-        grams = counts.withColumn("gram", F.substring("gram", -k, k)).groupBy("gram").agg(F.sum("n_a").alias("n_a"), F.sum("n_r").alias("n_r")).where(F.length("gram") == k)
+        grams = counts.where(F.length("gram") >= k).groupBy(F.substring("gram", -k, k).alias("gram")).agg(F.sum("n_a").alias("n_a"), F.sum("n_r").alias("n_r"))
         grams = grams.withColumn("context", F.substring("gram", 1, k - 1)).withColumn("shorter", F.substring("gram", 2, k - 1))
         seen = grams.groupBy("context").agg(
             F.sum("n_a").alias("c_a"), F.sum("n_r").alias("c_r"), F.sum((F.col("n_a") > 0).cast("int")).alias("t_a"), F.sum((F.col("n_r") > 0).cast("int")).alias("t_r")
         )
-        grams = grams.join(F.broadcast(seen), "context")
+        grams = grams.join(seen, "context")
         if below is None:
-            grams = grams.withColumns({"q_a": F.lit(1.0 / len(ALPHABET)), "q_r": F.lit(1.0 / len(ALPHABET))})
+            grams = grams.withColumns({"q_a": F.lit(1.0 / (characters + 1)), "q_r": F.lit(1.0 / (characters + 1))})
         else:
-            grams = grams.join(F.broadcast(below.select(F.col("gram").alias("shorter"), F.col("p_a").alias("q_a"), F.col("p_r").alias("q_r"))), "shorter")
+            grams = grams.join(below.select(F.col("gram").alias("shorter"), F.col("p_a").alias("q_a"), F.col("p_r").alias("q_r")), "shorter")
         smooth = lambda s: F.when(F.col(f"c_{s}") > 0, (F.col(f"n_{s}") + F.col(f"t_{s}") * F.col(f"q_{s}")) / (F.col(f"c_{s}") + F.col(f"t_{s}"))).otherwise(F.col(f"q_{s}"))
-        below = grams.select("gram", smooth("a").alias("p_a"), smooth("r").alias("p_r"))
+        below = store.stored(grams.select("gram", smooth("a").alias("p_a"), smooth("r").alias("p_r")), "order")
         models = below if models is None else models.unionByName(below)
     return models.select("gram", (F.log("p_a") - F.log("p_r")).alias("ratio"))
 
 
 def score(urls: DataFrame, model: DataFrame, order: int = ORDER) -> DataFrame:
-    """``chars`` and ``score``: the mean over the characters of the ratio after the longest known context."""
-    out = _grams(urls.select("chars"), order, "chars")
-    ratio = F.lit(None).cast("double")
+    """``chars`` and ``score``: the mean over the characters of the ratio after the longest known context.
+
+    Every distinct gram is looked up once, the longest order first; its ratio then goes to all places that have it.
+    """
+    urls = urls.select("chars", F.xxhash64("chars").alias("u"))
+    places = _grams(urls, order, "u")
+    known, ratio = places.select("gram").distinct(), F.lit(None).cast("double")
     for k in range(order, 0, -1):
         own = model.where(F.length("gram") == k).select(F.col("gram").alias(f"g{k}"), F.col("ratio").alias(f"r{k}"))
-        out = out.join(F.broadcast(own), (F.substring("gram", -k, k) == F.col(f"g{k}")) & (F.length("gram") >= k), "left")
+        known = known.join(own, F.when(F.length("gram") >= k, F.substring("gram", -k, k)) == F.col(f"g{k}"), "left").drop(f"g{k}")
         ratio = F.coalesce(ratio, f"r{k}")
-    return out.groupBy("chars").agg(F.avg(F.coalesce(ratio, F.lit(0.0))).alias("score"))
+    known = known.select("gram", F.coalesce(ratio, F.lit(0.0)).alias("ratio"))
+    return places.join(known, "gram").groupBy("u").agg(F.avg("ratio").alias("score")).join(urls, "u").select("chars", "score")
 
 
 def calibrate(scored: DataFrame) -> float:
@@ -119,13 +128,14 @@ def filter_urls(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES,
     host, path = url_parts(F.col("url"))
     rows = pages.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{url_col}`").alias("url")).withColumns({"host": host, "path": path})
     rule, verdict = by_rule(F.col("host"), F.col("path"), rules)
-    rows = rows.withColumns({"rule": rule, "ruled": verdict, "chars": _folded(F.col("url"))})
+    rows = rows.withColumns({"rule": rule, "ruled": verdict, "chars": _read(F.col("url"))})
     ruled = rows.where("ruled is not null").groupBy("chars", (F.col("ruled") == "allow").alias("accepted")).agg(F.count(F.lit(1)).alias("weight"))
     ruled = store.stored(ruled, "ruled")
     model = store.stored(train(ruled, order), "model")
     threshold = calibrate(ruled.join(score(ruled.select("chars").distinct(), model, order), "chars"))
     scores = score(rows.where("ruled is null").select("chars").distinct(), model, order)
-    out = rows.join(scores, (rows["chars"] == scores["chars"]) & rows["ruled"].isNull(), "left")
+    scores = scores.withColumnRenamed("chars", "scored")
+    out = rows.join(scores, (F.col("chars") == F.col("scored")) & F.col("ruled").isNull(), "left")
     judged = F.when(F.coalesce("score", F.lit(0.0)) >= threshold, "allow").otherwise("block")
     return out.select("id", "host", "path", "rule", F.coalesce("ruled", judged).alias("verdict"), F.round("score", 6).alias("score"))
 

@@ -201,25 +201,30 @@ def test_url_rules_and_models(spark):
 
 
 def test_model_probabilities_by_hand(spark):
-    seen = [("^ab$", True, 3), ("^aa$", False, 2), ("^b$", False, 1)]
+    seen = [("^ab$", True, 3), ("^aa$", False, 2), ("^b$", False, 1), ("^a/es/x9É$", False, 2), ("^a/es/x8é$", True, 1)]
     got = {r.gram: r.ratio for r in urls.train(spark.createDataFrame(seen, "chars string, accepted boolean, weight long")).collect()}
     import math
 
     def p(gram: str, side: bool) -> float:
         if not gram:
-            return 1 / len(urls.ALPHABET)
+            return 1 / (len({c for chars, _, _ in seen for c in chars[1:]}) + 1)
         grams = collections.Counter()
         for chars, s, w in seen:
             if s == side:
                 for i in range(1, len(chars)):
-                    part = chars[max(0, i - 2) : i + 1][-len(gram) :]
+                    part = chars[max(0, i - urls.ORDER + 1) : i + 1][-len(gram) :]
                     if len(part) == len(gram):
                         grams[part] += w
         of = {g: n for g, n in grams.items() if g[:-1] == gram[:-1]}
         c, t, q = sum(of.values()), len(of), p(gram[1:], side)
         return (grams[gram] + t * q) / (c + t) if c else q
 
-    assert got and all(abs(v - math.log(p(g, True)) + math.log(p(g, False))) < 1e-9 for g, v in got.items())
+    assert max(map(len, got)) == urls.ORDER and all(abs(v - math.log(p(g, True)) + math.log(p(g, False))) < 1e-9 for g, v in got.items())
+    texts_ = spark.createDataFrame([("^a/es/x7$",), ("^zz$",), ("^ab$",)], "chars string")
+    scores = {r.chars: r.score for r in urls.score(texts_, urls.train(spark.createDataFrame(seen, "chars string, accepted boolean, weight long"))).collect()}
+    for chars, value in scores.items():
+        places = [next((got[chars[i - n : i + 1]] for n in range(min(i, urls.ORDER - 1), -1, -1) if chars[i - n : i + 1] in got), 0.0) for i in range(1, len(chars))]
+        assert abs(value - sum(places) / len(places)) < 1e-9
 
 
 # ------------------------------------------------------------------ 4 n-gram Jaccard join
