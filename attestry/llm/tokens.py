@@ -11,8 +11,10 @@ follows from its partition, so attempts that are repeated after a lost executor
 from __future__ import annotations
 
 import itertools
+import sys
 import uuid
 import zlib
+from array import array
 from collections.abc import Callable
 
 import numpy as np
@@ -25,7 +27,8 @@ from pyspark.sql import functions as F
 from attestry.llm import store, texts
 
 END = 0
-KNOWN = 800_000  # pretokens whose ids a worker remembers
+KNOWN = 800_000  # pretokens whose ids a worker remembers,
+KEEP_CHARS = 32  # of at most so many characters, which bounds their bytes
 NO_ID = -(1 << 63)
 _PRETOKENS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"  # fixed by byte-level BPE
 
@@ -37,16 +40,27 @@ def public_vocabulary() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def _byte_letters() -> dict[int, int]:
+    """The characters by which byte-level BPE names bytes: printable ones stand for themselves, the others for 256 and on in order."""
+    plain = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    others = [b for b in range(256) if b not in plain]
+    return {b: 256 + k for k, b in enumerate(others)}
+
+
 class _Known(dict):
-    """Ids of pretokens, encoded when they are first asked for."""
+    """Ids of pretokens, encoded by the vocabulary's model when they are first asked for; long ones are not kept."""
 
     def __init__(self, model, kind: str) -> None:
         super().__init__()
-        self.encode, self.kind = model.encode, kind
+        self.tokenize, self.letters, self.code = model.model.tokenize, _byte_letters(), "H" if kind == "<u2" else "I"
 
     def __missing__(self, piece: str) -> bytes:
-        made = np.asarray(self.encode(piece, add_special_tokens=False).ids, self.kind).tobytes()
-        if len(self) < KNOWN:
+        named = piece.encode().decode("latin-1").translate(self.letters)
+        ids = array(self.code, [t.id for t in self.tokenize(named)])
+        if sys.byteorder == "big":
+            ids.byteswap()
+        made = ids.tobytes()
+        if len(piece) <= KEEP_CHARS and len(self) < KNOWN:
             self[piece] = made
         return made
 
@@ -98,7 +112,8 @@ def write_token_files(documents: DataFrame, folder: str, vocabulary: str | None
     texts.small_batches(spark)
     path = vocabulary or public_vocabulary()
     docs = documents.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
-    docs = docs.repartitionByRange(max(1, int(spark.conf.get("spark.sql.shuffle.partitions"))), "id").sortWithinPartitions("id", "text")
+    # Rows of one id, or of none, may be many: ranges go on inside them by the beginnings of their texts.
+    docs = docs.repartitionByRange(max(1, int(spark.conf.get("spark.sql.shuffle.partitions"))), "id", F.substring("text", 1, 64)).sortWithinPartitions("id", "text")
 
     def run(batches):
         encode = encoder(path)
