@@ -280,10 +280,11 @@ def find_contamination(
     return out.withColumn("contaminated", (F.col("n_hit") > 0) & (F.col("n_hit") >= share * F.col("n_words")))
 
 
-def remove_contaminated(documents: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """The documents that are not contaminated, with their own columns only; the same cases as above."""
-    marked = find_contamination(documents, benchmark, **options)
-    return marked.where(~F.col("contaminated")).select(*[marked[f"`{c}`"] for c in documents.columns if c in marked.columns])
+def remove_contaminated(documents: DataFrame, benchmark: DataFrame, text: str = "text", **options) -> DataFrame:
+    """The documents that are not contaminated, with their own columns only, whatever these are called; the same cases as above."""
+    plain = store.numbered_columns(documents)
+    marked = find_contamination(plain, benchmark, f"c{documents.columns.index(text)}", **options)
+    return marked.where(~F.col("contaminated")).select(*plain.columns).toDF(*documents.columns)
 
 
 def op10_suffix_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -358,9 +358,9 @@ def keep_one_each(documents: DataFrame, id_col: str = "doc_id", text_col: str =
     documents without id stay as they are; columns are those of the input."""
     found = similarity_classes(documents, id_col, text_col, **options)
     chosen = found.where("id = component_id").select(F.col("id").alias("kept_id")).distinct()
-    key = documents[f"`{id_col}`"]
-    stay = documents.join(chosen, key.cast("long") == F.col("kept_id"), "left_semi").dropDuplicates([id_col])
-    return stay.unionByName(documents.where(key.isNull()))
+    plain, key = store.numbered_columns(documents), f"c{documents.columns.index(id_col)}"
+    stay = plain.join(chosen, F.col(key).cast("long") == F.col("kept_id"), "left_semi").dropDuplicates([key])
+    return stay.unionByName(plain.where(F.col(key).isNull())).toDF(*documents.columns)
 
 
 def op4_token_combination_join(spark: SparkSession, sf_dir: str) -> DataFrame:

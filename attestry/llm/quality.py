@@ -293,10 +293,11 @@ def judge(documents: DataFrame, model: Model, text_col: str = "text") -> DataFra
     return out.withColumn("base_failed", failed).withColumn("kept", ~failed & decision(list(model.rules)))
 
 
-def keep_good(documents: DataFrame, labels: DataFrame) -> DataFrame:
-    """The documents that the rules keep, with their own columns only."""
-    marked = judge(documents, fit(documents, labels))
-    return marked.where("kept").select(*[marked[f"`{c}`"] for c in documents.columns if c in marked.columns])
+def keep_good(documents: DataFrame, labels: DataFrame, text_col: str = "text") -> DataFrame:
+    """The documents that the rules keep, with their own columns only, whatever these are called."""
+    plain = store.numbered_columns(documents)
+    marked = judge(plain, fit(documents, labels), f"c{documents.columns.index(text_col)}")
+    return marked.where("kept").select(*plain.columns).toDF(*documents.columns)
 
 
 def op2_decision_list(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -37,3 +37,9 @@ def without(df: DataFrame, *names: str) -> DataFrame:
     """The frame without columns of these names, in whatever case."""
     taken = {n.lower() for n in names}
     return df.select(*[df[f"`{c}`"] for c in df.columns if c.lower() not in taken])
+
+
+def numbered_columns(df: DataFrame) -> DataFrame:
+    """The frame with its columns named c0, c1, …, so that no name of the caller's clashes with one made here;
+    ``toDF(*df.columns)`` gives the names back."""
+    return df.toDF(*[f"c{k}" for k in range(len(df.columns))])

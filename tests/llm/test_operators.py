@@ -466,6 +466,25 @@ def best_jaccard(a: np.ndarray, part: np.ndarray) -> float:
     return best
 
 
+def test_stages_give_callers_columns_back(spark):
+    r = random.Random(12)
+    own = ["KEPT", "n_words", "longest", "contaminated", "kept_id", "_span_id", "spans", "n_hit", "base_failed", "c0", "id", "h", "node"]
+    kinds = ["string", "long", "string", "int", "array<int>", "double"]
+    values = ["mine", 111, "mine", 5, [1, 2], 0.5]
+    plain = lambda n: " ".join(word(r) for _ in range(n))
+    passage = plain(60)
+    rows = [(i, plain(120) + (" " + passage if i % 2 else ""), *[values[k % 6] for k in range(len(own))]) for i in range(12)]
+    documents = spark.createDataFrame(rows, "doc_id long, text string, " + ", ".join(f"`{c}` {kinds[k % 6]}" for k, c in enumerate(own))).repartition(2)
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(12)], "doc_id long, quality long, toxic long")
+    items = spark.createDataFrame([(1, rows[0][1])], "item_id long, text string")
+    for stage in (lambda d: quality.keep_good(d, labels), jaccard.keep_one_each, substring.remove_repeats, lambda d: decontaminate.remove_contaminated(d, items)):
+        left = stage(documents)
+        assert left.columns == documents.columns and left.dtypes == documents.dtypes
+        got = left.collect()
+        assert 6 <= len(got) <= 12 and all(tuple(x)[2:] == rows[0][2:] for x in got)
+    assert 0 not in {x.doc_id for x in got}
+
+
 # ------------------------------------------------------------------ 8 rollups
 def test_rollup_batches(spark, tmp_path):
     rollup = rollups.Rollup(spark, str(tmp_path / "r"))
