@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from attestry import lexicons as lx
 from attestry.lexicons import Thresholds
+from attestry.operators.paging import Order, numbered_page, page_after, page_ends, sort_columns
 
 
 def document_metrics(docs: DataFrame, sections: DataFrame, chunks: DataFrame, word_sets: DataFrame) -> DataFrame:
@@ -172,8 +173,18 @@ def database_summary(docs: DataFrame, sections: DataFrame, chunks: DataFrame, ch
     return counted.rollup(kb).agg(*[F.sum(c).alias(c) for c in SUMMARY_COUNTS])
 
 
-def list_documents(docs: DataFrame, *, doc_uid=None, knowledge_base_id=None, status=None, page: int = 1, page_size: int = 20) -> DataFrame:
-    """A page of documents, newest first, with the total number matching."""
+#: Documents are listed newest first.
+NEWEST_DOCUMENTS = (("updated_at", "desc"), ("doc_uid", "asc"))
+
+
+def list_documents(
+    docs: DataFrame, *, doc_uid=None, knowledge_base_id=None, status=None, page: int = 1, page_size: int = 20, after: Mapping | None = None, ends: DataFrame | None = None
+) -> DataFrame:
+    """A page of documents, newest first, with the total number matching.
+
+    ``after`` (updated_at and doc_uid of the last row shown) gives the next page, whatever ``page``; a page by number
+    begins at the key that ``ends`` (``page_ends`` of the same rows, made here if missing) holds for it.
+    """
     rows = docs
     if doc_uid:
         rows = rows.where(F.col("doc_uid") == doc_uid)
@@ -182,7 +193,7 @@ def list_documents(docs: DataFrame, *, doc_uid=None, knowledge_base_id=None, sta
     if status:
         rows = rows.where(F.col("ingest_status") == status)
     total = rows.agg(F.count(F.lit(1))).scalar()
-    picked = rows.orderBy(F.desc("updated_at"), "doc_uid").offset(max(page - 1, 0) * page_size).limit(page_size)
+    picked = page_after(rows, NEWEST_DOCUMENTS, after, page_size) if after is not None else numbered_page(rows, NEWEST_DOCUMENTS, page, page_size, ends)
     return picked.withColumn("total", total)
 
 
@@ -270,15 +281,15 @@ def evidence_catalog(chunks: DataFrame, docs: DataFrame, *, knowledge_base_id: s
     return picked if limit is None else picked.orderBy("doc_title", "chunk_index", "chunk_id").limit(max(int(limit), 1))
 
 
-def paginate(rows: DataFrame, order: list, page: int = 1, page_size: int = 20) -> DataFrame:
-    """One page with running numbers; the page number is held inside the valid range.
+def paginate(rows: DataFrame, order: Order, page: int = 1, page_size: int = 20, ends: DataFrame | None = None) -> DataFrame:
+    """One page with running numbers; the page number is held inside the valid range, an empty table has one page.
 
-    Only the rows up to the page are ordered (a bounded top-n), never the whole table.
+    ``ends`` is ``page_ends`` of the same rows, made here if missing. The page begins after the key the page before
+    ends with, so no rows are skipped or counted on the way to a deep page.
     """
-    count = rows.count()
-    pages = max(1, -(-count // page_size))
+    ends = page_ends(rows, order, page_size) if ends is None else ends
+    pages = ends.agg(F.max("page")).first()[0] or 1
     page = max(1, min(int(page or 1), pages))
-    first = (page - 1) * page_size
-    picked = rows.orderBy(*order).offset(first).limit(page_size)
-    numbered = Window.orderBy(*order)
-    return picked.withColumn("row_no", F.row_number().over(numbered) + first).withColumn("page", F.lit(page)).withColumn("pages", F.lit(pages))
+    picked = numbered_page(rows, order, page, page_size, ends)
+    row_no = F.row_number().over(Window.orderBy(*sort_columns(order))) + (page - 1) * page_size
+    return picked.withColumn("row_no", row_no).withColumn("page", F.lit(page)).withColumn("pages", F.lit(pages).cast("int"))

@@ -14,6 +14,7 @@ from attestry.lexicons import DEFAULT_DICTIONARY, CHECK_POLICY, QuestionLexicon,
 from attestry.operators import normalize as nz
 from attestry.operators.grams import GramIndex, build_grams, find_needles
 from attestry.operators.matching import rarest_keys
+from attestry.operators.paging import ranked
 
 HIT_COLUMNS = ["query_id", "rank", "chunk_id", "doc_uid", "score", "rerank_score", "retrieval_source", "matched_sources"]
 
@@ -526,9 +527,9 @@ def merge_evidence(primary: DataFrame, supplemental: DataFrame) -> DataFrame:
     first = rows.groupBy("question_id", "source_type", "doc_uid", "evidence_key").agg(
         F.min(F.struct("part", "rank", *names)).alias("m")
     )
-    return first.select("question_id", "doc_uid", "source_type", "evidence_key", "m.*").withColumn(
-        "position_no", F.row_number().over(Window.partitionBy("question_id").orderBy("doc_uid", "part", "rank"))
-    )
+    merged = first.select("question_id", "doc_uid", "source_type", "evidence_key", "m.*")
+    order = [(c, "asc") for c in ("doc_uid", "part", "rank")]
+    return ranked(merged, ["question_id"], order, "position_no").withColumn("position_no", F.col("position_no").cast("int"))
 
 
 def rank_sections_local(
@@ -572,23 +573,21 @@ def collect_kb_evidence(questions: DataFrame, docs: DataFrame, sections: DataFra
 
 
 def available_documents(docs: DataFrame) -> DataFrame:
-    """Completed documents per knowledge base, newest first."""
-    order = Window.partitionBy("knowledge_base_id").orderBy(F.desc("updated_at"), "doc_title", "doc_uid")
-    return (
-        docs.where("ingest_status = 'completed'")
-        .select("knowledge_base_id", "doc_uid", "doc_title", F.row_number().over(order).alias("position"))
-    )
+    """Completed documents per knowledge base, newest first; a knowledge base of any size is ranked in many tasks."""
+    rows = docs.where("ingest_status = 'completed'").select("knowledge_base_id", "doc_uid", "doc_title", "updated_at")
+    order = [("updated_at", "desc"), ("doc_title", "asc"), ("doc_uid", "asc")]
+    return ranked(rows, ["knowledge_base_id"], order).withColumn("position", F.col("position").cast("int")).drop("updated_at")
 
 
-def query_history(history: DataFrame, limit: int = 20) -> DataFrame:
-    """Stored questions per knowledge base, newest first, with the type read from the debug text."""
-    order = Window.partitionBy("knowledge_base_id").orderBy(F.desc("created_at"), F.desc("query_id"))
+def query_history(history: DataFrame, limit: int = 20, by: str = "knowledge_base_id") -> DataFrame:
+    """Stored questions per knowledge base (or per document, ``by="doc_uid"``), newest first, with the type read from the debug text."""
+    order = Window.partitionBy(by).orderBy(F.desc("created_at"), F.desc("query_id"))
     evidence = F.from_json("evidence_json", "array<struct<doc_uid:string,title:string>>")
     return (
         history.withColumn("position", F.row_number().over(order))
         .where(F.col("position") <= limit)
         .select(
-            "knowledge_base_id",
+            by,
             "position",
             "query_id",
             "question",

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from attestry.lexicons import REVIEW_ACTIONS
+from attestry.operators.paging import beyond, sort_columns
 
 
 def submit_reviews(submitted: DataFrame, claims: DataFrame) -> DataFrame:
@@ -64,13 +65,27 @@ def filter_review_queue(queue: DataFrame, scope: str = "all", risk: str = "all")
     return rows
 
 
-def review_history(reviews: DataFrame, claims: DataFrame, checks: DataFrame, page: int = 1, page_size: int = 20) -> DataFrame:
-    """A page of reviews per knowledge base, newest first, with the total."""
+#: Reviews are listed newest first.
+NEWEST_REVIEWS = (("created_at", "desc"), ("review_id", "desc"))
+
+
+def review_history(reviews: DataFrame, claims: DataFrame, checks: DataFrame, page: int = 1, page_size: int = 20, after: DataFrame | None = None) -> DataFrame:
+    """A page of reviews per knowledge base, newest first, with the total.
+
+    ``after`` holds rows of the page before: every knowledge base goes on after its last one there, and one without
+    rows has no further page. Only ``page_size`` rows a knowledge base then leave a partition, however deep the page.
+    """
     rows = reviews.join(claims.select("claim_id", "check_id", "claim_text"), "claim_id").join(
         checks.select("check_id", "knowledge_base_id"), "check_id"
     )
-    order = Window.partitionBy("knowledge_base_id").orderBy(F.desc("created_at"), F.desc("review_id"))
+    order = Window.partitionBy("knowledge_base_id").orderBy(*sort_columns(NEWEST_REVIEWS))
     totals = rows.groupBy("knowledge_base_id").agg(F.count(F.lit(1)).alias("total"))
+    if after is not None:
+        last = after.groupBy("knowledge_base_id").agg(F.max(F.struct("position", "created_at", "review_id")).alias("last"))
+        key = {c: F.col(f"last.{c}") for c, _ in NEWEST_REVIEWS}
+        following = rows.join(last, "knowledge_base_id").where(beyond(NEWEST_REVIEWS, key)).withColumn("step", F.row_number().over(order))
+        following = following.where(F.col("step") <= page_size).withColumn("position", (F.col("last.position") + F.col("step")).cast("int"))
+        return following.drop("step", "last").join(totals, "knowledge_base_id")
     first = max(page - 1, 0) * page_size
     top = rows.withColumn("position", F.row_number().over(order)).where(F.col("position") <= first + page_size)
     return top.where(F.col("position") > first).join(totals, "knowledge_base_id")

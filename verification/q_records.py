@@ -358,7 +358,7 @@ def evidence_catalog_page(i: Inputs):
 
 @register("paginate")
 def paginate(i: Inputs):
-    return rp.paginate(i.docs.select("doc_uid", "updated_at"), [F.desc("updated_at"), F.asc("doc_uid")], page=3, page_size=25).drop("updated_at")
+    return rp.paginate(i.docs.select("doc_uid", "updated_at"), rp.NEWEST_DOCUMENTS, page=3, page_size=25).drop("updated_at")
 
 
 # ------------------------------------------------------------------ H. review, I. scope
