@@ -9,6 +9,7 @@ from attestry import lexicons as lx
 from attestry.functions import text as tx
 from attestry.lexicons import ClaimLexicon
 from attestry.operators import normalize as nz
+from attestry.operators.matching import contains_join
 
 
 def rank_of(value: Column, ranks: dict[str, int], default: int) -> Column:
@@ -110,6 +111,33 @@ def match_rules(claims: DataFrame, rules: DataFrame, tags: str | None = None) ->
     )
 
 
+def match_rule_table(claims: DataFrame, rules: DataFrame, tags: str | None = None) -> DataFrame:
+    """The rows of ``match_rules`` for rule tables of any size: keywords are looked up from the claim's n-grams.
+
+    A keyword waits at the one of its n-grams that the fewest claims have, so a claim meets the keywords that wait
+    at its own n-grams, not all rules, and no task holds the rule table. Claims are told apart by (check_id,
+    claim_id), rules by rule_no; claims without text, rules without keywords and empty keywords match nothing.
+    """
+    asked = F.col(tags) if tags else F.array().cast("array<string>")
+    words = rules.select("rule_no", "template_tags", F.posexplode("keywords").alias("word_no", "keyword")).where("keyword <> ''")
+    found = contains_join(
+        words.select("keyword", F.col("keyword").alias("word")).distinct(), claims.where("claim_text is not null"),
+        needle="word", hay="claim_text", needle_key="keyword", hay_keys=["check_id", "claim_id"], payload=[tags] if tags else [],
+    )
+    hits = found.join(words, "keyword").where(rule_applies(F.col("template_tags"), asked))
+    first = hits.groupBy("check_id", "claim_id", "rule_no").agg(F.min(F.struct("word_no", "keyword")).alias("w"))
+    return first.join(rules.select("rule_no", "code", "name", "hit_level", "message"), "rule_no").select(
+        "check_id",
+        "claim_id",
+        F.col("rule_no").cast("int").alias("rule_no"),
+        F.coalesce("code", F.lit("")).alias("rule_code"),
+        F.coalesce("name", F.lit("")).alias("rule_name"),
+        F.coalesce("hit_level", F.lit("warn")).alias("hit_level"),
+        F.coalesce("message", F.concat(F.lit("命中规则关键词："), F.col("w.keyword"))).alias("hit_message"),
+        F.col("w.keyword").alias("matched_keyword"),
+    )
+
+
 def max_rule_level(rule_hits: DataFrame) -> DataFrame:
     """(claim_id, max_level)."""
     rank = F.max(rank_of(F.col("hit_level"), lx.LEVEL_RANK, 1))

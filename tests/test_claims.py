@@ -40,6 +40,20 @@ def test_rules_report_the_first_keyword_and_respect_tags(spark):
     assert {r.rule_code for r in cl.match_rules(claims, rules).collect()} == {"A", "B"}
 
 
+def test_rule_table_finds_what_rules_in_every_row_find(spark):
+    """Thousands of rules, keywords of one to five characters, one of them in most claims, tags, nulls, ties."""
+    word = lambda k: "".join("abcdefg"[(k * m + m * m) % 7] for m in range(1, 2 + k % 5))
+    rules = rule_rows(spark, [
+        {"code": f"R{k}", "keywords": [word(k), "", word(k * 3 + 1)], "template_tags": [[], ["x"], ["y", "z"]][k % 3], **({"message": "m"} if k % 2 else {})} for k in range(2000)
+    ] + [{"code": "none", "keywords": []}])
+    rows = [(k % 4, k, None if k == 7 else "" if k == 8 else "ab " + " ".join(word(k * j + j) for j in range(k % 6)), [["x"], [], None][k % 3]) for k in range(60)]
+    claims = spark.createDataFrame(rows, "check_id int, claim_id int, claim_text string, tags array<string>")
+    for tags in ("tags", None):
+        found = sorted(map(tuple, cl.match_rule_table(claims, rules, tags).collect()))
+        assert found == sorted(map(tuple, cl.match_rules(claims, rules, tags).collect())) and len(found) > 1000
+    assert cl.match_rule_table(claims, rules.limit(0)).collect() == [] and cl.match_rule_table(claims.limit(0), rules).collect() == []
+
+
 def simulate(c, s, n, k):
     """Quotas step by step: contradict first, one reserved support, support, insufficient."""
     reserve = 1 if c and s and k >= 3 else 0

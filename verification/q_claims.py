@@ -39,6 +39,11 @@ def match_rules(i: Inputs):
     return rule_hits(i)
 
 
+@register("match_rule_table")
+def match_rule_table(i: Inputs):
+    return cl.match_rule_table(i.claims, i.rules, "tags")
+
+
 @register("filter_rules_by_tags")
 def filter_rules_by_tags(i: Inputs):
     """Each conversation's tags as a template."""

@@ -33,6 +33,7 @@ part(
     SELECT *, list_filter(keywords, lambda w: contains(claim_text, w))[1] AS k FROM claims, rule_set WHERE len(tags) = 0 OR list_contains(tags, {TAG})) WHERE k IS NOT NULL""",
 )
 oracle("match_rules", "SELECT * REPLACE (rule_no::BIGINT AS rule_no) FROM rule_hits")
+oracle("match_rule_table", "SELECT * REPLACE (rule_no::BIGINT AS rule_no) FROM rule_hits")
 oracle(
     "filter_rules_by_tags",
     f"SELECT 'c' || conv_id || '-' || turn AS template_id, code FROM conversations, rule_set WHERE len(tags) = 0 OR list_contains(tags, {TAG})",
