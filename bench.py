@@ -57,7 +57,7 @@ def main() -> None:
         except Exception as exc:  # a failing query is reported, not hidden
             failed[name] = str(exc).splitlines()[0][:200]
 
-    timed("build_index", lambda: inputs(spark, sf_dir).corpus)
+    timed("build_index", lambda: inputs(spark, sf_dir).corpus.build())
     for name in HEADLINE:
         run = lambda: QUERIES[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
         timed(name, run)

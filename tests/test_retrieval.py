@@ -281,3 +281,33 @@ def test_runs_are_rewritten_at_once(spark, tmp_path):
     assert sorted(r.n for r in sf.read_check_result(spark, str(tmp_path), "claims").collect()) == [1, 2]
     sf.write_check_result(table(5), table(5), table(5), str(tmp_path), "r/1")
     assert sorted(r.n for r in sf.read_check_result(spark, str(tmp_path), "claims").collect()) == [2, 5]
+
+
+# ------------------------------------------------------------------ stored corpus
+def test_corpus_stores_what_is_read_and_indexes_without_a_shuffle(spark, tmp_path):
+    from attestry.operators import grams
+    from attestry.plans.corpus import derive, store
+
+    rng = np.random.default_rng(8)
+    word = lambda: "".join(rng.choice(list("abc"), 2))
+    rows = [(f"d{i}", f"k{i % 3}", f"t{i}", None, "# h\n" + "\n".join(" ".join(word() for _ in range(30)) for _ in range(40))) for i in range(30)]
+    docs = spark.createDataFrame(rows, "doc_uid string, knowledge_base_id string, doc_title string, updated_at timestamp, content string").repartition(3)
+    corpus = store(derive(docs), str(tmp_path / "corpus"))
+    stored = lambda: sorted(p.name for p in (tmp_path / "corpus").iterdir())
+    assert corpus.chunks.count() and "serial" not in corpus.chunks.columns and stored() == ["chunks"]
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan(rt.block_postings(corpus.word_sets)) and "Exchange" not in plan(corpus.chunk_grams.grams)
+    q = spark.createDataFrame(
+        [(f"q{i}", 1, f"{word()} {word()} {word()}", None if i % 2 else f"k{i % 3}", "d7" if i % 5 == 0 else None) for i in range(40)],
+        "query_id string, variant_no int, text string, knowledge_base_id string, doc_uid string",
+    )
+    got, want = (
+        sorted(map(tuple, f.collect()))
+        for f in (rt.fulltext_match(q, corpus.word_sets, postings=corpus.postings, frequencies=corpus.frequencies), rt.fulltext_match(q, corpus.word_sets))
+    )
+    assert got == want and got
+    assert sorted(map(tuple, corpus.frequencies.collect())) == sorted(map(tuple, rt.term_frequencies(rt.postings_of(corpus.word_sets)).collect()))
+    needle = spark.createDataFrame([("ab ca",), ("b",)], "needle string")
+    found = sorted((r.needle, r.chunk_id) for r in grams.find_needles(needle, corpus.chunk_grams, ["chunk_id"]).collect())
+    assert found == sorted((n, c.chunk_id) for n in ("ab ca", "b") for c in corpus.chunks.collect() if n in c.content)
+    assert not {"docs", "sections", "vectors", "section_grams"} & set(stored())
