@@ -4,20 +4,27 @@ from __future__ import annotations
 
 import hashlib
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from attestry.functions import text as tx
 from attestry.functions.session import checkpoint_folder, cut_lineage, read_table
 
 DIMENSION = 64
 # Queries travel to the tasks in blocks of at most this many bytes, whatever their number.
-QUERY_BYTES = 64 << 20
+QUERY_BYTES = 8 << 20
+# Vectors that a task holds while the blocks pass, at most, in bytes; the next ones meet all blocks anew.
+HELD_BYTES = 128 << 20
+# Queries that the vectors of a cell are measured against at a time, and rows that a task sends on at a time.
+STEP_ROWS = 8_192
 # Vectors that the cells of the approximate index are trained on, at most.
 TRAIN_ROWS = 20_000
 # Vectors or queries of a cell that one task takes, at most.
@@ -124,15 +131,27 @@ def _read_block(folder: str, number: int) -> dict:
     """A block of queries; a worker keeps the one that it has read last."""
     if (folder, number) not in _block:
         _block.clear()
-        _block[(folder, number)] = _as_block(read_table(f"{folder}/block={number}").to_pandas())
+        _block[(folder, number)] = _as_block(read_table(f"{folder}/block={number}"))
     return _block[(folder, number)]
 
 
-def _as_block(rows: pd.DataFrame) -> dict:
+def _points(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    """A column of equally long vectors as one matrix, from its values."""
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    if not len(column):
+        return np.zeros((0, 1))
+    values = column.flatten().to_numpy(zero_copy_only=False)
+    length = np.diff(column.offsets.to_numpy())
+    if (length != length[0]).any():
+        raise ValueError("vectors of different lengths")
+    return values.reshape(len(column), int(length[0]))
+
+
+def _as_block(rows: pa.Table) -> dict:
     return {
-        "ids": rows["query_id"].to_numpy() if len(rows) else np.array([], dtype=object),
-        "matrix": np.array([np.asarray(e, dtype=float) for e in rows["embedding"]]) if len(rows) else np.zeros((0, 1)),
-        "filters": {c: [None if pd.isna(v) else v for v in rows[c]] for c in FILTERS if c in rows.columns},
+        "ids": rows["query_id"].to_numpy(),
+        "matrix": _points(rows["embedding"]).astype(float),
+        "filters": {c: rows[c].to_pylist() for c in FILTERS if c in rows.column_names},
     }
 
 
@@ -148,11 +167,12 @@ class _Nearest:
         self.known = {c: {v: n for n, v in enumerate(dict.fromkeys(x for x in values if x is not None))} for c, values in block["filters"].items()}
         self.wanted = {c: np.array([-1 if v is None else self.known[c][v] for v in values]) for c, values in block["filters"].items()}
 
-    def add(self, batch: pd.DataFrame) -> None:
-        points = np.array([np.asarray(e, dtype=float) for e in batch["embedding"]])
+    def add(self, batch: dict) -> None:
+        """Vectors as ``_held`` has them."""
+        points = batch["points"].astype(float)
         square = np.einsum("ij,ij->i", points, points)
-        codes = {c: batch[c].map(known).fillna(-2).to_numpy() for c, known in self.known.items()}
-        step = max(1, (1 << 22) // max(1, len(points)))
+        codes = {c: np.array([known.get(v, -2) for v in batch[c]]) for c, known in self.known.items()}
+        step = max(1, (1 << 20) // max(1, len(points)))
         for low in range(0, len(self.q), step):
             q = self.q[low : low + step]
             gap = square[:, None] + np.einsum("ij,ij->i", q, q)[None, :] - 2 * (points @ q.T)
@@ -164,7 +184,7 @@ class _Nearest:
             row, col = np.nonzero((gap <= limit) & np.isfinite(gap))
             away = points[row] - q[col]
             self.parts.append(
-                pd.DataFrame({"q": col + low, "distance": np.round(np.einsum("ij,ij->i", away, away), 6), "chunk_id": batch["chunk_id"].to_numpy()[row], "doc_uid": batch["doc_uid"].to_numpy()[row]})
+                pd.DataFrame({"q": col + low, "distance": np.round(np.einsum("ij,ij->i", away, away), 6), "chunk_id": batch["chunk_id"][row], "doc_uid": batch["doc_uid"][row]})
             )
             self.held += len(row)
         if self.held > 4 * self.k * len(self.q) + 100_000:
@@ -180,19 +200,25 @@ class _Nearest:
         self.bound[full.index.to_numpy(dtype=int)] = full["max"].to_numpy()
         return rows
 
-    def frame(self) -> pd.DataFrame:
+    def rows(self, schema: pa.Schema) -> pa.Table:
         rows = self.cut()
         ids = self.block["ids"][rows["q"].to_numpy(dtype=int)]
-        return pd.DataFrame({"query_id": ids, "chunk_id": rows["chunk_id"].to_numpy(), "doc_uid": rows["doc_uid"].to_numpy(), "distance": rows["distance"].to_numpy(dtype=float)})
+        columns = [ids, rows["chunk_id"].to_numpy(), rows["doc_uid"].to_numpy(), rows["distance"].to_numpy(dtype=float)]
+        return pa.table([pa.array(v, f.type, from_pandas=True) for v, f in zip(columns, schema)], schema=schema)
+
+
+def _held(batch: pa.RecordBatch | pa.Table, points: np.ndarray) -> dict:
+    """Ids, filters and matrix of some vectors, without the rows they came in."""
+    return {"points": points, **{c: batch[c].to_numpy(zero_copy_only=False) if isinstance(batch, pa.RecordBatch) else batch[c].to_numpy() for c in batch.schema.names if c not in ("embedding", "cell", "v_part", "q_part")}}
 
 
 def _cells(points: np.ndarray, centroids: np.ndarray) -> np.ndarray:
     return np.argmin(np.einsum("ij,ij->i", centroids, centroids)[None, :] - 2 * (points @ centroids.T), axis=1)
 
 
-def _schema(queries: DataFrame, vectors: DataFrame) -> str:
-    kind = {c: vectors.schema[c].dataType.simpleString() for c in ("chunk_id", "doc_uid")}
-    return f"query_id {queries.schema['query_id'].dataType.simpleString()}, chunk_id {kind['chunk_id']}, doc_uid {kind['doc_uid']}, distance double"
+def _schema(queries: DataFrame, vectors: DataFrame) -> T.StructType:
+    kinds = {"query_id": queries.schema["query_id"].dataType, **{c: vectors.schema[c].dataType for c in ("chunk_id", "doc_uid")}, "distance": T.DoubleType()}
+    return T.StructType([T.StructField(name, kind) for name, kind in kinds.items()])
 
 
 def _needed(queries: DataFrame) -> list[str]:
@@ -202,19 +228,34 @@ def _needed(queries: DataFrame) -> list[str]:
 def _blockwise(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
     """Each task's k best per query, block after block of the stored queries."""
     folder, blocks = store_query_blocks(queries)
+    schema = _schema(queries, vectors)
+    arrow, step, most = to_arrow_schema(schema), STEP_ROWS, HELD_BYTES
 
-    def best(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        # With one block vectors stream by; with several a task's vectors are held while the blocks pass.
-        held = batches if blocks == 1 else list(batches)
+    def nearest(held: Iterable[dict]) -> Iterator[pa.RecordBatch]:
         for number in range(blocks):
             near = _Nearest(_read_block(folder, number), k)
             for batch in held:
-                if len(batch) and len(near.q):
+                if len(near.q):
                     near.add(batch)
             if near.parts:
-                yield near.frame()
-
-    return vectors.select(*_needed(queries)).where(F.col("embedding").isNotNull()).mapInPandas(best, _schema(queries, vectors))
+                yield from near.rows(arrow).to_batches(step)
+
+    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        made = (_held(batch, _points(batch["embedding"])) for batch in batches if len(batch))
+        if blocks == 1:  # vectors stream by
+            yield from nearest(made)
+            return
+        held, size = [], 0
+        for batch in made:
+            held.append(batch)
+            size += batch["points"].nbytes
+            if size >= most:
+                yield from nearest(held)
+                held, size = [], 0
+        if held:
+            yield from nearest(held)
+
+    return vectors.select(*_needed(queries)).where(F.col("embedding").isNotNull()).mapInArrow(best, schema)
 
 
 def train_cells(vectors: DataFrame, cells: int, rows: int = TRAIN_ROWS, rounds: int = 12) -> np.ndarray:
@@ -268,23 +309,28 @@ def build_cells(vectors: DataFrame, cells: int = 128, folder: str | None = None)
     return CellIndex(stored, centroids, sizes)
 
 
-def _opened(queries: DataFrame, index: CellIndex, share: float) -> DataFrame:
-    """The queries, once for each cell that they open: the nearest ones that together have ``share`` of the vectors."""
-    centroids, sizes = index.centroids, index.sizes
-    limit = share * sizes.sum()
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in queries.schema.fields) + ", cell int"
+def _opening(centroids: np.ndarray, sizes: np.ndarray, share: float, step: int):
+    """Queries once for each cell that they open, in batches of about ``step`` rows."""
+    limit, width = share * sizes.sum(), max(1, step // len(centroids))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            if not len(batch):
-                continue
-            points = np.array([np.asarray(e, dtype=float) for e in batch["embedding"]])
-            order = np.argsort(np.einsum("ij,ij->i", centroids, centroids)[None, :] - 2 * (points @ centroids.T), axis=1)
-            before = np.cumsum(sizes[order], axis=1) - sizes[order]
-            row, place = np.nonzero((before < limit) & (sizes[order] > 0))
-            yield batch.iloc[row].assign(cell=order[row, place])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for low in range(0, len(whole), width):
+                batch = whole.slice(low, width)
+                points = _points(batch["embedding"]).astype(float)
+                order = np.argsort(np.einsum("ij,ij->i", centroids, centroids)[None, :] - 2 * (points @ centroids.T), axis=1)
+                before = np.cumsum(sizes[order], axis=1) - sizes[order]
+                row, place = np.nonzero((before < limit) & (sizes[order] > 0))
+                out = batch.take(pa.array(row))
+                yield pa.RecordBatch.from_arrays([*out.columns, pa.array(order[row, place].astype(np.int32))], [*out.schema.names, "cell"])
+
+    return run
 
-    return queries.mapInPandas(run, schema)
+
+def _opened(queries: DataFrame, index: CellIndex, share: float) -> DataFrame:
+    """The queries, once for each cell that they open: the nearest ones that together have ``share`` of the vectors."""
+    schema = T.StructType([*queries.schema.fields, T.StructField("cell", T.IntegerType())])
+    return queries.mapInArrow(_opening(index.centroids, index.sizes, share, STEP_ROWS), schema)
 
 
 def _by_cell(queries: DataFrame, index: CellIndex, k: int, share: float) -> DataFrame:
@@ -304,14 +350,21 @@ def _by_cell(queries: DataFrame, index: CellIndex, k: int, share: float) -> Data
     q = asked.join(cut, "cell")
     q = q.withColumn("q_part", F.pmod(F.xxhash64("query_id"), "q_parts")).withColumn("v_part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("v_parts") - 1)))
 
-    def best(vectors: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
-        near = _Nearest(_as_block(queries), k)
+    schema = _schema(queries, index.vectors)
+    arrow, step = to_arrow_schema(schema), STEP_ROWS
+
+    def best(vectors: pa.Table, queries: pa.Table) -> pa.Table:
+        found = [arrow.empty_table()]
         if len(vectors) and len(queries):
-            near.add(vectors)
-        return near.frame()
+            held = _held(vectors, _points(vectors["embedding"]))
+            for low in range(0, len(queries), step):
+                near = _Nearest(_as_block(queries.slice(low, step).combine_chunks()), k)
+                near.add(held)
+                found.append(near.rows(arrow))
+        return pa.concat_tables(found)
 
     key = ["cell", "v_part", "q_part"]
-    return v.drop("v_parts", "q_parts").groupBy(*key).cogroup(q.drop("v_parts", "q_parts").groupBy(*key)).applyInPandas(best, _schema(queries, index.vectors))
+    return v.drop("v_parts", "q_parts").groupBy(*key).cogroup(q.drop("v_parts", "q_parts").groupBy(*key)).applyInArrow(best, schema)
 
 
 def vector_search_cells(queries: DataFrame, vectors: DataFrame, k: int = 10, cells: int = 64) -> DataFrame:

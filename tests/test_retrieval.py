@@ -1,4 +1,5 @@
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from attestry.functions import plugins as pl
@@ -243,6 +244,22 @@ def test_blocks_of_queries_change_nothing(spark, monkeypatch):
     assert vc.vector_search(queries.limit(0), table, 5).count() == 0
 
 
+def test_tasks_hold_bounded_vectors_and_send_bounded_batches(spark, monkeypatch):
+    points, table = vectors(spark)
+    queries = spark.createDataFrame([(i, [float(x) for x in points[i]]) for i in range(0, 120, 3)], "query_id int, embedding array<double>")
+    rows = lambda df: sorted((r.query_id, r["rank"], r.chunk_id, r.score) for r in df.collect())
+    whole = rows(vc.vector_search(queries, table, 5))
+    monkeypatch.setattr(vc, "QUERY_BYTES", 500)
+    monkeypatch.setattr(vc, "HELD_BYTES", 300)
+    monkeypatch.setattr(vc, "STEP_ROWS", 16)
+    assert rows(vc.vector_search(queries, table, 5)) == whole
+    index = vc.build_cells(table, cells=8)
+    assert rows(vc.vector_search_approx(queries, index, 5, share=1.0)) == whole
+    batch = pa.RecordBatch.from_pydict({"query_id": list(range(40)), "embedding": [[float(x) for x in points[i]] for i in range(40)]})
+    sent = [len(b) for b in vc._opening(index.centroids, index.sizes, 1.0, 16)(iter([batch]))]
+    assert sum(sent) == 40 * int((index.sizes > 0).sum()) and max(sent) <= 16
+
+
 # ------------------------------------------------------------------ streams
 def test_state_leaves_by_changed_keys_and_survives_a_new_checkpoint(spark, tmp_path):
     folder, landing = str(tmp_path / "state"), tmp_path / "in"
