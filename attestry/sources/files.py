@@ -12,10 +12,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from attestry.functions import text as tx
+from attestry.functions.session import cut_lineage, small
 from attestry.lexicons import TermDictionary
 from attestry.operators.ingest import doc_id_of, doc_uid_of
 from attestry.functions.markdown import first_heading_title
 
+# Bytes of text that one file is given, about.
+FILE_BYTES = 256 << 20
 JSON_DOCUMENT = "title string, content string, edition string, author string, source string, source_name string, tags string"
 
 
@@ -25,6 +28,21 @@ def _below(path: Column, root: str) -> Column:
     return F.coalesce(F.nullif(F.regexp_extract(rest, "^([^/]+)/", 1), F.lit("")), F.lit("default"))
 
 
+def write_texts(docs: DataFrame, root: str, most: int = FILE_BYTES) -> None:
+    """Texts as files, a folder per knowledge base with one file for every ``most`` bytes.
+
+    Files are dealt to eight times as many partitions, so few share a task, and a task reads a bounded amount
+    however large a knowledge base is.
+    """
+    size = F.ceil(F.sum(F.coalesce(F.octet_length("content"), F.lit(0)) + 1) / F.lit(most))
+    files = docs.groupBy("knowledge_base_id").agg(F.greatest(size, F.lit(1)).cast("int").alias("files"))
+    files = cut_lineage(files.withColumnRenamed("knowledge_base_id", "of"))
+    total = files.agg(F.coalesce(F.sum("files"), F.lit(1))).first()[0]
+    held = docs.join(small(files), F.col("knowledge_base_id").eqNullSafe(F.col("of")))
+    held = held.withColumn("file", F.pmod(F.xxhash64("doc_uid"), F.col("files"))).select("knowledge_base_id", "file", "content")
+    held.repartition(8 * int(total), "knowledge_base_id", "file").select("knowledge_base_id", "content").write.partitionBy("knowledge_base_id").text(root)
+
+
 def scan_documents(spark: SparkSession, root: str, types: str = "md,MD,json,JSON") -> DataFrame:
     """(knowledge_base_id, path, file_type, size_bytes) of Markdown and JSON files below a root.
 

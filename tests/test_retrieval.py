@@ -328,3 +328,17 @@ def test_corpus_stores_what_is_read_and_indexes_without_a_shuffle(spark, tmp_pat
     found = sorted((r.needle, r.chunk_id) for r in grams.find_needles(needle, corpus.chunk_grams, ["chunk_id"]).collect())
     assert found == sorted((n, c.chunk_id) for n in ("ab ca", "b") for c in corpus.chunks.collect() if n in c.content)
     assert not {"docs", "sections", "vectors", "section_grams"} & set(stored())
+
+
+def test_written_texts_are_cut_by_size_and_complete(spark, tmp_path):
+    from attestry.sources import files as sf
+
+    rows = [(f"k{i % 10 // 9}", f"d{i}", f"line {i}" + "x" * 50) for i in range(400)]
+    docs = spark.createDataFrame(rows, "knowledge_base_id string, doc_uid string, content string")
+    sf.write_texts(docs, str(tmp_path / "one"))
+    sf.write_texts(docs, str(tmp_path / "cut"), most=2_000)
+    sizes = {name: sf.scan_documents(spark, str(tmp_path / name), "txt").collect() for name in ("one", "cut")}
+    assert sorted(r.knowledge_base_id for r in sizes["one"]) == ["knowledge_base_id=k0", "knowledge_base_id=k1"]
+    assert len(sizes["cut"]) > 8 and max(r.size_bytes for r in sizes["cut"]) < 6_000
+    for name in sizes:
+        assert sorted(r.value for r in spark.read.text(str(tmp_path / name)).select("value").collect()) == sorted(r[2] for r in rows)

@@ -37,7 +37,7 @@ def fresh_folder(i: Inputs, name: str) -> str:
 def scan_documents(i: Inputs):
     """Documents written as text files, one folder per knowledge base, then listed."""
     root = fresh_folder(i, "scan")
-    i.docs.select("knowledge_base_id", "content").repartition(4, "knowledge_base_id").write.partitionBy("knowledge_base_id").text(root)
+    sf.write_texts(i.docs.select("knowledge_base_id", "doc_uid", "content"), root)
     return sf.scan_documents(i.spark, root, "txt").select("knowledge_base_id", "file_type", "size_bytes")
 
 
