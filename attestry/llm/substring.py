@@ -8,15 +8,24 @@ a row that are not edited (24 of 50 at least, wherever the edits are), so with p
 them it always shares an equal paragraph, which is in the same band group whatever the bands: one is enough.
 Otherwise bands and rows are tuned so that a paragraph at the bar collides with the wished probability.
 
-Colliding paragraphs are joined as stars: every document against the first one (by id) with the same band, so
+Where the paragraph fits, so do the words before it or after it that make it up to half of what is left of those 24:
+a colliding paragraph counts with one of these two (``_keys``), so short lines that many documents have make no pairs.
+
+Such paragraphs are joined as stars: every document against the first one (by id) with the same key, so
 groups of any size give rows in proportion to their members. Each pair is verified by exact Jaccard similarity of a
 span of the later document with an aligned span of the earlier one. The pairs of one document are taken in order of
 how many paragraphs collide, and a span is only looked for where one still lies outside the spans found so far, so
-the spans of a document do not overlap and what is cut is what has been verified. Sharing a passage is not transitive:
-where the first one has no more than the paragraph, two others may still share a passage around it. Their places of
-it, those that lie in no span, are grown to all windows of ``PASSAGE`` words around them, and documents with an equal
-window are joined as stars again: these links always verify, so all copies of a passage hang together. Removals are
-clustered by connected components.
+the spans of a document do not overlap and what is cut is what has been verified.
+
+Sharing a passage is not transitive: where the first one has no more than the paragraph, or a farther copy, two others
+may still share a passage around it. Two rounds follow over what is not settled, that is over pairs whose later
+document has the paragraph outside its spans or whose documents are in different components. Their places are grown to
+all windows of the 24 words, which every pair at the bar shares one of. First every document of a window is joined
+with its first one, then all with each other: one of those whose surroundings are equal stands for them, and pairs
+that have too few shingles in common around the window for any span at the bar are not verified. So no pair at the bar
+is left out, and the square is only that of texts that differ around 24 equal words and are neither cut nor linked.
+Pairs at the bar whose later copy is cut already are links without a span. Removals and links are clustered by
+connected components.
 """
 
 from __future__ import annotations
@@ -36,6 +45,7 @@ SPREAD = 13  # a paragraph's words and these places fit into the words of 50 tha
 PASSAGE = 50
 SIMILARITY = 0.8
 RECALL = 0.98
+NEAR = 2 * PASSAGE  # words around a window that a span of two runs and one gap reaches into
 GAP = 2  # words between two matched stretches that may belong to one span
 _ODDS = np.random.default_rng(11).integers(1, 1 << 63, 64, dtype=np.uint64) | np.uint64(1)
 _LAST = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -94,8 +104,8 @@ def anchors(shingle: np.ndarray, spread: int) -> np.ndarray:
     return np.flatnonzero((most == shingle) & (shingle != _LAST))
 
 
-def band_keys(hashes: np.ndarray, bounds: np.ndarray, bands: int, rows: int, size: int, paragraph: int, spread: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Band keys of the paragraphs of a block, the documents they are in and the words of these they begin at."""
+def band_keys(hashes: np.ndarray, bounds: np.ndarray, bands: int, rows: int, size: int, paragraph: int, spread: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Band keys of the paragraphs of a block, the documents they are in, the words of these they begin at, and the block's shingles."""
     made, at = texts.windows(hashes, bounds, size)
     shingle = np.full(len(hashes), _LAST, np.uint64)
     shingle[at] = made
@@ -113,19 +123,51 @@ def band_keys(hashes: np.ndarray, bounds: np.ndarray, bands: int, rows: int, siz
                 np.minimum(least, value[p + j], out=least)
             key = texts.mix(key * _ODDS[63] + least)
         keys.append(key)
-    return np.concatenate(keys), np.tile(doc, bands), np.tile(p - bounds[:-1][doc], bands)
+    return np.concatenate(keys), np.tile(doc, bands), np.tile(p - bounds[:-1][doc], bands), shingle
+
+
+def beside(hashes: np.ndarray, low: np.ndarray, high: np.ndarray, first: np.ndarray, side: int) -> np.ndarray:
+    """16-bit codes of the ``side`` words from word ``first`` on, 0 where they do not lie from ``low`` to before ``high``."""
+    inside = (first >= low) & (first + side <= high)
+    total = np.zeros(len(first), np.uint64)
+    for j in range(side):
+        total[inside] += hashes[first[inside] + j] * _ODDS[j]
+    return np.where(inside, texts.mix(total) % np.uint64(65535) + np.uint64(1), np.uint64(0)).astype(np.int64)
+
 
+def repeating(shingle: np.ndarray, p: np.ndarray, reach: int, paragraph: int) -> np.ndarray:
+    """Whether a shingle around each of these places comes twice within ``reach`` words; edits are not counted there."""
+    order = np.argsort(shingle, kind="stable")
+    near = (shingle[order[1:]] == shingle[order[:-1]]) & (np.diff(order) <= reach) & (shingle[order[1:]] != _LAST)
+    twice = np.zeros(len(shingle) + 1, np.int64)
+    twice[order[1:][near] + 1] = 1
+    twice[order[:-1][near] + 1] = 1
+    twice = np.cumsum(twice)
+    return twice[np.minimum(p + paragraph + reach // 2, len(shingle))] > twice[np.maximum(p - reach // 2, 0)]
+
+
+def _keys(bands: int, rows: int, size: int, paragraph: int, spread: int, side: int):
+    """``own``: the paragraph counts without the words beside it."""
 
-def _keys(bands: int, rows: int, size: int, paragraph: int, spread: int):
     def run(batches):
         for batch in batches:
             for low, high, raw, at in texts.blocks(batch["text"]):
                 _, _, hashes, bounds = texts.words(texts.LOWER[raw], at, texts.SPACED_WORD)
-                keys, of, place = band_keys(hashes, bounds, bands, rows, size, paragraph, spread)
+                keys, of, place, shingle = band_keys(hashes, bounds, bands, rows, size, paragraph, spread)
+                begin, end = bounds[:-1][of], bounds[1:][of]
+                p = place + begin
+                if side:
+                    own = repeating(shingle, p, 2 * side + paragraph, paragraph)
+                    left, right = beside(hashes, begin, end, p - side, side), beside(hashes, begin, end, p + paragraph, side)
+                else:
+                    own, left, right = np.ones(len(p), bool), np.zeros(len(p), np.int64), np.zeros(len(p), np.int64)
                 of = pa.array(of + low)
-                yield pa.RecordBatch.from_arrays([pa.array(texts.signed(keys)), batch["id"].take(of), batch["h"].take(of), pa.array(place.astype(np.int32))], ["key", "id", "h", "at"])
+                sides = pa.array((left << 16 | right).astype(np.uint32).view(np.int32))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(texts.signed(keys)), batch["id"].take(of), batch["h"].take(of), pa.array(place.astype(np.int32)), sides, pa.array(own)], ["key", "id", "h", "at", "sides", "own"]
+                )
 
-    return run, "key long, id long, h int, at int"
+    return run, "key long, id long, h int, at int, sides int, own boolean"
 
 
 def _shingles(size: int):
@@ -144,28 +186,53 @@ def _shingles(size: int):
     return run, "id long, h int, shingles binary"
 
 
-def grown(shingle: np.ndarray, at: np.ndarray, size: int, passage: int, paragraph: int) -> np.ndarray:
-    """Hashes of all windows of ``passage`` words of a document around the paragraphs that begin at words ``at``."""
-    wide = passage - size + 1
-    begin = np.unique(at[:, None] - np.arange(passage - paragraph + 1))
-    begin = begin[(begin >= 0) & (begin + wide <= len(shingle))]
-    if not len(begin):
-        return np.zeros(0, np.uint64)
-    total = np.zeros(len(begin), np.uint64)
-    for j in range(wide):
-        total = total * _ODDS[0] + shingle[begin + j] + np.uint64(1)
-    return np.unique(texts.mix(total))
+def _windows(size: int, passage: int, paragraph: int, wide: int):
+    """One row for each different window of ``wide`` words around the places: where it is, whether it lies in no span of
+    the document at one of them, and a hash of all its surroundings (``kind``)."""
+    reach = wide - size + 1
 
+    def run(batches):
+        for batch in batches:
+            for k, (raw, places, spans) in enumerate(zip(batch["shingles"], batch["places"], batch["covered"].to_pylist())):
+                shingle = np.frombuffer(raw.as_buffer(), np.uint32).astype(np.uint64)
+                begin = np.unique(places.values.to_numpy().astype(np.int64)[:, None] - np.arange(wide - paragraph + 1))
+                begin = begin[(begin >= 0) & (begin + reach <= len(shingle))]
+                total = np.zeros(len(begin), np.uint64)
+                for j in range(reach):
+                    total = total * _ODDS[0] + shingle[begin + j] + np.uint64(1)
+                padded = np.concatenate([np.zeros(NEAR, np.uint64), shingle + np.uint64(1), np.zeros(NEAR, np.uint64)])
+                kind = np.zeros(len(begin), np.uint64)
+                for j in range(reach + 2 * NEAR):
+                    kind = kind * _ODDS[1] + padded[begin + j]
+                free = np.zeros(len(begin), bool)
+                for low, high in Covered([(s["first"], s["last"]) for s in spans or []]).free(len(shingle) + size - 1, passage):
+                    free |= (begin >= low) & (begin + wide - 1 <= high)
+                order = np.lexsort((~free, total))
+                total, kind, free, begin = total[order], texts.mix(kind[order]), free[order], begin[order]
+                first = np.flatnonzero(np.concatenate([np.ones(min(1, len(total)), bool), total[1:] != total[:-1]]))
+                of = pa.array(np.full(len(first), k))
+                places = pa.ListArray.from_arrays(pa.array(np.append(first, len(begin)).astype(np.int32)), pa.array(begin.astype(np.int32)))
+                kinds = np.add.reduceat(kind, first) if len(first) else kind
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(texts.signed(texts.mix(total[first]))), *(batch[c].take(of) for c in ("id", "h", "label")), places, pa.array(free[first]), pa.array(texts.signed(kinds))],
+                    ["key", "id", "h", "label", "places", "free", "kind"],
+                )
+
+    return run, "key long, id long, h int, label long, places array<int>, free boolean, kind long"
+
+
+def _around(size: int, wide: int):
+    """The shingles around each of the places, 16 bits each."""
 
-def _windows(size: int, passage: int, paragraph: int):
     def run(batches):
         for batch in batches:
-            for k, (raw, at) in enumerate(zip(batch["shingles"], batch["places"])):
-                keys = grown(np.frombuffer(raw.as_buffer(), np.uint32).astype(np.uint64), at.values.to_numpy().astype(np.int64), size, passage, paragraph)
-                of = pa.array(np.full(len(keys), k))
-                yield pa.RecordBatch.from_arrays([pa.array(texts.signed(keys)), batch["id"].take(of), batch["h"].take(of)], ["key", "id", "h"])
+            for k, (raw, places) in enumerate(zip(batch["shingles"], batch["places"])):
+                shingle, at = np.frombuffer(raw.as_buffer(), np.uint32).astype(np.uint16).view(np.int16), places.as_py()
+                of = pa.array(np.full(len(at), k))
+                around = pa.array([shingle[max(0, x - NEAR) : x + wide - size + 1 + NEAR] for x in at], pa.list_(pa.int16()))
+                yield pa.RecordBatch.from_arrays([batch["id"].take(of), batch["h"].take(of), pa.array(at, pa.int32()), around], ["id", "h", "at", "around"])
 
-    return run, "key long, id long, h int"
+    return run, "id long, h int, at int, around array<smallint>"
 
 
 def _run_edges(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -349,33 +416,43 @@ class Covered:
         self.spans = sorted([*self.spans, span])
 
 
-def _verified(size: int, passage: int, similarity: float, paragraph: int):
-    """Rows of a document stand together, those with more colliding places first."""
+def _verified(size: int, passage: int, similarity: float, wide: int):
+    """Rows of a document stand together, those with more colliding places (of ``wide`` words) first.
+
+    A pair that has to be ``linked`` and has no span of its own gives a row with places of -1 if it is at the bar
+    around its places, whatever is cut there.
+    """
 
     def run(batches):
         now, covered = None, Covered([])
         for batch in batches:
             keep, rows = [], []
             columns = (batch[c] for c in ("shingles_a", "shingles_b", "places", "covered"))
-            for k, (b, h, (x, y, places, before)) in enumerate(zip(batch["b"].to_pylist(), batch["bh"].to_pylist(), zip(*columns))):
+            for k, (b, h, linked, (x, y, places, before)) in enumerate(zip(batch["b"].to_pylist(), batch["bh"].to_pylist(), batch["linked"].to_pylist(), zip(*columns))):
                 if (b, h) != now:
                     now, covered = (b, h), Covered([(s["first"], s["last"]) for s in before.as_py() or []])
-                at = places.values.to_numpy()
-                mine = np.frombuffer(y.as_buffer(), np.uint32)
+                at = places.values.to_numpy().astype(np.int64)
+                other, mine = np.frombuffer(x.as_buffer(), np.uint32), np.frombuffer(y.as_buffer(), np.uint32)
                 for low, high in covered.free(len(mine) + size - 1, passage):
                     # A paragraph that is not covered reaches into the range.
-                    if not ((at <= high) & (at + paragraph - 1 >= low)).any():
+                    if not ((at <= high) & (at + wide - 1 >= low)).any():
                         continue
-                    for s, e in common_spans(np.frombuffer(x.as_buffer(), np.uint32), mine[low : high - size + 2], size, passage, similarity):
+                    for s, e in common_spans(other, mine[low : high - size + 2], size, passage, similarity):
                         covered.add((low + s, low + e))
                         keep.append(k)
                         rows.append((low + s, low + e))
+                if linked and not (keep and keep[-1] == k):
+                    at = np.sort(at)
+                    parts = np.split(at, np.flatnonzero(np.diff(at) > 2 * NEAR) + 1)
+                    if any(common_spans(other, mine[max(0, int(p[0]) - NEAR) : int(p[-1]) + wide + NEAR], size, passage, similarity) for p in parts):
+                        keep.append(k)
+                        rows.append((-1, -1))
             at = pa.array(keep, pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [batch["a"].take(at), batch["b"].take(at), batch["bh"].take(at), pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64())], ["a", "b", "bh", "first", "last"]
+                [*(batch[c].take(at) for c in ("a", "ah", "b", "bh")), pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64())], ["a", "ah", "b", "bh", "first", "last"]
             )
 
-    return run, "a long, b long, bh int, first long, last long"
+    return run, "a long, ah int, b long, bh int, first long, last long"
 
 
 def repeated_passages(
@@ -390,7 +467,7 @@ def repeated_passages(
     spread: int = SPREAD,
 ) -> DataFrame:
     """Spans to remove: ``id`` with words ``first`` to ``last`` that the earlier document ``keeper_id`` has,
-    and ``component_id``, the smallest id of the cluster of documents that removals join.
+    and ``component_id``, the smallest id of the cluster of documents that removals and links join.
 
     Words are lower-cased (A-Z) runs without ASCII white space. The document with the smallest id keeps a
     passage, so of every passage one copy stays. Documents of fewer than ``passage`` words, null and empty
@@ -404,46 +481,109 @@ def repeated_passages(
     text = F.col(f"`{text_col}`")
     docs = documents.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.hash(text).alias("h"), text.alias("text")).where("id is not null and text is not null")
 
-    def starred(keys: DataFrame, *more: str) -> DataFrame:
-        """Every document of a key against its first one; counts combine before they are shuffled, and Spark splits hot keys of the join."""
-        first = keys.groupBy("key").agg(F.min("id").alias("a"), F.min_by("h", "id").alias("ah"), F.max("id").alias("top"), F.min("h").alias("low"), F.max("h").alias("high"))
-        first = first.where("a < top or low < high").select("key", "a", "ah")
-        return keys.join(first, "key").where("id > a or (id = a and h <> ah)").select("a", "ah", F.col("id").alias("b"), F.col("h").alias("bh"), *more)
-
-    keys = store.stored(docs.mapInArrow(*_keys(bands, rows, size, paragraph, spread)), "keys")
-    stars = store.stored(starred(keys, "at", "key"), "stars")
-    pairs = store.stored(stars.groupBy("a", "ah", "b", "bh").agg(F.collect_set("at").alias("places")), "pairs")
-    store.dropped(spark, keys)
+    intact = intact_words(size, passage, similarity)
+    exact = paragraph + spread - 1 <= intact  # every pair at the bar shares that many words around an equal paragraph
+    wide, side = (intact, -(-(intact - paragraph) // 2)) if exact else (paragraph, 0)
+    least = int(np.ceil((similarity / (1 - similarity) if similarity < 1 else passage) * (2 * size - 1) - 1e-9))
+    none = F.array().cast("array<struct<first:bigint,last:bigint>>")
+    several = "low_id < high_id or low_h < high_h"
+    bounds = [F.min("id").alias("low_id"), F.max("id").alias("high_id"), F.min("h").alias("low_h"), F.max("h").alias("high_h")]
+
+    # Counts combine before they are shuffled, and Spark splits hot keys of the joins.
+    keys = store.stored(docs.mapInArrow(*_keys(bands, rows, size, paragraph, spread, side)), "keys")
+    twice = keys.groupBy("key").agg(*bounds).where(several).select("key")
+    left, right = F.shiftrightunsigned("sides", 16), F.col("sides").bitwiseAND(0xFFFF)
+    ways = [F.when(left > 0, F.xxhash64("key", F.lit(1), left)), F.when(right > 0, F.xxhash64("key", F.lit(2), right)), F.when(F.col("own"), F.col("key"))]
+    near = keys.join(twice, "key").select(F.explode(F.array_compact(F.array(*ways))).alias("key"), "id", "h", "at")
+    near = store.stored(near, "near")
+    first = near.groupBy("key").agg(*bounds, F.min_by("h", "id").alias("ah")).where(several).select("key", F.col("low_id").alias("a"), "ah")
+    # All documents of a key, the first one too.
+    shared = store.stored(near.join(first, "key"), "shared")
+    store.dropped(spark, keys, near)
+    later = (F.col("id") > F.col("a")) | (F.col("h") != F.col("ah"))
+    pairs = shared.where(later).groupBy("a", "ah", F.col("id").alias("b"), F.col("h").alias("bh")).agg(F.collect_set("at").alias("places"))
+    pairs = store.stored(pairs, "pairs")
     sides = F.explode(F.array(F.struct(F.col("a").alias("w_id"), F.col("ah").alias("w_h")), F.struct(F.col("b").alias("w_id"), F.col("bh").alias("w_h"))))
     wanted = store.stored(pairs.select(sides.alias("w")).select("w.*").distinct(), "wanted")
     # Dealt out by id whatever the sizes; one of equal rows is left there, and only its shingles are stored.
     held = docs.join(wanted.hint("merge"), (F.col("id") == F.col("w_id")) & (F.col("h") == F.col("w_h")), "left_semi").dropDuplicates(["id", "h"])
     held = store.stored(held.mapInArrow(*_shingles(size)), "shingles")
 
-    def verified(pairs: DataFrame) -> DataFrame:
+    def verified(pairs: DataFrame, words: int) -> DataFrame:
         for s in ("a", "b"):
             pairs = pairs.join(held.select(F.col("id").alias(s), F.col("h").alias(f"{s}h"), F.col("shingles").alias(f"shingles_{s}")), [s, f"{s}h"])
         # The number keeps the pairs of a document in one task, in this order.
         turn = Window.partitionBy("b", "bh").orderBy(F.desc(F.size("places")), "a", "ah")
         pairs = pairs.withColumn("turn", F.row_number().over(turn))
-        return store.stored(pairs.mapInArrow(*_verified(size, passage, similarity, paragraph)), "spans")
-
-    none = F.array().cast("array<struct<first:bigint,last:bigint>>")
-    direct = verified(pairs.withColumn("covered", none))
-    covered = direct.groupBy("b", "bh").agg(F.collect_list(F.struct("first", "last")).alias("covered"))
-    free = stars.select("b", "bh", "at", "key").distinct().join(covered, ["b", "bh"], "left")
-    free = free.where(~F.coalesce(F.exists("covered", lambda x: (x["first"] <= F.col("at")) & (F.col("at") + (paragraph - 1) <= x["last"])), F.lit(False)))
-    # Only what two documents or more have left can link them.
-    shared = free.groupBy("key").agg(F.min("b").alias("one"), F.max("b").alias("other"), F.min("bh").alias("low"), F.max("bh").alias("high")).where("one < other or low < high").select("key")
-    left = free.join(shared, "key").groupBy("b", "bh").agg(F.collect_set("at").alias("places"))
-    left = store.stored(left, "left")
-    own = left.select(F.col("b").alias("id"), F.col("bh").alias("h"), "places")
-    windows = store.stored(held.join(own, ["id", "h"]).mapInArrow(*_windows(size, passage, paragraph)), "windows")
-    again = starred(windows).distinct().join(pairs, ["a", "ah", "b", "bh"], "left_anti").join(left, ["b", "bh"]).join(covered, ["b", "bh"], "left")
-    spans = store.stored(direct.unionByName(verified(again.withColumn("covered", F.coalesce("covered", none)))), "spans")
-    store.dropped(spark, held, wanted, pairs, stars, left, windows)
-    labels = components(spans.where("a <> b").select("a", "b").distinct())
+        return store.stored(pairs.mapInArrow(*_verified(size, passage, similarity, words)), "spans")
+
+    def clusters(found: DataFrame) -> DataFrame:
+        return components(found.where("a <> b").select("a", "b").distinct())
+
+    def unverified(candidates: DataFrame, covered: DataFrame) -> DataFrame:
+        again = candidates.groupBy("a", "ah", "b", "bh").agg(F.array_distinct(F.flatten(F.collect_list("places"))).alias("places"), F.max(F.col("label") != F.col("a_label")).alias("linked"))
+        # Of two texts with one id that has cut the other stays.
+        reverse = direct.where("a = b").select(F.col("b").alias("a"), F.col("bh").alias("ah"), F.col("a").alias("b"), F.col("ah").alias("bh")).distinct()
+        again = again.join(reverse, ["a", "ah", "b", "bh"], "left_anti").join(covered, ["b", "bh"], "left")
+        return again.withColumn("covered", F.coalesce("covered", none))
+
+    def cut(spans: DataFrame) -> DataFrame:
+        return spans.where("first >= 0").groupBy("b", "bh").agg(F.collect_list(F.struct("first", "last")).alias("covered"))
+
+    # What the first documents leave: keys of several components, or whose later documents have the paragraph outside their spans.
+    direct = verified(pairs.withColumn("covered", none).withColumn("linked", F.lit(False)), paragraph)
+    labels, covered = store.stored(clusters(direct), "labels"), cut(direct)
+    inside = F.exists("covered", lambda x: (x["first"] <= F.col("at")) & (F.col("at") + (paragraph - 1) <= x["last"]))
+    marked = shared.join(labels, F.col("id") == F.col("node"), "left").join(covered.toDF("id", "h", "covered"), ["id", "h"], "left")
+    marked = marked.select("key", "id", "h", "at", F.coalesce("label", "id").alias("label"), (later & ~F.coalesce(inside, F.lit(False))).alias("open"))
+    marked = store.stored(marked, "marked")
+    store.dropped(spark, shared, pairs)
+    unsettled = marked.groupBy("key").agg(F.max("open").alias("open"), F.min("label").alias("low"), F.max("label").alias("high")).where("open or low < high").select("key")
+    own = marked.join(unsettled, "key").groupBy("id", "h", "label").agg(F.collect_set("at").alias("places"))
+    own = own.join(covered.toDF("id", "h", "covered"), ["id", "h"], "left").withColumn("covered", F.coalesce("covered", none))
+    windows = store.stored(held.join(own, ["id", "h"]).mapInArrow(*_windows(size, passage, paragraph, wide)), "windows")
+    store.dropped(spark, marked)
+
+    # Every document of a window against the first one.
+    ahead = F.min_by(F.struct(F.col("h").alias("ah"), F.col("label").alias("a_label")), F.struct("id", "h")).alias("one")
+    first = windows.groupBy("key").agg(*bounds, ahead).where(several).select("key", F.col("low_id").alias("a"), "one.*")
+    stars = windows.select("key", F.col("id").alias("b"), F.col("h").alias("bh"), "label", "places", "free").join(first, "key")
+    stars = stars.where("(b > a or (b = a and bh > ah)) and (free or label <> a_label)")
+    found = verified(unverified(stars, covered), wide)
+
+    # Then all pairs of what is left: one document for all that have the window in the same surroundings.
+    named = labels.select(F.col("node"), F.col("label"))
+    edges = found.select("a", "b").distinct()
+    for s in ("a", "b"):
+        edges = edges.join(named.toDF(s, f"{s}_label"), s, "left").withColumn(f"{s}_label", F.coalesce(f"{s}_label", s))
+    joined = clusters(edges.select(F.col("a_label").alias("a"), F.col("b_label").alias("b"))).toDF("label", "now")
+    fresh = cut(found).toDF("id", "h", "fresh")
+    held_by = F.exists("fresh", lambda x: (x["first"] <= F.col("places")[0] + (wide - 1)) & (F.col("places")[0] <= x["last"]) & (F.size("places") == 1))
+    rest = windows.join(joined, "label", "left").join(fresh, ["id", "h"], "left")
+    rest = rest.select("key", "kind", "id", "h", "places", F.coalesce("now", "label").alias("label"), (F.col("free") & ~F.coalesce(held_by, F.lit(False))).alias("free"))
+    one = F.min_by(F.struct("id", "h", "label", "places", "free"), F.struct("id", "h")).alias("one")
+    kinds = rest.groupBy("key", "kind").agg(one).select("key", "one.*")
+    a = kinds.select("key", F.col("id").alias("a"), F.col("h").alias("ah"), F.col("label").alias("a_label"), F.col("places").alias("a_places"))
+    b = kinds.select("key", F.col("id").alias("b"), F.col("h").alias("bh"), "label", "places", "free")
+    both = a.join(b, "key").where("(b > a or (b = a and bh > ah)) and (free or label <> a_label)")
+    # Windows that go on in both documents are judged once; those that come again in one of them are not judged.
+    x, y = F.col("a_places")[0], F.col("places")[0]
+    many = (F.size("a_places") > 1) | (F.size("places") > 1)
+    both = both.groupBy("a", "ah", "b", "bh", "a_label", "label", many.alias("many"), F.when(~many, y - x).alias("by"), F.when(~many, F.floor(y / wide)).alias("part"))
+    both = both.agg(F.min(x).alias("x"), F.min(y).alias("y"), F.array_distinct(F.flatten(F.collect_list("places"))).alias("places"))
+    both = store.stored(both, "both")
+    seen = both.where("not many").select("a", "ah", "x").union(both.where("not many").select("b", "bh", "y")).toDF("id", "h", "at")
+    seen = seen.groupBy("id", "h").agg(F.collect_set("at").alias("places"))
+    around = store.stored(held.join(seen, ["id", "h"]).mapInArrow(*_around(size, wide)), "around")
+    alike = both.where("not many").join(around.toDF("a", "ah", "x", "around_a"), ["a", "ah", "x"]).join(around.toDF("b", "bh", "y", "around_b"), ["b", "bh", "y"])
+    alike = alike.where(F.size(F.array_intersect("around_a", "around_b")) >= least).select(*both.columns).union(both.where("many"))
+    spans = direct.unionByName(found)
+    spans = store.stored(spans.unionByName(verified(unverified(alike, cut(spans)), wide)), "spans")
+    store.dropped(spark, windows, both, around, labels)
+    store.dropped(spark, held, wanted)
+    labels = clusters(spans)
     label = F.coalesce("label", "b").alias("component_id")
+    spans = spans.where("first >= 0")
     return spans.join(labels, spans["b"] == labels["node"], "left").select(F.col("b").alias("id"), F.col("bh").alias("h"), F.col("a").alias("keeper_id"), "first", "last", label)
 
 

@@ -422,6 +422,35 @@ def test_passages_around_a_line_that_the_first_document_has(spark):
     assert all(x.keeper_id % 10 and x.component_id == x.id // 10 * 10 + 1 for x in got)
 
 
+def test_near_copies_around_a_line_that_the_first_document_has(spark):
+    """Copies with an edit in each 50 words, of whose paragraphs the first document has all: every pair at the bar is cut and linked."""
+    r = random.Random(13)
+    fresh = lambda n: " ".join(f"w{r.randrange(1 << 40)}" for _ in range(n))
+    rows = []
+    for g in range(0, 300, 10):  # 44 words, another word in each copy, 8 words; document g has the 44 words or 42 of them
+        line, tail = fresh(44), fresh(8)
+        rows.append((g, f"{fresh(30)} {line if g % 20 else ' '.join(line.split()[1:-1])} {fresh(20)}"))
+        rows += [(g + k, f"{fresh(7 * k)} {line} {fresh(1)} {tail} {fresh(20)}") for k in (1, 2, 3)]
+    got = substring.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert {(x.id, x.first, x.last) for x in got} == {(g + k, 7 * k, 7 * k + 52) for g in range(0, 300, 10) for k in (2, 3)}
+    assert all(x.keeper_id % 10 and x.keeper_id < x.id and x.component_id == x.id // 10 * 10 + 1 for x in got)
+
+
+def test_links_of_what_is_cut_already(spark):
+    """A copy of a passage of which two others have a part: it is linked with both, though one keeper is enough to cut it."""
+    r = random.Random(14)
+    fresh = lambda n: [f"w{r.randrange(1 << 40)}" for _ in range(n)]
+    middle = fresh(60)
+    one, other = list(middle), list(middle)
+    one[5:9], other[51:55] = fresh(4), fresh(4)
+    more, last = fresh(60), fresh(60)
+    rows = [(0, more), (1, one[9:] + last), (2, other[:51] + fresh(30) + more), (3, fresh(10) + middle + fresh(10)), (4, fresh(5) + last)]
+    got = substring.repeated_passages(spark.createDataFrame([(i, " ".join(w)) for i, w in rows], "doc_id long, text string")).collect()
+    assert {x.id for x in got} == {2, 3, 4} and {x.component_id for x in got} == {0}
+    edges = {(a, b) for (a, x), (b, y) in itertools.combinations(rows, 2) if substring.common_spans(*shingled(x, y), 5, 50, 0.8)}
+    assert edges == {(0, 2), (1, 3), (1, 4), (2, 3)}
+
+
 def test_rows_that_share_an_id(spark):
     r = random.Random(10)
     plain = lambda n: " ".join(word(r) for _ in range(n))
