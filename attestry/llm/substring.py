@@ -22,8 +22,9 @@ may still share a passage around it. Two rounds follow over what is not settled,
 document has the paragraph outside its spans or whose documents are in different components. Their places are grown to
 all windows of the 24 words, which every pair at the bar shares one of. First every document of a window is joined
 with its first one, then all with each other: one of those whose surroundings are equal stands for them, and pairs
-that have too few shingles in common around the window for any span at the bar are not verified. So no pair at the bar
-is left out, and the square is only that of texts that differ around 24 equal words and are neither cut nor linked.
+that have too few shingles in common around the window for any span at the bar are not verified. This reaches the
+pairs that ``intact_words`` speaks of, so not all of those whose spans repeat shingles; the bound on common shingles is
+that of two runs and one gap, and has not been held against brute force. The square is only that of texts that differ around 24 equal words and are neither cut nor linked.
 Pairs at the bar whose later copy is cut already are links without a span. Removals and links are clustered by
 connected components.
 """
