@@ -451,6 +451,40 @@ def test_links_of_what_is_cut_already(spark):
     assert edges == {(0, 2), (1, 3), (1, 4), (2, 3)}
 
 
+def test_a_common_line_makes_no_pairs_of_all(spark, monkeypatch):
+    """Documents that have 40 words in common and nothing else: what is stored grows with them and not with their square."""
+    r = random.Random(21)
+    fresh = lambda n: " ".join(f"w{r.randrange(1 << 40)}" for _ in range(n))
+    line, made, stored = fresh(40), [], substring.store.stored
+
+    def counted(df, name):
+        out = stored(df, name)
+        made[-1][name] = max(made[-1].get(name, 0), out.count())
+        return out
+
+    monkeypatch.setattr(substring.store, "stored", counted)
+    for n in (40, 160):
+        rows = [(0, f"{fresh(30)} {' '.join(line.split()[1:-1])} {fresh(30)}")]
+        rows += [(k, f"{fresh(30)} {line} {fresh(30)}") for k in range(1, n)]
+        made.append({})
+        assert substring.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).count() == 0
+    assert made[1]["keys"] > 3 * made[0]["keys"]
+    assert all(made[1][name] <= 6 * max(rows, 40) for name, rows in made[0].items()), made
+
+
+def test_equal_texts_are_cut_whole(spark):
+    """All copies but the first one go, also where a near copy of that one is cut, and one text of two with an id."""
+    r = random.Random(22)
+    fresh = lambda n: " ".join(f"w{r.randrange(1 << 40)}" for _ in range(n))
+    one, short, passage = fresh(70), fresh(49), fresh(60)
+    rows = [(1, one), (2, one), (3, one + " " + fresh(5)), (4, short), (5, short), (6, passage), (7, passage + " " + one), (8, passage + " " + one), (8, one), (9, one)]
+    for order in (rows, rows[::-1]):
+        got = substring.repeated_passages(spark.createDataFrame(order, "doc_id long, text string").repartition(3)).collect()
+        assert sorted((x.id, x.first, x.last) for x in got if x.id != 7) == [(2, 0, 69), (3, 0, 69), (8, 0, 69), (8, 0, 129), (9, 0, 69)]
+        assert sorted(x.last - x.first + 1 for x in got if x.id == 7) == [60, 70]
+        assert {x.component_id for x in got} == {1}
+
+
 def test_rows_that_share_an_id(spark):
     r = random.Random(10)
     plain = lambda n: " ".join(word(r) for _ in range(n))
