@@ -18,13 +18,11 @@ how many paragraphs collide, and a span is only looked for where one still lies
 the spans of a document do not overlap and what is cut is what has been verified.
 
 Sharing a passage is not transitive: where the first one has no more than the paragraph, or a farther copy, two others
-may still share a passage around it. Two rounds follow over what is not settled, that is over pairs whose later
-document has the paragraph outside its spans or whose documents are in different components. Their places are grown to
-all windows of the 24 words, which every pair at the bar shares one of. First every document of a window is joined
-with its first one, then all with each other: one of those whose surroundings are equal stands for them, and pairs
-that have too few shingles in common around the window for any span at the bar are not verified. This reaches the
-pairs that ``intact_words`` speaks of, so not all of those whose spans repeat shingles; the bound on common shingles is
-that of two runs and one gap, and has not been held against brute force. The square is only that of texts that differ around 24 equal words and are neither cut nor linked.
+may still share a passage around it. Around what is not settled documents are joined again, as stars, by keys that
+all members of a group are at the bar for: windows of a whole passage, and equal words on the two sides of a gap of
+up to ``GAP`` words, parted in every way (``gap_kinds``). Runs that end alike in all documents have no gap, and keys of
+``RUNGS`` lengths of the longer side leave out most places before all ways are made. A longer gap in the earlier document
+is only reached by a whole window, and shingles that a span repeats are not counted on.
 Pairs at the bar whose later copy is cut already are links without a span. Removals and links are clustered by
 connected components.
 """
@@ -275,23 +273,23 @@ def _rungs(kinds: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
 
 
 def _gaps(size: int, passage: int, similarity: float, paragraph: int, reach: int, again: bool):
-    """Places where words may be others: the longer one of two equal runs ends there and an equal shingle begins up to
-    ``GAP`` words on, or the other way round (``key``); ``way`` and ``last`` tell the shingles that the runs do not go
-    on with. Of a document's places with the same words around them (``around``) one is looked at. ``again``: the
-    places are those found so, and the keys have the words of each rung."""
+    """Places where words may be others: the longer one of two equal runs ends or begins there (``key``), and ``way`` tells
+    the shingle that it does not go on with. Of a document's places with the same words around them (``around``) one
+    is looked at. ``again``: the places are those found so, with all gaps; the keys have the words of each rung on
+    both sides, ``way`` and ``last`` what these do not go on with."""
     kinds = gap_kinds(size, passage, similarity)
     most, rungs = max((k[0] for k in kinds), default=0), _rungs(kinds)
     fields = [("key", np.int64), ("place", np.int64), ("around", np.int64), ("way", np.int32), ("last", np.int32), ("free", bool)]
 
     def make(shingle, places, free):
         summed, beyond, made = _summed(shingle), paragraph - size + 1, []
-        for n, gap, side in ((n, g, s) for n in range(RUNGS if again else 1) for g in range(GAP + 1 if kinds else 0) for s in (0, 1)):
+        for n, gap, side in ((n, g, s) for n in range(RUNGS if again else 1) for g in range((GAP + 1 if again else 1) if kinds else 0) for s in (0, 1)):
             skip, code = size - 1 + gap, (2 * gap + side) * RUNGS
-            long, other = rungs[n] if again else (rungs[0][0], 1)
+            long, other = rungs[n] if again else (rungs[0][0], 0)
             left, right = (other, long) if side else (long, other)
-            if again:
-                at = places[places // _MASKS % _CODES == code] // (_MASKS * _CODES)
-                at = at[at + skip + right <= len(shingle)]
+            if again:  # a run that begins is told by its first place
+                at = places[places // (_MASKS * RUNGS) % 2 == side] // (_MASKS * _CODES) + (size - 1 - skip if side else 0)
+                at = at[(at >= 0) & (at + skip + right <= len(shingle))]
             else:
                 low, high = (beyond - reach - skip, -skip) if side else (beyond, reach)
                 at = _near(places, low, high, len(shingle) - skip - right + 1)
@@ -301,8 +299,8 @@ def _gaps(size: int, passage: int, similarity: float, paragraph: int, reach: int
             keep = _first_of(around, ~free[at])
             at, around = at[keep], around[keep]
             key = texts.mix(texts.mix(summed(at - left, left) + np.uint64(2 * n + side)) + summed(at + skip, right))
-            way = texts.mix(summed(at, 1)) >> np.uint64(33)
-            last = (texts.mix(summed(at + skip - 1, 1)) >> np.uint64(36)) * np.uint64(GAP + 1) + np.uint64(gap)
+            way, last = (texts.mix(summed(x, 1)) >> np.uint64(33) for x in (at, at + skip - 1))
+            way = last if side and not again else way
             made.append((key.view(np.int64), at * _CODES + code + n, around.view(np.int64), way, last, free[at]))
         return tuple(np.concatenate(x) for x in zip(*made)) if made else tuple(np.zeros(0, kind) for _, kind in fields)
 
@@ -683,18 +681,18 @@ def repeated_passages(
     # Gaps that differ between equal shingles, then every way to have enough of these around them.
     ends = [f(c).alias(f"{n}_{c}") for c in ("way", "last", "label") for f, n in ((F.min, "low"), (F.max, "high"))]
 
-    def differing(gaps: DataFrame) -> DataFrame:
+    def differing(gaps: DataFrame, both: str) -> DataFrame:
         gaps = store.stored(gaps, "gaps")
-        differ = gaps.groupBy("key").agg(*bounds, *ends, F.max("free").alias("free"), F.bit_or(F.expr(f"shiftleft(1, last % {GAP + 1})")).alias("known"))
-        differ = differ.where(f"({several}) and low_way < high_way and low_last < high_last and (free or low_label < high_label)").select("key", "known")
+        differ = gaps.groupBy("key").agg(*ends, F.max("free").alias("free"), F.bit_or(F.expr(f"shiftleft(1, cast(place div {2 * RUNGS} % {GAP + 1} as int))")).alias("known"))
+        differ = differ.where(f"{both} and (free or low_label < high_label)").select("key", "known")
         # Documents with the same words around a place have whole windows in common: the first one stands for them.
         places = gaps.join(differ, "key").groupBy("key", "around").agg(F.min_by(F.struct("id", "h", (F.col("place") * _MASKS + F.col("known")).alias("place")), one).alias("x"))
         places = store.stored(places.groupBy("x.id", "x.h").agg(F.collect_set("x.place").alias("places")), "places")
         store.dropped(spark, gaps)
         return own.drop("places").join(places, ["id", "h"])
 
-    beside = differing(own.mapInArrow(*_gaps(size, passage, similarity, paragraph, reach, False)))
-    beside = differing(beside.mapInArrow(*_gaps(size, passage, similarity, paragraph, reach, True)))
+    beside = differing(own.mapInArrow(*_gaps(size, passage, similarity, paragraph, reach, False)), "low_way < high_way")
+    beside = differing(beside.mapInArrow(*_gaps(size, passage, similarity, paragraph, reach, True)), "int(low_way < high_way) + int(low_last < high_last) + int(bit_count(known) > 1) > 1")
     beside = beside.mapInArrow(*_sided(size, passage, similarity))
     parts = store.stored(own.mapInArrow(*_whole(size, passage, paragraph, reach)).unionByName(beside), "parts")
     lead = F.min_by(F.when(F.col("lead"), F.struct("id", "h", "label", "at", "free")), F.when(F.col("lead"), one)).alias("one")
