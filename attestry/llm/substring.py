@@ -21,7 +21,8 @@ Sharing a passage is not transitive: where the first one has no more than the pa
 may still share a passage around it. Around what is not settled documents are joined again, as stars, by keys that
 all members of a group are at the bar for: windows of a whole passage, and equal words on the two sides of a gap of
 up to ``GAP`` words, parted in every way (``gap_kinds``). Runs that end alike in all documents have no gap, and keys of
-``RUNGS`` lengths of the longer side leave out most places before all ways are made. A longer gap in the earlier document
+``RUNGS`` lengths of the longer side leave out most places before all ways are made. Up to ``FEW`` places that such a key
+has left are compared pair by pair instead, so only larger groups need all ways. A longer gap in the earlier document
 is only reached by a whole window, and shingles that a span repeats are not counted on.
 Pairs at the bar whose later copy is cut already are links without a span. Removals and links are clustered by
 connected components.
@@ -47,6 +48,8 @@ RECALL = 0.98
 NEAR = 2 * PASSAGE  # words around a window that a span of two runs and one gap reaches into
 GAP = 2  # words between two matched stretches that may belong to one span
 RUNGS = 4  # lengths of the longer side of a gap that are told apart
+FEW = 64  # places with one key that are compared pair by pair: so many halves of a pair for each place at most
+ROWS = 1 << 16  # made at a time for the documents of a batch
 _CODES = (2 * GAP + 2) * RUNGS  # of a place: gap, longer side and rung
 _MASKS = 1 << (GAP + 1)  # gaps that others have there
 _ODDS = np.random.default_rng(11).integers(1, 1 << 63, 64, dtype=np.uint64) | np.uint64(1)
@@ -219,14 +222,18 @@ def _rows(batch, made: list[tuple[int, tuple]], columns: list[str], fields: list
 
 
 def _each_document(make, columns: list[str], fields: list[tuple[str, type]], size: int, passage: int):
-    """Rows that ``make`` gives for a document's shingles, places and free words."""
+    """Rows that ``make`` gives for a document's shingles, places and free words, in batches of bounded size."""
 
     def run(batches):
         for batch in batches:
-            made = []
+            made, rows = [], 0
             for k, (raw, places, spans) in enumerate(zip(batch["shingles"], batch["places"], batch["covered"].to_pylist())):
                 shingle = np.frombuffer(raw.as_buffer(), np.uint32).astype(np.uint64)
                 made.append((k, make(shingle, places.values.to_numpy().astype(np.int64), _free(spans, len(shingle) + size - 1, passage))))
+                rows += len(made[-1][1][0])
+                if rows >= ROWS:
+                    yield _rows(batch, made, columns, fields)
+                    made, rows = [], 0
             yield _rows(batch, made, columns, fields)
 
     return run
@@ -278,15 +285,16 @@ def _gaps(size: int, passage: int, similarity: float, paragraph: int, reach: int
     is looked at. ``again``: the places are those found so, with all gaps; the keys have the words of each rung on
     both sides, ``way`` and ``last`` what these do not go on with."""
     kinds = gap_kinds(size, passage, similarity)
-    most, rungs = max((k[0] for k in kinds), default=0), _rungs(kinds)
+    rungs = _rungs(kinds) if again else [(_rungs(kinds)[0][0], 0)]
+    most = max(*(k[0] for k in kinds), *(long for long, _ in rungs)) if kinds else 0
     fields = [("key", np.int64), ("place", np.int64), ("around", np.int64), ("way", np.int32), ("last", np.int32), ("free", bool)]
 
     def make(shingle, places, free):
         summed, beyond, made = _summed(shingle), paragraph - size + 1, []
-        for n, gap, side in ((n, g, s) for n in range(RUNGS if again else 1) for g in range((GAP + 1 if again else 1) if kinds else 0) for s in (0, 1)):
+        for gap, side in ((g, s) for g in range((GAP + 1 if again else 1) if kinds else 0) for s in (0, 1)):
             skip, code = size - 1 + gap, (2 * gap + side) * RUNGS
-            long, other = rungs[n] if again else (rungs[0][0], 0)
-            left, right = (other, long) if side else (long, other)
+            sizes = [(other, long) if side else (long, other) for long, other in rungs]
+            left, right = (min(x) for x in zip(*sizes))
             if again:  # a run that begins is told by its first place
                 at = places[places // (_MASKS * RUNGS) % 2 == side] // (_MASKS * _CODES) + (size - 1 - skip if side else 0)
                 at = at[(at >= 0) & (at + skip + right <= len(shingle))]
@@ -294,14 +302,18 @@ def _gaps(size: int, passage: int, similarity: float, paragraph: int, reach: int
                 low, high = (beyond - reach - skip, -skip) if side else (beyond, reach)
                 at = _near(places, low, high, len(shingle) - skip - right + 1)
             at = at[at >= left]
+            # Places with the same words around them have room for the same rungs.
             begin, end = np.maximum(at - most, 0), np.minimum(at + skip + most, len(shingle))
             around = texts.mix(texts.mix(summed(begin, end - begin)) + (at - begin).astype(np.uint64) * np.uint64(4 * most) + (end - at).astype(np.uint64))
             keep = _first_of(around, ~free[at])
-            at, around = at[keep], around[keep]
-            key = texts.mix(texts.mix(summed(at - left, left) + np.uint64(2 * n + side)) + summed(at + skip, right))
+            at, around = at[keep], around[keep].view(np.int64)
             way, last = (texts.mix(summed(x, 1)) >> np.uint64(33) for x in (at, at + skip - 1))
             way = last if side and not again else way
-            made.append((key.view(np.int64), at * _CODES + code + n, around.view(np.int64), way, last, free[at]))
+            for n, (left, right) in enumerate(sizes):
+                fits = np.flatnonzero((at >= left) & (at + skip + right <= len(shingle)))
+                x = at[fits]
+                key = texts.mix(texts.mix(summed(x - left, left) + np.uint64(2 * n + side)) + summed(x + skip, right))
+                made.append((key.view(np.int64), x * _CODES + code + n, around[fits], way[fits], last[fits], free[x]))
         return tuple(np.concatenate(x) for x in zip(*made)) if made else tuple(np.zeros(0, kind) for _, kind in fields)
 
     return _each_document(make, ["id", "h", "label"], fields, size, passage), "id long, h int, label long, key long, place long, around long, way int, last int, free boolean"
@@ -664,7 +676,8 @@ def repeated_passages(
     direct = verified(pairs.withColumn("covered", none).withColumn("linked", F.lit(False)), paragraph)
     labels, covered = store.stored(clusters(direct), "labels"), cut(direct)
     inside = F.exists("covered", lambda x: (x["first"] <= F.col("at")) & (F.col("at") + (paragraph - 1) <= x["last"]))
-    marked = shared.join(labels, F.col("id") == F.col("node"), "left").join(covered.toDF("id", "h", "covered"), ["id", "h"], "left")
+    state = wanted.toDF("id", "h").join(labels, F.col("id") == F.col("node"), "left").drop("node").join(covered.toDF("id", "h", "covered"), ["id", "h"], "left")
+    marked = shared.join(store.stored(state, "state"), ["id", "h"], "left")
     marked = marked.select("key", "id", "h", "at", F.coalesce("label", "id").alias("label"), later.alias("later"), (later & ~F.coalesce(inside, F.lit(False))).alias("open"))
     marked = store.stored(marked, "marked")
     store.dropped(spark, shared, pairs)
@@ -682,29 +695,40 @@ def repeated_passages(
     ends = [f(c).alias(f"{n}_{c}") for c in ("way", "last", "label") for f, n in ((F.min, "low"), (F.max, "high"))]
 
     def differing(gaps: DataFrame, both: str) -> DataFrame:
+        """Of the documents with the same words around a place, the first one: they have whole windows in common."""
         gaps = store.stored(gaps, "gaps")
         differ = gaps.groupBy("key").agg(*ends, F.max("free").alias("free"), F.bit_or(F.expr(f"shiftleft(1, cast(place div {2 * RUNGS} % {GAP + 1} as int))")).alias("known"))
         differ = differ.where(f"{both} and (free or low_label < high_label)").select("key", "known")
-        # Documents with the same words around a place have whole windows in common: the first one stands for them.
-        places = gaps.join(differ, "key").groupBy("key", "around").agg(F.min_by(F.struct("id", "h", (F.col("place") * _MASKS + F.col("known")).alias("place")), one).alias("x"))
-        places = store.stored(places.groupBy("x.id", "x.h").agg(F.collect_set("x.place").alias("places")), "places")
+        first = F.min_by(F.struct("id", "h", "label", "free", (F.col("place") * _MASKS + F.col("known")).alias("place")), one)
+        found = store.stored(gaps.join(differ, "key").groupBy("key", "around").agg(first.alias("x")).select("key", "x.*"), "differing")
         store.dropped(spark, gaps)
+        return found
+
+    def placed(found: DataFrame) -> DataFrame:
+        places = store.stored(found.groupBy("id", "h").agg(F.collect_set("place").alias("places")), "places")
         return own.drop("places").join(places, ["id", "h"])
 
-    beside = differing(own.mapInArrow(*_gaps(size, passage, similarity, paragraph, reach, False)), "low_way < high_way")
-    beside = differing(beside.mapInArrow(*_gaps(size, passage, similarity, paragraph, reach, True)), "int(low_way < high_way) + int(low_last < high_last) + int(bit_count(known) > 1) > 1")
+    pair = [F.col("p.id").alias("a"), F.col("p.h").alias("ah"), F.col("q.id").alias("b"), F.col("q.h").alias("bh"), F.col("p.label").alias("a_label"), F.col("q.label").alias("label")]
+    beside = placed(differing(own.mapInArrow(*_gaps(size, passage, similarity, paragraph, reach, False)), "low_way < high_way"))
+    found = differing(beside.mapInArrow(*_gaps(size, passage, similarity, paragraph, reach, True)), "int(low_way < high_way) + int(low_last < high_last) + int(bit_count(known) > 1) > 1")
+    many = found.groupBy("key").count().where(f"count > {FEW}").select("key")
+    at = F.greatest(F.expr(f"place div {_MASKS * _CODES}") - passage // 2, F.lit(0)).cast("int").alias("at")
+    few = found.join(many, "key", "left_anti").groupBy("key").agg(F.collect_list(F.struct("id", "h", "label", "free", at)).alias("all"))
+    few = few.select(F.explode("all").alias("q"), "all").select("q", F.explode(F.filter("all", lambda p: (F.struct(p["id"], p["h"]) < F.struct("q.id", "q.h")) & (F.col("q.free") | (p["label"] != F.col("q.label"))))).alias("p"))
+    few = few.groupBy(*pair).agg(F.collect_set("q.at").alias("places"))
+    beside = placed(found.join(many, "key", "left_semi"))
     beside = beside.mapInArrow(*_sided(size, passage, similarity))
     parts = store.stored(own.mapInArrow(*_whole(size, passage, paragraph, reach)).unionByName(beside), "parts")
-    lead = F.min_by(F.when(F.col("lead"), F.struct("id", "h", "label", "at", "free")), F.when(F.col("lead"), one)).alias("one")
+    lead = F.min_by(F.when(F.col("lead"), F.struct("id", "h", "label", "at", "free")), F.when(F.col("lead"), F.struct("id", "h", ~F.col("free")))).alias("one")
     first = parts.groupBy("key").agg(*bounds, lead).where(f"({several}) and one is not null").select("key", "one")
     stars = parts.join(first, "key").where("id <> one.id or h <> one.h")
     stars = stars.select(F.struct("id", "h", "label", "at", "free").alias("x"), F.col("one").alias("y")).withColumn("up", F.expr("struct(x.id, x.h) > struct(y.id, y.h)"))
     a, b = F.when(F.col("up"), F.col("y")).otherwise(F.col("x")), F.when(F.col("up"), F.col("x")).otherwise(F.col("y"))
     stars = stars.select(a.alias("p"), b.alias("q")).where("q.free or p.label <> q.label")
-    stars = stars.groupBy(F.col("p.id").alias("a"), F.col("p.h").alias("ah"), F.col("q.id").alias("b"), F.col("q.h").alias("bh"), F.col("p.label").alias("a_label"), F.col("q.label").alias("label")).agg(F.collect_set("q.at").alias("places"))
+    stars = stars.groupBy(*pair).agg(F.collect_set("q.at").alias("places")).unionByName(few)
     spans = direct.unionByName(verified(unverified(stars, covered), passage)).unionByName(again)
     spans = store.stored(spans, "spans")
-    store.dropped(spark, own, parts, labels, held, wanted, again, copies)
+    store.dropped(spark, own, parts, found, labels, held, wanted, again, copies)
     labels = clusters(spans)
     label = F.coalesce("label", "b").alias("component_id")
     spans = spans.where("first >= 0")
