@@ -631,16 +631,17 @@ def repeated_passages(
     several = "low_id < high_id or low_h < high_h"
     bounds = [F.min("id").alias("low_id"), F.max("id").alias("high_id"), F.min("h").alias("low_h"), F.max("h").alias("high_h")]
 
-    # Counts combine before they are shuffled, and Spark splits hot keys of the joins.
+    # Counts combine before they are shuffled, and Spark splits hot keys of the joins. Sides with one row for each key
+    # are hashed, so the long ones need no sort.
     keys = store.stored(docs.mapInArrow(*_keys(bands, rows, size, paragraph, spread, side)), "keys")
     twice = keys.groupBy("key").agg(*bounds).where(several).select("key")
     left, right = F.shiftrightunsigned("sides", 16), F.col("sides").bitwiseAND(0xFFFF)
     ways = [F.when(left > 0, F.xxhash64("key", F.lit(1), left)), F.when(right > 0, F.xxhash64("key", F.lit(2), right)), F.when(F.col("own"), F.col("key"))]
-    near = keys.join(twice, "key").select(F.explode(F.array_compact(F.array(*ways))).alias("key"), "id", "h", "at")
+    near = keys.join(twice.hint("shuffle_hash"), "key").select(F.explode(F.array_compact(F.array(*ways))).alias("key"), "id", "h", "at")
     near = store.stored(near, "near")
     first = near.groupBy("key").agg(*bounds, F.min_by("h", "id").alias("ah")).where(several).select("key", F.col("low_id").alias("a"), "ah")
     # All documents of a key, the first one too.
-    shared = store.stored(near.join(first, "key"), "shared")
+    shared = store.stored(near.join(first.hint("shuffle_hash"), "key"), "shared")
     store.dropped(spark, keys, near)
     later = (F.col("id") > F.col("a")) | (F.col("h") != F.col("ah"))
     pairs = shared.where(later).groupBy("a", "ah", F.col("id").alias("b"), F.col("h").alias("bh")).agg(F.collect_set("at").alias("places"))
@@ -677,7 +678,7 @@ def repeated_passages(
     labels, covered = store.stored(clusters(direct), "labels"), cut(direct)
     inside = F.exists("covered", lambda x: (x["first"] <= F.col("at")) & (F.col("at") + (paragraph - 1) <= x["last"]))
     state = wanted.toDF("id", "h").join(labels, F.col("id") == F.col("node"), "left").drop("node").join(covered.toDF("id", "h", "covered"), ["id", "h"], "left")
-    marked = shared.join(store.stored(state, "state"), ["id", "h"], "left")
+    marked = shared.join(store.stored(state, "state").hint("shuffle_hash"), ["id", "h"], "left")
     marked = marked.select("key", "id", "h", "at", F.coalesce("label", "id").alias("label"), later.alias("later"), (later & ~F.coalesce(inside, F.lit(False))).alias("open"))
     marked = store.stored(marked, "marked")
     store.dropped(spark, shared, pairs)
@@ -686,7 +687,7 @@ def repeated_passages(
     others = [F.min(F.when(F.col("later"), one)).alias("low_b"), F.max(F.when(F.col("later"), one)).alias("high_b")]
     unsettled = marked.groupBy("key").agg(F.max("open").alias("open"), F.min("label").alias("low"), F.max("label").alias("high"), *others)
     unsettled = unsettled.where("(open and low_b < high_b) or low < high").select("key")
-    own = marked.join(unsettled, "key").groupBy("id", "h", "label").agg(F.collect_set("at").alias("places"))
+    own = marked.join(unsettled.hint("shuffle_hash"), "key").groupBy("id", "h", "label").agg(F.collect_set("at").alias("places"))
     own = own.join(covered.toDF("id", "h", "covered"), ["id", "h"], "left").withColumn("covered", F.coalesce("covered", none))
     own = store.stored(held.join(own, ["id", "h"]), "own")
     store.dropped(spark, marked)
@@ -700,7 +701,7 @@ def repeated_passages(
         differ = gaps.groupBy("key").agg(*ends, F.max("free").alias("free"), F.bit_or(F.expr(f"shiftleft(1, cast(place div {2 * RUNGS} % {GAP + 1} as int))")).alias("known"))
         differ = differ.where(f"{both} and (free or low_label < high_label)").select("key", "known")
         first = F.min_by(F.struct("id", "h", "label", "free", (F.col("place") * _MASKS + F.col("known")).alias("place")), one)
-        found = store.stored(gaps.join(differ, "key").groupBy("key", "around").agg(first.alias("x")).select("key", "x.*"), "differing")
+        found = store.stored(gaps.join(differ.hint("shuffle_hash"), "key").groupBy("key", "around").agg(first.alias("x")).select("key", "x.*"), "differing")
         store.dropped(spark, gaps)
         return found
 
@@ -721,7 +722,7 @@ def repeated_passages(
     parts = store.stored(own.mapInArrow(*_whole(size, passage, paragraph, reach)).unionByName(beside), "parts")
     lead = F.min_by(F.when(F.col("lead"), F.struct("id", "h", "label", "at", "free")), F.when(F.col("lead"), F.struct("id", "h", ~F.col("free")))).alias("one")
     first = parts.groupBy("key").agg(*bounds, lead).where(f"({several}) and one is not null").select("key", "one")
-    stars = parts.join(first, "key").where("id <> one.id or h <> one.h")
+    stars = parts.join(first.hint("shuffle_hash"), "key").where("id <> one.id or h <> one.h")
     stars = stars.select(F.struct("id", "h", "label", "at", "free").alias("x"), F.col("one").alias("y")).withColumn("up", F.expr("struct(x.id, x.h) > struct(y.id, y.h)"))
     a, b = F.when(F.col("up"), F.col("y")).otherwise(F.col("x")), F.when(F.col("up"), F.col("x")).otherwise(F.col("y"))
     stars = stars.select(a.alias("p"), b.alias("q")).where("q.free or p.label <> q.label")

@@ -10,6 +10,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from attestry.llm import chat, decontaminate, jaccard, packing, quality, rollups, sharding, substring, tokens, urls
@@ -472,6 +473,34 @@ def test_a_common_line_makes_no_pairs_of_all(spark, monkeypatch):
     assert all(made[1][name] <= 6 * max(rows, 40) for name, rows in made[0].items()), made
 
 
+def test_rows_of_a_batch_leave_in_bounded_batches():
+    """Documents whose places make many rows: a worker holds some documents' rows and not those of the whole batch."""
+    rng = np.random.default_rng(5)
+    shingles = [rng.integers(0, 1 << 32, 400, dtype=np.uint32).tobytes() for _ in range(200)]
+    spans = pa.array([None] * 200, pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64())])))
+    places = pa.array([list(range(60, 340, 20))] * 200, pa.list_(pa.int32()))
+    batch = pa.RecordBatch.from_arrays([pa.array(range(200)), pa.array([0] * 200, pa.int32()), pa.array(range(200)), pa.array(shingles, pa.binary()), places, spans], ["id", "h", "label", "shingles", "places", "covered"])
+    run = substring._gaps(5, 50, 0.8, substring.PARAGRAPH, 20, False)[0]
+    sizes = [out.num_rows for out in run([batch])]
+    assert sum(sizes) > 65536 and max(sizes) < 65536 + 2 * 400, sizes
+
+
+@pytest.mark.parametrize("few", [0, 2, 64])
+def test_small_and_large_groups_of_gaps_give_the_same(spark, monkeypatch, few):
+    """Copies with an edit in each, compared pair by pair or by all ways to part the words around the gap."""
+    monkeypatch.setattr(substring, "FEW", few)
+    r = random.Random(15)
+    fresh = lambda n: " ".join(f"w{r.randrange(1 << 40)}" for _ in range(n))
+    rows = []
+    for g in range(0, 100, 10):  # the first document has 42 words, the others 44, a word of their own and 8 more
+        line, tail = fresh(44), fresh(8)
+        rows.append((g, f"{fresh(30)} {' '.join(line.split()[1:-1])} {fresh(20)}"))
+        rows += [(g + k, f"{fresh(7 * k)} {line} {fresh(1)} {tail} {fresh(20)}") for k in range(1, 2 + g // 10 % 5)]
+    got = substring.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert {(x.id, x.first, x.last) for x in got} == {(i, 7 * (i % 10), 7 * (i % 10) + 52) for i, _ in rows if i % 10 > 1}
+    assert all(x.component_id == x.id // 10 * 10 + 1 for x in got)
+
+
 def test_equal_texts_are_cut_whole(spark):
     """All copies but the first one go, also where a near copy of that one is cut, and one text of two with an id."""
     r = random.Random(22)
