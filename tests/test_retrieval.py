@@ -1,3 +1,5 @@
+import random
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
@@ -342,3 +344,42 @@ def test_written_texts_are_cut_by_size_and_complete(spark, tmp_path):
     assert len(sizes["cut"]) > 8 and max(r.size_bytes for r in sizes["cut"]) < 6_000
     for name in sizes:
         assert sorted(r.value for r in spark.read.text(str(tmp_path / name)).select("value").collect()) == sorted(r[2] for r in rows)
+
+
+def test_shelf_search_equals_the_search_by_indexes(spark, tmp_path, monkeypatch):
+    """Queries that name a knowledge base find what the indexes find, without any index, in runs and pieces of any size."""
+    from attestry.operators import shelves
+    from attestry.plans import search
+    from attestry.plans.corpus import derive, store
+
+    rng = random.Random(5)
+    words = ["alpha", "beta", "Gamma", "delta", "épsilon", "zeta", "eta", "theta", "iota", "Kappa"]
+    sentence = lambda n: " ".join(rng.choices(words, [2 ** -k for k in range(10)], k=n))
+    docs = [(f"d{k}", f"kb{k % 3}", f"Title {k}", None if k % 7 == 0 else k % 5, f"# Head {k}\n{sentence(12)}. {sentence(90)}\n# Tail\n{sentence(8)}") for k in range(24)]
+    docs = spark.createDataFrame(docs, "doc_uid string, knowledge_base_id string, doc_title string, u int, content string").withColumn("updated_at", F.timestamp_seconds("u"))
+    corpus = store(derive(docs), str(tmp_path / "stored"))
+    held = [r["content"] for r in corpus.chunks.select("content").collect()]
+    texts = [sentence(2), "Alpha", "a", "ta", "ppa", "...", "nowhere", "beta iota kappa", held[0][3:99], held[1][5:75], held[2], held[3][4:36], "eta th", "lph", *[sentence(n) for n in (1, 3, 5, 9, 40)]]
+    asked = [(f"q{n:02d}-{b}", b, t, 3, 4, 3, False) for n, t in enumerate(texts) for b in ("kb0", "kb1", "none")]
+    asked += [(f"r{n}", "kb2", t, 1 + n % 4, 1 + n % 3, 1 + n % 5, False) for n, t in enumerate(texts)]
+    asked = spark.createDataFrame(asked, "query_id string, knowledge_base_id string, text string, k int, fulltext_k int, vector_k int, use_rerank boolean")
+    found = {(r["query_id"], r["rank"]): r.asDict() for r in shelves.search_shelves(asked, corpus.shelves).collect()}
+    assert {f.name for f in (tmp_path / "stored").iterdir()} == {"chunks", "shelves"}
+    for name, value in (("RUN_ROWS", 3), ("PIECE_ROWS", 5), ("CANDIDATES", 2), ("HELD_ROWS", 4)):
+        monkeypatch.setattr(shelves, name, value)
+    rows = shelves.prepared(asked).toArrow()
+    kinds = pa.schema([("query_id", pa.string()), ("rank", pa.int32()), ("chunk_id", pa.string()), ("doc_uid", pa.string()), ("retrieval_source", pa.string()), ("score", pa.float64())])
+    small = [r for run in shelves._runs(iter(rows.to_batches())) for r in shelves._answers(run, corpus.shelves, True, ["query_id"], kinds).to_pylist()]
+    assert sorted((r["query_id"], r["rank"], r["chunk_id"], r["score"] or 0) for r in small) == sorted((q, n, r["chunk_id"], r["score"] or 0) for (q, n), r in found.items())
+    near = search.search_vector(asked, corpus, 5).join(asked.select("query_id", "vector_k"), "query_id").where("rank <= vector_k").drop("vector_k")
+    whole = rt.merged_hits(search.search_fulltext(asked, corpus, None), near).join(asked.select("query_id", "k"), "query_id").where("rank <= k")
+    expected = {(r["query_id"], r["rank"]): r.asDict() for r in whole.drop("k").collect()}
+    assert found.keys() == expected.keys() and len(found) > 100
+    for key, row in expected.items():
+        for c in ("chunk_id", "doc_uid", "score", "retrieval_source", "matched_sources", "rerank_score"):
+            assert found[key][c] == row[c], (key, c)
+    # The plan of the checks takes this way too, and adds queries that name no knowledge base by the indexes.
+    free = asked.where("query_id = 'r0'").withColumns({"query_id": F.lit("free"), "knowledge_base_id": F.lit(None).cast("string")})
+    both = search.search_by_limits(asked.unionByName(free), corpus, keep=["text"]).collect()
+    assert {(r["query_id"], r["rank"]) for r in both if r["query_id"] != "free"} == expected.keys()
+    assert any(r["query_id"] == "free" for r in both)
