@@ -185,3 +185,16 @@ def test_judge_is_merged_and_may_fail(spark, tmp_path):
     assert (told["a"].verdict, told["a"].reason, told["a"].risk_level) == ("rejected", "said", "high") and told["a"].has_evidence == plain["a"].has_evidence
     assert (told["b"].verdict, told["b"].reason) == (plain["b"].verdict, plain["b"].reason)
     assert not plain["c"].has_evidence and plain["c"].source_doc == "gone"
+
+
+def test_relations_hold_without_the_texts(spark):
+    """Flags joined before the texts and signals kept as columns give what the texts give, so texts needn't be shuffled by claim."""
+    claims = spark.createDataFrame([("a", "只有甲可以"), ("b", "所有都是"), ("c", "普通说法")], "claim_id string, claim_text string")
+    found = [(c, f"{c}{k}", k, ["claim_literal"], 0.0, t) for c in "abc" for k, t in enumerate(("只有甲", "除了甲还可以", "例外也有", ""), 1)]
+    rows = spark.createDataFrame(found, "claim_id string, chunk_id string, rank int, matched_queries array<string>, rerank_score double, content string").withColumn("expanded_content", F.col("content"))
+    whole = cl.annotate_relations(rows, claims)
+    thin = cl.annotate_relations(cl.with_flags(rows, claims), claims).drop("content", "expanded_content", "evidence_text")
+    collected = lambda df: sorted(map(tuple, df.collect()))
+    assert collected(whole.select(*thin.columns)) == collected(thin)
+    ends = lambda df: collected(cl.detect_counter_evidence(cl.select_evidence(df, 4)))
+    assert ends(thin) == ends(whole.drop("counter")) and any(r[4] for r in ends(thin))
