@@ -649,3 +649,16 @@ def test_no_benchmark_and_no_documents(spark, docs):
 
 def test_digest_of_no_items():
     assert hashlib.sha256(b"").hexdigest().startswith("e3b0c442")
+
+
+def test_url_models_are_never_sent_whole(spark):
+    """No table that grows with the urls is broadcast through the driver, however small it is here."""
+    from attestry.llm import urls
+
+    pages = [(k, f"https://{'www.' if k % 3 else ''}{'example.com' if k % 2 else 'site.net'}/{('en', 'es', 'fr')[k % 3]}/{k % 17}") for k in range(60)] + [(k, f"http://other{k % 9}.org/a/{k}") for k in range(60, 90)]
+    judged = urls.filter_urls(spark.createDataFrame(pages, "page_id long, url string"))
+    ruled = spark.createDataFrame([("\u0002a.com/\u0003", True, 2), ("\u0002b.net/es/\u0003", False, 1)], "chars string, accepted boolean, weight long")
+    scored = urls.score(ruled.select("chars"), urls.train(ruled))
+    for df in (judged, scored):
+        assert df.count() in (90, 2)
+        assert "Broadcast" not in df._jdf.queryExecution().executedPlan().toString()
